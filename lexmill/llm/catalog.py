@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import line_repeats
+from lexmill.llm import line_repeats, residue
 from lexmill.sources.tables import table
 
 
+def p1_found(spark, d):
+    return residue.residue_found(table(spark, d, "inventory"), table(spark, d, "chunks"))
+
+
 def p5_found(spark, d):
     return line_repeats.repeated_lines(table(spark, d, "chunks"))
 
@@ -21,7 +25,10 @@ def p5_clean(spark, d):
     return clean.select("id", "text_clean", "lines_removed").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_sequences": p5_sequences, "p5_clean": p5_clean}
+QUERIES = {
+    "p1_found": p1_found,
+    "p5_found": p5_found, "p5_sequences": p5_sequences, "p5_clean": p5_clean,
+}
 
 _LINES = r"""
 lines AS (
