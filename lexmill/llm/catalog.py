@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import line_repeats, residue
+from lexmill.llm import line_repeats, residue, splitting
 from lexmill.sources.tables import table
 
 
@@ -12,6 +12,15 @@ def p1_found(spark, d):
     return residue.residue_found(table(spark, d, "inventory"), table(spark, d, "chunks"))
 
 
+def p3_found(spark, d):
+    return splitting.cut_places(table(spark, d, "chunks"))
+
+
+def p3_pieces(spark, d):
+    pieces = splitting.split_oversized(table(spark, d, "chunks"))
+    return pieces.select("id", "piece", "pieces", "word_from", "section_heading", "text", "chunk_index", "chunk_total")
+
+
 def p5_found(spark, d):
     return line_repeats.repeated_lines(table(spark, d, "chunks"))
 
@@ -27,6 +36,8 @@ def p5_clean(spark, d):
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p5_found": p5_found, "p5_sequences": p5_sequences, "p5_clean": p5_clean,
 }
 
