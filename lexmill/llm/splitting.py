@@ -26,8 +26,12 @@ min max ref z.b ca bzw nr p.ex sra""".split()
 _SHORT = "|".join(w.replace(".", r"\.") for w in SHORT_WORDS)
 #: The point between two sentences of one line: end mark, closing quotes, then spaces; no shortened word before.
 _END = rf"(?<!(?i:\b(?:{_SHORT}))\.)(?<=[.!?][)\]\"'”’]{{0,2}})"
-_SENTENCE_END = rf"(?:{_END}|(?<=;)(?= +\p{{Lu}}))(?= )"
+_SENTENCE_END = rf"(?= )(?:{_END}|(?<=;)(?= +(?:\p{{Lu}}|[-–—•*] )))"
 _TERMINAL = r"[.!?;:…][)\]\"'”’]*[ ]*$"
+#: Columns of the narrowest hard wrap; shorter lines are notices and list items.
+_NARROWEST = 100
+#: A table row of several cells; one that is as long as a wrapped line goes on in the next line if that has cells.
+_ROW = r"^(?=.{100,400}$)(?:[^|\n]*\|){3}"
 _BULLET = r"^\s*(?:[-–—•*»«·]|\d+[.)])\s"
 
 
@@ -51,13 +55,14 @@ def _unwrapped(text: Column) -> Column:
     """
     lines = F.split(text, "\n", -1)
     open_end = lambda x: ~F.rlike(x, F.lit(_TERMINAL)) & (F.trim(x) != "")
-    runs_on = lambda x: open_end(x) & F.rlike(x, F.lit(_SENTENCE_END + " +[^ ]")) & ~F.rlike(x, F.lit(_BULLET))
+    runs_on = lambda x: (F.length(x) >= _NARROWEST) & open_end(x) & F.rlike(x, F.lit(_SENTENCE_END + " +[^ ]"))
     width = F.array_min(F.transform(F.filter(lines, runs_on), lambda x: F.length(x)))
 
     def joined(x: Column, i: Column) -> Column:
         following = F.get(lines, i + 1)
         goes_on = following.isNotNull() & (F.trim(following) != "") & ~F.rlike(following, F.lit(_BULLET))
-        wraps = goes_on & (runs_on(x) | (open_end(x) & ~F.rlike(x, F.lit(_BULLET)) & (F.length(x) >= width)))
+        row = F.rlike(x, F.lit(_ROW)) & F.contains(following, F.lit("|"))
+        wraps = goes_on & (row | runs_on(x) | (open_end(x) & ~F.rlike(x, F.lit(_BULLET)) & (F.length(x) >= width)))
         return F.concat(x, F.when(F.coalesce(wraps, F.lit(False)), " ").otherwise("\n"))
 
     mended = F.array_join(F.transform(lines, joined), "")
@@ -67,7 +72,7 @@ def _unwrapped(text: Column) -> Column:
 def _unit_pattern(word_limit: int, word_chars: int) -> str:
     """Alternatives by strength: to a line end, to a sentence end, to the word limit, to the character limit."""
     word = rf"[^ \n]{{1,{word_chars}}}"
-    to_sentence = rf"(?:{word} +){{0,{word_limit - 1}}}?{word}(?:\n[ \n]*|{_SENTENCE_END} +|\s*$)"
+    to_sentence = rf"(?:{word} +){{0,{word_limit - 1}}}?{word}(?: *\n[ \n]*|{_SENTENCE_END} +|\s*$)"
     to_limit = rf"(?:{word}[ \n]+){{1,{word_limit}}}"
     return rf"[ \n]*(?:{to_sentence}|{to_limit}|{word})"
 
@@ -88,7 +93,7 @@ def cut_places(chunks: DataFrame, limit_tokens: int = 384, id_col: str = "id", t
     The end of the text is no place. Null texts and ids give nothing; repeated rows give each place once.
     """
     units = natural_units(F.col("text"), limit_tokens)
-    closed = rf"(?:\n[ \n]*|{_SENTENCE_END} +)$"
+    closed = rf"(?:\n[ \n]*|(?:{_END}|(?<=;)) +)$"
     places = F.aggregate(
         F.col("units"),
         F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
