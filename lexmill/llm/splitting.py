@@ -25,7 +25,7 @@ min max ref z.b ca bzw nr p.ex sra""".split()
 
 _SHORT = "|".join(w.replace(".", r"\.") for w in SHORT_WORDS)
 #: The point between two sentences of one line: end mark, closing quotes, then spaces; no shortened word before.
-_END = rf"(?<!(?i:\b(?:{_SHORT}))\.)(?<=[.!?][)\]\"'”’]{{0,2}})"
+_END = rf"(?<=[.!?][)\]\"'”’]{{0,2}})(?<!(?i:\b(?:{_SHORT}))\.)"
 _SENTENCE_END = rf"(?= )(?:{_END}|(?<=;)(?= +(?:\p{{Lu}}|[-–—•*] )))"
 _TERMINAL = r"[.!?;:…][)\]\"'”’]*[ ]*$"
 #: Columns of the narrowest hard wrap; shorter lines are notices and list items.
