@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import line_repeats, residue, splitting
+from lexmill.llm import line_repeats, main_body, residue, splitting
 from lexmill.sources.tables import table
 
 
@@ -34,11 +34,21 @@ def p5_clean(spark, d):
     return clean.select("id", "text_clean", "lines_removed").distinct()
 
 
+def p6_found(spark, d):
+    return main_body.outside_main_body(table(spark, d, "chunks"), table(spark, d, "rawhtml"))
+
+
+def p6_text(spark, d):
+    return main_body.main_text(table(spark, d, "chunks")).select("id", "text_main").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found, "p5_sequences": p5_sequences, "p5_clean": p5_clean,
+    "p6_found": p6_found,
+    "p6_text": p6_text,
 }
 
 _LINES = r"""
