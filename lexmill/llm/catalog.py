@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import line_repeats, main_body, residue, splitting
+from lexmill.llm import line_repeats, main_body, near_duplicates, residue, splitting
 from lexmill.sources.tables import table
 
 
@@ -12,6 +12,18 @@ def p1_found(spark, d):
     return residue.residue_found(table(spark, d, "inventory"), table(spark, d, "chunks"))
 
 
+#: What TESTDATA.md calls nearly the same: three words, 0.7, at least 30 words.
+NEAR = {"threshold": 0.7, "shingle": 3, "min_words": 30}
+
+
+def p2_found(spark, d):
+    return near_duplicates.similar_pairs(table(spark, d, "chunks"), **NEAR).select("id_a", "id_b")
+
+
+def p2_groups(spark, d):
+    return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), **NEAR)
+
+
 def p3_found(spark, d):
     return splitting.cut_places(table(spark, d, "chunks"))
 
@@ -44,6 +56,8 @@ def p6_text(spark, d):
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found, "p5_sequences": p5_sequences, "p5_clean": p5_clean,
