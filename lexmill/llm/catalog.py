@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import line_repeats, main_body, near_duplicates, residue, splitting
+from lexmill.llm import line_repeats, main_body, near_duplicates, residue, splitting, vector_neighbors
 from lexmill.sources.tables import table
 
 
@@ -33,6 +33,16 @@ def p3_pieces(spark, d):
     return pieces.select("id", "piece", "pieces", "word_from", "section_heading", "text", "chunk_index", "chunk_total")
 
 
+def p4_found(spark, d):
+    return vector_neighbors.close_pairs(table(spark, d, "docvecs"))
+
+
+def p4_neighbors(spark, d):
+    """Ten nearest for every row whose idx is divisible by 50, against all rows."""
+    found = vector_neighbors.nearest(table(spark, d, "docvecs"), is_query=F.col("idx") % 50 == 0, tables=8, depth=1, probes=8)
+    return found.select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"), F.col("rank").cast("long").alias("rank"), F.round("cosine", 6).alias("cosine"))
+
+
 def p5_found(spark, d):
     return line_repeats.repeated_lines(table(spark, d, "chunks"))
 
@@ -60,6 +70,8 @@ QUERIES = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_neighbors": p4_neighbors,
     "p5_found": p5_found, "p5_sequences": p5_sequences, "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_text": p6_text,
@@ -78,6 +90,21 @@ found AS (
 """
 
 ORACLES = {
+    "p2_found": r"""WITH texts AS (
+  SELECT DISTINCT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || text), '[a-z0-9]+') AS w FROM chunks
+  WHERE id IS NOT NULL AND len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 30),
+runs AS (
+  SELECT DISTINCT id, s FROM (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS s FROM texts)),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+both_of AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM runs a JOIN runs b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM both_of JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b
+WHERE both_of.n >= 0.7 * (x.n + y.n - both_of.n)""",
+    "p4_found": r"""WITH v AS (
+  SELECT DISTINCT idx, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM docvecs WHERE vec IS NOT NULL AND len(vec) = 64),
+u AS (SELECT idx, v, sqrt(list_inner_product(v, v)) AS n FROM v WHERE list_inner_product(v, v) > 0),
+c AS (SELECT a.idx AS a, b.idx AS b, list_inner_product(a.v, b.v) / (a.n * b.n) AS cosine FROM u a JOIN u b ON a.idx <> b.idx),
+r AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS k FROM c)
+SELECT DISTINCT least(a, b) AS idx_a, greatest(a, b) AS idx_b FROM r WHERE k <= 10 AND cosine >= 0.9""",
     "p5_found": f"WITH {_LINES} SELECT id, line_no FROM found",
     "p5_clean": f"""WITH {_LINES},
 kept AS (
