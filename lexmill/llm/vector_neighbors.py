@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from lexmill.session import materialize
 
+#: A row's part in a bucket, added up: it asks here, it is held here, it is a query somewhere.
+ASKS, HELD, QUERY = 1, 2, 4
+
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths; the width is a power of two."""
@@ -71,7 +74,7 @@ class CrossPolytope:
 
 
 def _hashed(vectors: DataFrame, is_query: Column, size: int, tables: int, depth: int, probes: int, seed: int) -> DataFrame:
-    """(idx, unit, own, probed): the unit vector's bytes, its own buckets, and for queries the others it probes."""
+    """(idx, unit, asks, own, probed): the vector's bytes, its own buckets, and for queries the others it probes."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family = CrossPolytope(size, tables, depth, seed)
@@ -87,7 +90,7 @@ def _hashed(vectors: DataFrame, is_query: Column, size: int, tables: int, depth:
             yield pd.DataFrame(
                 {
                     "idx": batch["idx"].to_numpy(),
-                    "unit": [u.tobytes() for u in unit.astype(np.float32)],
+                    "unit": [m.tobytes() for m in matrix[good].astype(np.float32)],
                     "asks": batch["asks"].to_numpy(),
                     "own": list(keys[:, :, 0]),
                     "probed": probed,
@@ -101,8 +104,19 @@ def _hashed(vectors: DataFrame, is_query: Column, size: int, tables: int, depth:
 def _best_in_buckets(k: int, min_cosine: float):
     """Walks sorted rows bucket by bucket; gives each query's k best of the bucket."""
 
+    def best(cosine: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        keep = cosine >= min_cosine
+        if len(b) > k:
+            # what ties with the k-th stays, so that ties are settled over all buckets
+            least = np.partition(cosine, len(b) - k, axis=1)[:, len(b) - k]
+            keep &= cosine >= least[:, None] - 1e-9
+        keep &= cosine > -1.5
+        r, c = np.nonzero(keep)
+        return pd.DataFrame({"a": a[r], "b": b[c], "cosine": np.minimum(cosine[r, c], 1.0)})
+
     def compare(rows: pd.DataFrame) -> pd.DataFrame | None:
-        asks, holds = rows["role"].to_numpy() >= 1, rows["role"].to_numpy() <= 1
+        role = rows["role"].to_numpy()
+        asks, holds = (role & ASKS) > 0, (role & HELD) > 0
         if not asks.any() or not holds.any():
             return None
         idx = rows["idx"].to_numpy()
@@ -111,15 +125,9 @@ def _best_in_buckets(k: int, min_cosine: float):
         cosine = unit[asks] @ unit[holds].T
         a, b = idx[asks], idx[holds]
         cosine[a[:, None] == b[None, :]] = -2
-        if len(b) > k:
-            # everything that ties with the k-th stays, so that ties are settled over all buckets
-            least = np.partition(cosine, len(b) - k, axis=1)[:, len(b) - k]
-            keep = cosine >= np.maximum(least, min_cosine)[:, None] - 1e-9
-        else:
-            keep = cosine >= min_cosine
-        keep &= cosine > -1.5
-        r, c = np.nonzero(keep)
-        return pd.DataFrame({"a": a[r], "b": b[c], "cosine": np.minimum(cosine[r, c], 1.0)})
+        # a query that is held here gains what probes it as well
+        back = (role[holds] & QUERY) > 0
+        return pd.concat([best(cosine, a, b), best(cosine.T[back], b[back], a)], ignore_index=True)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -146,7 +154,7 @@ def nearest(
     is_query: Column | None = None,
     min_cosine: float = -1.0,
     size: int = 64,
-    tables: int = 6,
+    tables: int = 8,
     depth: int = 2,
     probes: int = 3,
     block_rows: int = 4096,
@@ -161,20 +169,20 @@ def nearest(
     """
     every = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vec_col).alias("vec"), (F.lit(True) if is_query is None else is_query).alias("q"))
     hashed = materialize(_hashed(every.select("idx", "vec", "q"), F.col("q"), size, tables, depth, probes, seed).dropDuplicates(["idx"]))
-    own = hashed.select("idx", F.explode("own").alias("key"), F.when(F.col("asks"), 1).otherwise(0).alias("role"))
-    probed = hashed.where("asks").select("idx", F.explode(F.array_distinct("probed")).alias("key"), F.lit(2).alias("role"))
+    query = F.when(F.col("asks"), QUERY).otherwise(0)
+    own = hashed.select("idx", F.explode("own").alias("key"), (F.when(F.col("asks"), ASKS + QUERY).otherwise(0) + HELD).alias("role"))
+    probed = hashed.where("asks").select("idx", F.explode(F.array_distinct("probed")).alias("key"), (query + ASKS).alias("role"))
     posts = own.unionByName(probed)
-    # Role 0 is held, 1 is held and asks, 2 asks. Stripes: one row of a striped bucket in each line of its grid.
+    # Stripes: one row of a striped bucket in each line, or each column, of its grid.
     large = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("stripes"))
     striped = posts.join(large, "key", "left").withColumn("stripes", F.coalesce("stripes", F.lit(1)))
     at = F.pmod(F.xxhash64("idx"), F.col("stripes")).cast("int")
     lines = F.sequence(F.lit(0), F.col("stripes") - 1)
     whole = striped.where("stripes = 1").select("idx", "key", "role", F.lit(0).alias("i"), F.lit(0).alias("j"))
     cut = striped.where("stripes > 1").withColumn("at", at)
-    ask = cut.where("role >= 1").select("idx", "key", F.lit(2).alias("role"), F.col("at").alias("i"), F.explode(lines).alias("j"))
-    hold = cut.where("role <= 1").select("idx", "key", F.lit(0).alias("role"), F.explode(lines).alias("i"), F.col("at").alias("j"))
+    ask = cut.where(F.col("role").bitwiseAND(ASKS) > 0).select("idx", "key", (F.col("role") - F.col("role").bitwiseAND(HELD)).alias("role"), F.col("at").alias("i"), F.explode(lines).alias("j"))
+    hold = cut.where(F.col("role").bitwiseAND(HELD) > 0).select("idx", "key", (F.col("role") - F.col("role").bitwiseAND(ASKS)).alias("role"), F.explode(lines).alias("i"), F.col("at").alias("j"))
     placed = whole.unionByName(ask).unionByName(hold)
-    # The vector is joined by id where posts are few; here it travels with each post, sorted into bucket order.
     sent = placed.join(hashed.select("idx", "unit"), "idx").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     local = sent.select("key", "i", "j", "role", "idx", "unit").mapInPandas(_best_in_buckets(k, min_cosine), "a long, b long, cosine double")
     once = local.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
