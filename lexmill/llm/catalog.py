@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import line_repeats, main_body, near_duplicates, residue, splitting, vector_neighbors
+from lexmill.llm import line_repeats, main_body, near_duplicates, residue, splitting, subjects, vector_neighbors
 from lexmill.sources.tables import table
 
 
@@ -64,6 +64,11 @@ def p6_text(spark, d):
     return main_body.main_text(table(spark, d, "chunks")).select("id", "text_main").distinct()
 
 
+def p9_found(spark, d):
+    found = subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "subjects"))
+    return found.select("doc_id", "subject")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -75,6 +80,7 @@ QUERIES = {
     "p5_found": p5_found, "p5_sequences": p5_sequences, "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_text": p6_text,
+    "p9_found": p9_found,
 }
 
 _LINES = r"""
