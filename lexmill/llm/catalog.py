@@ -65,7 +65,7 @@ def p6_text(spark, d):
 
 
 def p9_found(spark, d):
-    found = subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "subjects"))
+    found = subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
     return found.select("doc_id", "subject")
 
 
