@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import line_repeats, main_body, near_duplicates, residue, splitting, subjects, vector_neighbors
+from lexmill.llm import line_repeats, main_body, mixing, near_duplicates, packing, residue, splitting, subjects, vector_neighbors
+from lexmill.llm.tokens import token_counts
+from lexmill.session import materialize
 from lexmill.sources.tables import table
 
 
@@ -64,6 +66,23 @@ def p6_text(spark, d):
     return main_body.main_text(table(spark, d, "chunks")).select("id", "text_main").distinct()
 
 
+def p7_pack(spark, d):
+    return packing.pack(materialize(token_counts(table(spark, d, "documents"))), table(spark, d, "capacities"))
+
+
+def p7_fill(spark, d):
+    return packing.fill_report(p7_pack(spark, d))
+
+
+def p8_mix(spark, d):
+    sizes = materialize(token_counts(table(spark, d, "documents"), keep=("source",)))
+    return mixing.mix(sizes, table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark, d):
+    return mixing.share_report(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark, d):
     found = subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
     return found.select("doc_id", "subject")
@@ -80,6 +99,10 @@ QUERIES = {
     "p5_found": p5_found, "p5_sequences": p5_sequences, "p5_clean": p5_clean,
     "p6_found": p6_found,
     "p6_text": p6_text,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
 }
 
