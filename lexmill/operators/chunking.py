@@ -20,8 +20,10 @@ def merged(sections: Column, limit: int) -> Column:
     none = F.array().cast(f"array<{_SECTION}>")
     start = F.struct(F.lit("").alias("heading"), F.lit("").alias("content"), F.lit(0).alias("size"), none.alias("done"))
 
+    sized = F.transform(sections, lambda s: F.struct(s["heading"].alias("heading"), s["content"].alias("content"), X.token_count(s["content"]).alias("size")))
+
     def step(acc: Column, s: Column) -> Column:
-        size = X.token_count(s["content"])
+        size = s["size"]
         fits = acc["size"] + size <= limit
         closed = F.when(acc["content"] != "", F.array_append(acc["done"], F.struct(acc["heading"].alias("heading"), acc["content"].alias("content")))).otherwise(acc["done"])
         joined = F.when(acc["content"] != "", F.concat(acc["content"], F.lit("\n\n"), s["content"])).otherwise(s["content"])
@@ -33,7 +35,7 @@ def merged(sections: Column, limit: int) -> Column:
         )
 
     last = lambda acc: F.when(acc["content"] != "", F.array_append(acc["done"], F.struct(acc["heading"].alias("heading"), acc["content"].alias("content")))).otherwise(acc["done"])
-    return F.aggregate(sections, start, step, last)
+    return F.aggregate(sized, start, step, last)
 
 
 def packed(text: Column, limit: int, least: int) -> Column:
@@ -44,8 +46,10 @@ def packed(text: Column, limit: int, least: int) -> Column:
     none = F.array().cast("array<string>")
     start = F.struct(F.lit("").alias("now"), F.lit(0).alias("size"), none.alias("done"))
 
-    def step(acc: Column, s: Column) -> Column:
-        size = X.token_count(s)
+    sized = F.transform(X.sentences(text), lambda s: F.struct(s.alias("s"), X.token_count(s).alias("size")))
+
+    def step(acc: Column, x: Column) -> Column:
+        s, size = x["s"], x["size"]
         full = (acc["size"] + size > limit) & (acc["now"] != "")
         return F.struct(
             F.when(full, s).when(acc["now"] != "", F.concat(acc["now"], F.lit(" "), s)).otherwise(s).alias("now"),
@@ -53,7 +57,7 @@ def packed(text: Column, limit: int, least: int) -> Column:
             F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
         )
 
-    pieces = F.aggregate(X.sentences(text), start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
+    pieces = F.aggregate(sized, start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
     return F.filter(F.transform(pieces, X.spaces), lambda p: X.token_count(p) >= least)
 
 
