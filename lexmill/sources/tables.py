@@ -54,7 +54,7 @@ def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.expr("decode(content, 'UTF-8')").alias("html"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
     )
 
 
