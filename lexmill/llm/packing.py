@@ -52,11 +52,11 @@ def pack(sizes: DataFrame, capacities: DataFrame, group_items: int = 8000, seed:
     """(container_kind, capacity_tokens, container_id, doc_id, piece, pieces, token_from, tokens).
 
     ``sizes`` has doc_id and tokens; each id counts once. Every text comes out once for each kind of container,
-    as one piece unless it is over the capacity. Kinds without a positive capacity take nothing. Texts of no
+    as one piece unless it is over the capacity. The kinds, a few configured rows, are read by the driver. Kinds without a positive capacity take nothing. Texts of no
     tokens are put where there is room. Empty tables give an empty result.
     """
     items = sizes.where("doc_id IS NOT NULL AND tokens IS NOT NULL").select("doc_id", F.col("tokens").cast("long").alias("tokens")).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
-    kinds = capacities.where("container_kind IS NOT NULL AND capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity_tokens")).distinct()
+    kinds = capacities.where("container_kind IS NOT NULL AND capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity_tokens")).distinct().collect()
     groups = max(1, -(-items.count() // group_items))
     dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
 
@@ -83,7 +83,11 @@ def pack(sizes: DataFrame, capacities: DataFrame, group_items: int = 8000, seed:
         )
 
     schema = "container_kind string, capacity_tokens long, container_id long, doc_id long, piece long, pieces long, token_from long, tokens long"
-    return dealt.join(F.broadcast(kinds.limit(1000)), how="cross").groupBy("container_kind", "capacity_tokens", "part").applyInPandas(fill, schema)
+    if not kinds:
+        return sizes.sparkSession.createDataFrame([], schema)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity_tokens")) for k, c in kinds]))
+    spread = dealt.withColumn("kind", each).select("kind.container_kind", "kind.capacity_tokens", "part", "doc_id", "tokens")
+    return spread.groupBy("container_kind", "capacity_tokens", "part").applyInPandas(fill, schema)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
