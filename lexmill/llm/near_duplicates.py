@@ -42,7 +42,7 @@ def shingles_of(words: list[str], size: int) -> set[tuple[str, ...]]:
 
 
 def _signer(shingle: int, coordinates: int, width: int):
-    """A function from word hashes to the signature's coordinate keys."""
+    """A function from word hashes to the signature: a 32-bit value for each coordinate."""
     rng = np.random.default_rng(20240229)
     odd = lambda n, kind: rng.integers(1, np.iinfo(kind).max, n, dtype=kind) | kind(1)
     place = odd(shingle, np.uint64)
@@ -63,7 +63,7 @@ def _signer(shingle: int, coordinates: int, width: int):
             least = np.minimum(least, part.min(axis=0))
         keys = (least.reshape(coordinates, width).astype(np.uint64) + np.uint64(1)) * fold
         keys = (keys ^ (keys >> np.uint64(31))).sum(axis=1, dtype=np.uint64) * turn
-        return (keys ^ (keys >> np.uint64(33))).view(np.int64)
+        return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     return sign
 
@@ -71,7 +71,7 @@ def _signer(shingle: int, coordinates: int, width: int):
 def signatures(
     docs: DataFrame, id_col: str = "id", title_col: str | None = "title", text_col: str = "text", shingle: int = 5, min_words: int = 1, coordinates: int = 32, width: int = 4
 ) -> DataFrame:
-    """(id, node, keys): node is the hash of the word sequence, keys the coordinate-value pairs, hashed.
+    """(id, node, keys): node is the hash of the word sequence, keys the hashed value of each coordinate.
 
     Left out: null ids and texts, texts of fewer than ``min_words`` words, and those too short for one shingle.
     Texts of any length are read whole.
@@ -100,13 +100,14 @@ def signatures(
     return (
         docs.select(F.col(id_col).cast("string").alias("id"), title.alias("title"), F.col(text_col).alias("text"))
         .where(F.col("id").isNotNull() & F.col("text").isNotNull())
-        .mapInPandas(scan, "id string, node long, keys array<long>")
+        .mapInPandas(scan, "id string, node long, keys array<int>")
     )
 
 
 def colliding_pairs(nodes: DataFrame, matches: int = 2, long_list: int = 1000) -> DataFrame:
     """(a, b), a < b: the nodes that agree on at least ``matches`` coordinate-value pairs. ``nodes``: node, keys."""
-    posts = nodes.select(F.explode("keys").alias("key"), "node").repartition("key")
+    key = F.col("at").cast("long") * (1 << 32) + F.col("value")
+    posts = nodes.select(F.posexplode("keys").alias("at", "value"), "node").select(key.alias("key"), "node").repartition("key")
     lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = posts.join(lists, "key").select("key", "node", "n")
     long_keys = (
