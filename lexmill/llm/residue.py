@@ -46,7 +46,7 @@ DELIMITED = [
 ]
 #: Values that a template printed for want of a field, and masks that nobody filled in.
 UNSET = [
-    r"(?i:(?:by|to|is|until|dear|contact|at|of|for)\s(?:undefined|nan)\b)",
+    r"(?i:(?:undefined|nan)\b(?<=\b(?:by|to|is|until|dear|contact|at|of|for)\s(?:undefined|nan)))",
     r"NaN\b",
     r"(?i:null\snull\b)",
     r"(?i:tbc\stbc\b)",
@@ -81,7 +81,6 @@ ERRORS = [
     r"upstream\shost\sdid\snot\sreply\b",
     r"the\sservice\sis\s(?:temporarily\s)?unavailable\b",
     r"internal\sserver\serror:",
-    r"\w*exception\sat\s\w+\(",
     r"warning:\s\w+\(\):",
     r"template\s\S+\smissing\b",
     r"cannot\srender\sbody\b",
@@ -98,17 +97,30 @@ ERRORS = [
     r"(?:address|page|document)\s/\S*\s(?:does\snot\sexist|is\sno\slonger\savailable)\b",
     r"seite\snicht\sgefunden\s?:",
     r"page\sintrouvable\s?:",
-    r"página\sno\sencontrada\s?:",
+    r"p[áÁ]gina\sno\sencontrada\s?:",
 ]
 #: Words of filler Latin; a sentence made mostly of them is filler.
 LATIN = """alba amet consectetur adipiscing aliqua corpis dolor dolore dolores eiusmod elit ferrum grava incididunt ipsum
 labore ligna lorem luct magna magra morat noctus novem omnis parvum pavo pretum quora ridet sedim selva sint sit tempor
 tempus tinct ultra undis velit vestra""".split()
 
+
+
+def _by_first_letter(patterns: list[str]) -> str:
+    """The alternatives of patterns, grouped by their first letter, so that a word is tried against few of them."""
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        groups.setdefault(p[0] if p[0].isalpha() else "", []).append(p)
+    alone = groups.pop("", [])
+    return "|".join([*(f"{c}(?:" + "|".join(p[1:] for p in own) + ")" for c, own in sorted(groups.items())), *alone])
+
+
 _PLACEHOLDER = "(?:(?=[\\[{<%@#_$«])(?:" + "|".join(DELIMITED) + ")|\\b(?:" + "|".join(UNSET) + "))"
-_PHRASE = r"(?iu:\b(?:" + "|".join([*FILLER, *SCRIPTS, *ERRORS]) + "))"
-_LATIN_RUN = r"(?iu:(?:\b(?:" + "|".join(LATIN) + r")\b[\s,.]{1,3}){2})"
-_LATIN_WORD = r"(?iu)\b(?:" + "|".join(LATIN) + r")\b"
+#: An exception's name ends where its message begins, so this one may start inside a word.
+_EXCEPTION = r"exception\sat\s\w+\("
+_PHRASE = r"(?i:\b(?:" + _by_first_letter([*FILLER, *SCRIPTS, *ERRORS]) + ")|" + _EXCEPTION + ")"
+_LATIN_RUN = r"(?i:(?:\b(?:" + _by_first_letter(LATIN) + r")\b[\s,.]{1,3}){2})"
+_LATIN_WORD = r"(?i)\b(?:" + "|".join(LATIN) + r")\b"
 _CODE = r"(?s)```.*?```|~~~.*?~~~|`[^`\n]{1,120}`|<(code|pre)\b[^>]*>.*?</\1>"
 _QUOTED = r"(?<=[\s(])['‘\"“][^'’\"”\n]{1,80}['’\"”](?=[\s.,;:)!?]|$)"
 _SENTENCES = r"(?<=[.!?])\s+(?=\p{Lu}|[\[{<«#$%@_])|\n(?=\s*\n)|\n(?=\s*[-–•*»«0-9])"
