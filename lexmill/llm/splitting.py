@@ -27,7 +27,8 @@ _SHORT = "|".join(w.replace(".", r"\.") for w in SHORT_WORDS)
 #: The point between two sentences of one line: end mark, closing quotes, then spaces; no shortened word before.
 _END = rf"(?<=[.!?][)\]\"'”’]{{0,2}})(?<!(?i:\b(?:{_SHORT}))\.)"
 _SENTENCE_END = rf"(?= )(?:{_END}|(?<=;)(?= +(?:\p{{Lu}}|[-–—•*] )))"
-_TERMINAL = r"[.!?;:…][)\]\"'”’]*[ ]*$"
+_CLOSED = r"[.!?…][)\]\"'”’]* *$"
+_SHORTENED = rf"(?i)(?:^|[\s(>])(?:{_SHORT})\. *$"
 #: Columns of the narrowest hard wrap; shorter lines are notices and list items.
 _NARROWEST = 100
 #: A table row of several cells; one that is as long as a wrapped line goes on in the next line if that has cells.
@@ -50,19 +51,23 @@ def max_words(limit_tokens: int) -> int:
 def _unwrapped(text: Column) -> Column:
     """The text with the breaks of hard-wrapped lines turned into spaces.
 
-    A line breaks off inside a sentence if it has no end mark and either holds a sentence end before its last
-    words, or is as long as the lines of this text for which that is so, and goes on in the next line.
+    A line breaks off inside a sentence if it has no end mark (a shortened word's is none, nor a semicolon before a
+    small letter) and either holds a sentence end before its last words, or is as long as the lines of this text for
+    which that is so, and goes on in the next line.
     """
     lines = F.split(text, "\n", -1)
-    open_end = lambda x: ~F.rlike(x, F.lit(_TERMINAL)) & (F.trim(x) != "")
-    runs_on = lambda x: (F.length(x) >= _NARROWEST) & open_end(x) & F.rlike(x, F.lit(_SENTENCE_END + " +[^ ]"))
-    width = F.array_min(F.transform(F.filter(lines, runs_on), lambda x: F.length(x)))
+    like = lambda x, pattern: F.rlike(x, F.lit(pattern))
+    open_end = lambda x: (~like(x, _CLOSED) | like(x, _SHORTENED)) & (F.trim(x) != "")
+    prose = lambda x: (F.length(x) >= _NARROWEST) & like(x, _SENTENCE_END + " +[^ ]")
+    wrapped = F.filter(lines, lambda x: prose(x) & open_end(x) & ~like(x, "; *$"))
+    width = F.array_min(F.transform(wrapped, lambda x: F.length(x)))
 
     def joined(x: Column, i: Column) -> Column:
         following = F.get(lines, i + 1)
-        goes_on = following.isNotNull() & (F.trim(following) != "") & ~F.rlike(following, F.lit(_BULLET))
-        row = F.rlike(x, F.lit(_ROW)) & F.contains(following, F.lit("|"))
-        wraps = goes_on & (row | runs_on(x) | (open_end(x) & ~F.rlike(x, F.lit(_BULLET)) & (F.length(x) >= width)))
+        goes_on = following.isNotNull() & (F.trim(following) != "") & ~like(following, _BULLET)
+        row = like(x, _ROW) & F.contains(following, F.lit("|"))
+        unfinished = open_end(x) & (~like(x, "; *$") | like(following, r"^ *\p{Ll}"))
+        wraps = goes_on & (row | (unfinished & (prose(x) | ((F.length(x) >= width) & ~like(x, _BULLET)))))
         return F.concat(x, F.when(F.coalesce(wraps, F.lit(False)), " ").otherwise("\n"))
 
     mended = F.array_join(F.transform(lines, joined), "")
