@@ -33,10 +33,12 @@ class Element:
         self.children: list[Element | str] = []
 
     def walk(self) -> Iterator[Element]:
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.walk()
+        """Elements below this one in document order; unclosed tags may nest deeply, so without recursion."""
+        stack = [c for c in reversed(self.children) if isinstance(c, Element)]
+        while stack:
+            element = stack.pop()
+            yield element
+            stack.extend(c for c in reversed(element.children) if isinstance(c, Element))
 
     def text(self, separator: str = "") -> str:
         parts: list[str] = []
@@ -110,16 +112,18 @@ def content_root(page: Element) -> Element:
     return next((found for t in tests if (found := page.first(t))), page)
 
 
+def is_noise(e: Element) -> bool:
+    named = e.attrs.get("class", "").lower()
+    return e.tag in _DROPPED or e.attrs.get("role") == "navigation" or e.attrs.get("id") == "cookie" or any(part in named for part in NOISE_CLASSES)
+
+
 def prune(root: Element) -> None:
     """Takes elements that are no content out of the tree."""
-    for child in list(root.children):
-        if not isinstance(child, Element):
-            continue
-        noise = child.tag in _DROPPED or child.attrs.get("role") == "navigation" or child.attrs.get("id") == "cookie"
-        if noise or any(part in child.attrs.get("class", "").lower() for part in NOISE_CLASSES):
-            root.children.remove(child)
-        else:
-            prune(child)
+    stack = [root]
+    while stack:
+        at = stack.pop()
+        at.children = [c for c in at.children if isinstance(c, str) or not is_noise(c)]
+        stack.extend(c for c in at.children if isinstance(c, Element))
 
 
 def sections_of(page: Element, least_part: int = 10, least_section: int = 50) -> list[tuple[str, str]]:

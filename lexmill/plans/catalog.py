@@ -35,6 +35,13 @@ def query(sql: str | None = None):
 
 _SQL_PATH = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)', 1)"
 _SQL_HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)"
+#: Path segments above an address: (url, base, s, d) with s the parts of the path and d the depth.
+_SQL_ABOVE = rf"""p AS (SELECT DISTINCT url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://)', 1) || {_SQL_HOST} AS base, string_split(regexp_replace({_SQL_PATH}, '/+$', ''), '/') AS s FROM inventory WHERE url IS NOT NULL),
+a AS (SELECT url, d, base || array_to_string(s[1:d], '/') AS hub, coalesce(s[d + 1], '') AS child FROM (SELECT *, unnest(range(1, len(s))) AS d FROM p))"""
+
+
+def _sql_keywords(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^a-zA-Z0-9\s-]', ' ', 'g'), '\s+'), lambda w: length(w) > 1 AND NOT list_contains({_SQL_STOP}, w))"
 
 
 @query(rf"SELECT inv_id, 'https://' || {_SQL_HOST} || regexp_replace({_SQL_PATH}, ';[^/]*$', '') AS canonical FROM inventory WHERE url IS NOT NULL")
@@ -81,7 +88,7 @@ def branch_cap(spark, d):
     return inventory.capped_by_branch(rows, Settings().branch_cap, "inv_id").select("inv_id", "host", "branch", F.col("branch_pos").cast("long").alias("branch_pos"))
 
 
-@query()
+@query(f"WITH {_SQL_ABOVE} SELECT url, d AS depth, hub AS ancestor, child FROM a")
 def url_ancestors(spark, d):
     rows = table(spark, d, "inventory").where("url IS NOT NULL").select("url").distinct().select("url", F.explode(U.ancestors(F.col("url"))).alias("a"))
     return rows.select("url", F.col("a.depth").cast("long").alias("depth"), F.col("a.url").alias("ancestor"), F.col("a.child").alias("child"))
@@ -185,7 +192,15 @@ def chunk_merge(spark, d):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("s.content").alias("content"))
 
 
-@query()
+@query(rf"""WITH {_SQL_ABOVE},
+c AS (SELECT url AS hub, generate_subscripts(card_headings, 1) AS o, unnest(card_headings) AS card FROM (SELECT url, max(card_headings) AS card_headings FROM hubs GROUP BY url)),
+m AS (SELECT a.url, a.d, c.o, {_sql_keywords('c.card')} AS kw FROM a JOIN c ON c.hub = a.hub WHERE c.card IS NOT NULL AND list_has_any({_sql_keywords('c.card')}, {_sql_keywords("replace(a.child, '-', ' ')")})),
+lv AS (SELECT url, d, sum(len(kw)) AS n FROM m GROUP BY url, d),
+inc AS (SELECT url, d, coalesce(sum(n) OVER (PARTITION BY url ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lv),
+w AS (SELECT m.url, -m.d * 1000000 + m.o * 1000 + generate_subscripts(kw, 1) AS o, unnest(kw) AS w FROM m JOIN inc ON inc.url = m.url AND inc.d = m.d WHERE before < 3
+  UNION ALL SELECT url, k * 1000 + generate_subscripts(kw, 1) + 1000000 AS o, unnest(kw) AS w FROM (SELECT url, k, {_sql_keywords("replace(seg, '-', ' ')")} AS kw FROM (SELECT url, generate_subscripts(s, 1) AS k, unnest(s) AS seg FROM p))),
+f AS (SELECT url, w, min(o) AS o FROM w WHERE w <> '' GROUP BY url, w)
+SELECT p.url, coalesce(string_agg(f.w, ' ' ORDER BY f.o), '') AS keywords FROM p LEFT JOIN f ON f.url = p.url GROUP BY p.url""")
 def hub_keywords(spark, d):
     rows = keywords.hub_keywords(table(spark, d, "inventory"), table(spark, d, "hubs"))
     return rows.withColumn("keywords", F.array_join("keywords", " "))
@@ -208,7 +223,11 @@ def embed_text(spark, d):
     return table(spark, d, "chunks").where("id IS NOT NULL").select("id", X.embed_text(F.coalesce("heading_prefix", "title"), F.col("text")).alias("embedded")).distinct()
 
 
-@query()
+@query(rf"""WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST) AS r FROM chunks WHERE id IS NOT NULL AND id <> '') WHERE r = 1),
+good AS (SELECT * FROM last WHERE length(regexp_replace(coalesce(text, ''), '^@S+|@S+$', '', 'g')) >= 80 AND length(regexp_replace(replace(replace(replace(coalesce(text, ''), 'Skip to main content', ''), 'BEGIN NOINDEX', ''), 'Report webpage issue', ''), '^@S+|@S+$', '', 'g')) >= 60),
+k AS (SELECT id, list_concat(coalesce(keywords, []), list_filter(regexp_split_to_array(replace(lower(coalesce(section_heading, '')), '-', ' '), '@S+'), lambda w: length(w) > 1 AND NOT list_contains({_SQL_HEADING_STOP}, w))) AS k FROM good),
+f AS (SELECT id, w, min(o) AS o FROM (SELECT id, generate_subscripts(k, 1) AS o, unnest(k) AS w FROM k) GROUP BY id, w), g AS (SELECT id, string_agg(w, ' ' ORDER BY o) AS words FROM f GROUP BY id)
+SELECT good.id, coalesce(g.words, '') AS keywords, CASE WHEN coalesce(heading_prefix, title, '') <> '' THEN coalesce(heading_prefix, title) || chr(10) || chr(10) || text ELSE text END AS embed_text, CAST(coalesce(chunk_index, 0) AS BIGINT) AS chunk_index FROM good LEFT JOIN g ON g.id = good.id""")
 def validate_docs(spark, d):
     return docs.prepared(docs.latest(table(spark, d, "chunks"))).select("id", "keywords", "embed_text", F.col("chunk_index").cast("long").alias("chunk_index"))
 
@@ -425,14 +444,15 @@ def build_references(spark, d):
     return answers.references(_retrieved(spark, d)[2])
 
 
-@query()
+@query(_SQL_RETRIEVED + f"""SELECT e.qid, CASE WHEN d.keywords IS NOT NULL AND d.keywords <> c.asked THEN '(Underlying need: ' || d.keywords || ')' || chr(10) || chr(10) ELSE '' END || 'Question: ' || c.asked || chr(10) || chr(10) || 'Evidence:' || chr(10) || e.evidence || chr(10) || chr(10) || 'Answer from the evidence and cite sources as [1], [2].' AS prompt
+FROM (SELECT qid, {_SQL_EVIDENCE} AS evidence FROM found GROUP BY qid) e JOIN corpus c ON c.idx = e.qid JOIN docs1 d ON d.id = c.id""")
 def answer_prompt(spark, d):
     _, asked, found = _retrieved(spark, d)
     rows = asked.select("qid", F.col("text").alias("question"), F.col("keywords").alias("need"), F.lit("").alias("history")).join(answers.evidence(found), "qid")
     return answers.prompts(rows)
 
 
-@query()
+@query(_SQL_RETRIEVED + rf"""SELECT DISTINCT n.qid, n.ref_number, coalesce(f.url, '') AS url FROM (SELECT qid, CAST(unnest(regexp_extract_all(evidence, '\[(\d{{1,9}})\]', 1)) AS BIGINT) AS ref_number FROM (SELECT qid, {_SQL_EVIDENCE} AS evidence FROM found GROUP BY qid)) n JOIN found f ON f.qid = n.qid AND f.pick = n.ref_number""")
 def citations(spark, d):
     found = _retrieved(spark, d)[2]
     return answers.cited(answers.evidence(found).withColumnRenamed("evidence", "answer"), answers.references(found))
@@ -500,7 +520,12 @@ def eval_failed(spark, d):
     return _ranked(spark, d).where("NOT hit").select("qid", "tier", "category")
 
 
-@query()
+@query(_SQL_RETRIEVED + """, legs AS (SELECT 'dense' AS search, qid, idx, dense_score AS score, rank AS pos FROM dense UNION ALL SELECT 'bm25', qid, idx, bm25_score, rank FROM sparse
+ UNION ALL SELECT 'hybrid', qid, idx, CASE WHEN count(bm25_score) OVER (PARTITION BY qid) > 0 THEN score ELSE dense_score END, pos FROM rrf),
+lu AS (SELECT l.*, c.url, row_number() OVER (PARTITION BY search, qid, c.url ORDER BY score DESC, pos) AS n, max(score) OVER (PARTITION BY search, qid, c.url) AS top, min(pos) OVER (PARTITION BY search, qid, c.url) AS first FROM legs l JOIN corpus c ON c.idx = l.idx),
+lg AS (SELECT *, row_number() OVER (PARTITION BY search, qid ORDER BY top DESC, first, url, n) AS k FROM lu WHERE n <= 2),
+lr AS (SELECT s.search, l.qid, min(g.k) FILTER (WHERE contains(lower(g.url), lower(l.url))) AS rank FROM labelled l CROSS JOIN (SELECT DISTINCT search FROM legs) s LEFT JOIN lg g ON g.qid = l.qid AND g.search = s.search AND g.k <= 5 GROUP BY s.search, l.qid)
+SELECT search, count(*) FILTER (WHERE rank IS NOT NULL) AS hits, count(*) AS total, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 3) AS mrr FROM lr GROUP BY search""")
 def eval_compare_search(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
     k = Settings().retriever_topk

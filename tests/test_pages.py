@@ -115,3 +115,9 @@ def test_added_files_and_content_dedup(spark):
     assert sorted(map(tuple, inventory.added_files(a, b).collect())) == [("x", 1), ("y", 3)]
     t = spark.createDataFrame([("b", "same"), ("a", "same"), ("c", None)], "id string, text string")
     assert [r.id for r in inventory.first_of_content(t, "text", "id").collect()] == ["a"]
+
+
+def test_deeply_nested_pages_are_read():
+    deep = html.parse("<p>" * 5000 + "words enough to make up one whole section of this page, and some more")
+    assert html.sections_of(deep)[0][1].startswith("words enough")
+    assert html.hub_by_shape(deep) == (False, [])
