@@ -24,6 +24,8 @@ from lexmill.session import materialize
 
 #: A row's part in a bucket, added up: it asks here, it is held here, it is a query somewhere.
 ASKS, HELD, QUERY = 1, 2, 4
+#: Queries compared with a bucket at once, which bounds a task's memory.
+BLOCK = 512
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -122,12 +124,16 @@ def _best_in_buckets(k: int, min_cosine: float):
         idx = rows["idx"].to_numpy()
         unit = np.frombuffer(b"".join(rows["unit"]), np.float32).reshape(len(rows), -1).astype(np.float64)
         unit /= np.linalg.norm(unit, axis=1)[:, None]
-        cosine = unit[asks] @ unit[holds].T
-        a, b = idx[asks], idx[holds]
-        cosine[a[:, None] == b[None, :]] = -2
+        held, b = unit[holds], idx[holds]
         # a query that is held here gains what probes it as well
         back = (role[holds] & QUERY) > 0
-        return pd.concat([best(cosine, a, b), best(cosine.T[back], b[back], a)], ignore_index=True)
+        found = []
+        for start in range(0, int(asks.sum()), BLOCK):
+            a = idx[asks][start : start + BLOCK]
+            cosine = unit[asks][start : start + BLOCK] @ held.T
+            cosine[a[:, None] == b[None, :]] = -2
+            found += [best(cosine, a, b), best(cosine.T[back], b[back], a)]
+        return pd.concat(found, ignore_index=True)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
