@@ -102,33 +102,40 @@ income deductions super property privacy accessibility terms of use sitemap calc
 #: Above this many characters a line is prose, whatever it begins with.
 LONGEST_NOTICE = 250
 
-_CUE = "(?i)^(?:" + "|".join(x for group in CUES.values() for x in group) + ")"
-_MENU = r"(?i)^(?:(?:" + "|".join(MENU_WORDS) + r")[:|]?\s?){4,}$"
-_PIPES = r"^[^|\d]{1,60}(?:\|[^|\d]{1,60}){2,}$"
+_PATTERNS = [x for group in CUES.values() for x in group]
+_CUE = "(?i)^(?:" + "|".join(_PATTERNS) + ")"
+#: The same for lines with their bullets and full stop.
+_EDGE = r"^[-–—•*»«›‹\s]*"
+_CUE_LINE = "(?i)" + _EDGE + "(?:" + "|".join(re.sub(r"\$$", r"[\\s.]*$", x) for x in _PATTERNS) + ")"
+_MENU = "(?i)" + _EDGE + "(?:(?:" + "|".join(MENU_WORDS) + r")[:|]?\s?){4,}[\s.]*$"
+_PIPES = _EDGE + r"[^|\d]{1,60}(?:\|[^|\d]{1,60}){2,}$"
 _ARROWS = r"^\s*[»«›‹]|[»›]\s*$"
 
 
+def _bare(line: Column) -> Column:
+    return F.trim(F.regexp_replace(fold_text(line), r"\s+", " "))
+
+
+def _points(bare: Column) -> Column:
+    linked = F.rlike(bare, F.lit(_ARROWS)) | F.rlike(bare, F.lit(_CUE_LINE)) | F.rlike(bare, F.lit(_MENU)) | F.rlike(bare, F.lit(_PIPES))
+    earned = 1 + F.regexp_count(bare, F.lit(",")) + F.least(F.floor(F.length(bare) / 100), F.lit(3))
+    return F.when(F.length(bare) > LONGEST_NOTICE, earned).when(linked, 0).otherwise(earned)
+
+
 def line_points(line: Column) -> Column:
     """Points of a line: one, one for each comma, one for each hundred characters up to three, all times one
-    less the line's link density. Empty and null lines have none."""
-    bare = F.trim(F.regexp_replace(fold_text(line), r"\s+", " "))
-    core = F.regexp_replace(bare, r"^[-–—•*»«›‹\s]+|[\s.]+$", "")
-    linked = (
-        F.rlike(bare, F.lit(_ARROWS)) | F.rlike(core, F.lit(_CUE)) | F.rlike(core, F.lit(_MENU)) | F.rlike(core, F.lit(_PIPES))
-    )
-    density = F.when(linked, 1).otherwise(0)
-    points = (1 + F.regexp_count(line, F.lit(",")) + F.least(F.floor(F.length(line) / 100), F.lit(3))) * (1 - density)
-    return F.when(F.length(line) > LONGEST_NOTICE, F.lit(4)).when(core == "", F.when(linked, 0).otherwise(1)).otherwise(points)
+    less the line's link density, which is one or none. Longer lines than a notice's are prose."""
+    return _points(_bare(line))
 
 
 def text_lines_outside(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, line_no) of the lines of page texts that are not main body; blank lines are never given."""
+    bare = F.transform(F.split("text", "\n", -1), _bare)
     return (
         chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where(F.col("id").isNotNull() & F.col("text").isNotNull())
-        .select("id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-        .where((F.length("line") <= LONGEST_NOTICE) & F.rlike("line", F.lit(r"[^\s ​]")))
-        .where(line_points(F.col("line")) <= 0)
+        .select("id", F.posexplode(bare).alias("at", "line"))
+        .where((F.col("line") != "") & (_points(F.col("line")) == 0))
         .select("id", (F.col("at") + 1).alias("line_no"))
         .distinct()
     )
@@ -298,6 +305,5 @@ def outside_main_body(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 def main_text(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """``chunks`` with ``text_main``: the lines of the text that are main body. All rows and columns stay."""
     lines = F.split(F.col(text_col), "\n", -1)
-    blank = lambda x: ~F.rlike(x, F.lit(r"\S"))
-    kept = F.filter(lines, lambda x: blank(x) | (line_points(x) > 0))
+    kept = F.filter(lines, lambda x: (_bare(x) == "") | (line_points(x) > 0))
     return chunks.withColumn("text_main", F.array_join(kept, "\n"))
