@@ -173,21 +173,29 @@ def nearest(
     Without ``is_query`` every vector asks. Only neighbours of at least ``min_cosine`` are given, which changes
     no rank. Equal vectors are neighbours of cosine 1. Repeated ids count once; an empty table gives no rows.
     """
-    every = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vec_col).alias("vec"), (F.lit(True) if is_query is None else is_query).alias("q"))
-    hashed = materialize(_hashed(every.select("idx", "vec", "q"), F.col("q"), size, tables, depth, probes, seed).dropDuplicates(["idx"]))
+    rows = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vec_col).alias("vec"), (F.lit(True) if is_query is None else is_query).alias("q"))
+    hashed = materialize(_hashed(rows.select("idx", "vec", "q"), F.col("q"), size, tables, depth, probes, seed).dropDuplicates(["idx"]))
     query = F.when(F.col("asks"), QUERY).otherwise(0)
     own = hashed.select("idx", F.explode("own").alias("key"), (F.when(F.col("asks"), ASKS + QUERY).otherwise(0) + HELD).alias("role"))
     probed = hashed.where("asks").select("idx", F.explode(F.array_distinct("probed")).alias("key"), (query + ASKS).alias("role"))
     posts = own.unionByName(probed)
-    # Stripes: one row of a striped bucket in each line, or each column, of its grid.
-    large = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("stripes"))
-    striped = posts.join(large, "key", "left").withColumn("stripes", F.coalesce("stripes", F.lit(1)))
-    at = F.pmod(F.xxhash64("idx"), F.col("stripes")).cast("int")
-    lines = F.sequence(F.lit(0), F.col("stripes") - 1)
-    whole = striped.where("stripes = 1").select("idx", "key", "role", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    cut = striped.where("stripes > 1").withColumn("at", at)
-    ask = cut.where(F.col("role").bitwiseAND(ASKS) > 0).select("idx", "key", (F.col("role") - F.col("role").bitwiseAND(HELD)).alias("role"), F.col("at").alias("i"), F.explode(lines).alias("j"))
-    hold = cut.where(F.col("role").bitwiseAND(HELD) > 0).select("idx", "key", (F.col("role") - F.col("role").bitwiseAND(ASKS)).alias("role"), F.explode(lines).alias("i"), F.col("at").alias("j"))
+    # A large bucket is a grid of query stripes i and index stripes j: a query stands in each column of its line, an
+    # indexed vector in each line of its column.
+    asks, held = F.col("role").bitwiseAND(ASKS) > 0, F.col("role").bitwiseAND(HELD) > 0
+    stripes = lambda n: F.greatest(F.ceil(n / block_rows), F.lit(1)).cast("int")
+    large = (
+        posts.groupBy("key")
+        .agg(F.count_if(asks).alias("asking"), F.count_if(held).alias("holding"))
+        .where((F.col("asking") > block_rows) | (F.col("holding") > block_rows))
+        .select("key", stripes(F.col("asking")).alias("lines"), stripes(F.col("holding")).alias("columns"))
+    )
+    striped = posts.join(large, "key", "left")
+    whole = striped.where("lines IS NULL").select("idx", "key", "role", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    cut = striped.where("lines IS NOT NULL")
+    at = lambda n: F.pmod(F.xxhash64("idx"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = cut.where(asks).select("idx", "key", (F.col("role") - F.col("role").bitwiseAND(HELD)).alias("role"), at("lines").alias("i"), every("columns").alias("j"))
+    hold = cut.where(held).select("idx", "key", (F.col("role") - F.col("role").bitwiseAND(ASKS)).alias("role"), every("lines").alias("i"), at("columns").alias("j"))
     placed = whole.unionByName(ask).unionByName(hold)
     sent = placed.join(hashed.select("idx", "unit"), "idx").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     local = sent.select("key", "i", "j", "role", "idx", "unit").mapInPandas(_best_in_buckets(k, min_cosine), "a long, b long, cosine double")
