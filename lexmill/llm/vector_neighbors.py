@@ -161,8 +161,8 @@ def nearest(
     min_cosine: float = -1.0,
     size: int = 64,
     tables: int = 8,
-    depth: int = 2,
-    probes: int = 3,
+    depth: int = 1,
+    probes: int = 8,
     block_rows: int = 4096,
     seed: int = 7,
     id_col: str = "idx",
@@ -172,6 +172,7 @@ def nearest(
 
     Without ``is_query`` every vector asks. Only neighbours of at least ``min_cosine`` are given, which changes
     no rank. Equal vectors are neighbours of cosine 1. Repeated ids count once; an empty table gives no rows.
+    The defaults are for neighbours at any cosine; a deeper hash is cheaper and finds only close ones.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("idx"), F.col(vec_col).alias("vec"), (F.lit(True) if is_query is None else is_query).alias("q"))
     hashed = materialize(_hashed(rows.select("idx", "vec", "q"), F.col("q"), size, tables, depth, probes, seed).dropDuplicates(["idx"]))
@@ -205,6 +206,11 @@ def nearest(
 
 
 def close_pairs(vectors: DataFrame, k: int = 10, min_cosine: float = 0.9, **how) -> DataFrame:
-    """(idx_a, idx_b), idx_a < idx_b: pairs of at least ``min_cosine`` of which one is among the other's k nearest."""
+    """(idx_a, idx_b), idx_a < idx_b: pairs of at least ``min_cosine`` of which one is among the other's k nearest.
+
+    From a cosine of 0.9 on, vectors share buckets of two hashes often enough; below, ``nearest`` has its defaults.
+    """
+    if min_cosine >= 0.9:
+        how = {"depth": 2, "probes": 3} | how
     found = nearest(vectors, k=k, min_cosine=min_cosine, **how)
     return found.select(F.least("a", "b").alias("idx_a"), F.greatest("a", "b").alias("idx_b")).distinct()

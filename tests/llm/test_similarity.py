@@ -140,6 +140,17 @@ def test_recall_of_all_neighbours(spark):
     assert len(got & asked) >= 0.9 * len(asked)
 
 
+def test_recall_of_the_defaults_without_a_floor(spark):
+    rows = vectors(6, 1200)
+    df = spark.createDataFrame(rows, "idx long, vec array<float>")
+    want = set(exact(rows, 10))
+    got = {(r.a, r.b) for r in V.nearest(df).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    asked = {(a, b) for a, b in want if a % 50 == 0}
+    some = {(r.a, r.b) for r in V.nearest(df, is_query=F.col("idx") % 50 == 0).collect()}
+    assert len(some & asked) >= 0.9 * len(asked)
+
+
 def test_striped_buckets_give_the_same(spark):
     """A third of the vectors are alike, so one bucket is far above its size and cut into stripes."""
     rng = np.random.default_rng(3)
