@@ -99,8 +99,21 @@ CUES = {
 MENU_WORDS = """home individuals businesses business agents forms contact menu close login log in register help search topics
 income deductions super property privacy accessibility terms of use sitemap calculators webinars about news""".split()
 
-#: Above this many characters a line is prose, whatever it begins with.
+#: Above this many characters a line is prose unless it begins or reads like one of ``LONG_CUES``.
 LONGEST_NOTICE = 250
+#: Breadcrumbs and lists of links, which hold no whole sentence, at any length.
+_TRAILS = [
+    r"home\s?[>›»/]",
+    r"you are here\s?[:>›»/]",
+    r"on this page\s?:",
+    r"menu close\b",
+    r"(?:all )?topics:",
+    r"all guides\b.*\|",
+    r"(?:related|popular|trending)(?: now| pages| guides| links| articles)?\s?:",
+    r"(?:next|previous|prev)\s?[:»]",
+    r"privacy ?\|",
+]
+LONG_CUES = [r"(?!.*[.!?]\s+\S)(?:" + "|".join(_TRAILS) + ")", *CUES["cookies"], *[x for x in CUES["legal"] if x not in _TRAILS]]
 
 _PATTERNS = [x for group in CUES.values() for x in group]
 _CUE = "(?i)^(?:" + "|".join(_PATTERNS) + ")"
@@ -108,6 +121,11 @@ _CUE = "(?i)^(?:" + "|".join(_PATTERNS) + ")"
 _EDGE = r"^[-–—•*»«›‹\s]*"
 _CUE_LINE = "(?i)" + _EDGE + "(?:" + "|".join(re.sub(r"\$$", r"[\\s.]*$", x) for x in _PATTERNS) + ")"
 _MENU = "(?i)" + _EDGE + "(?:(?:" + "|".join(MENU_WORDS) + r")[:|]?\s?){4,}[\s.]*$"
+_LONG_CUE = "(?:" + "|".join(LONG_CUES) + ")"
+_LONG_LINE = "(?i)" + _EDGE + "(?:" + "|".join(re.sub(r"\$$", r"[\\s.]*$", x) for x in LONG_CUES) + ")"
+#: Menus and pipe menus of any length, without groups that repeat, since those nest as deep as they repeat.
+_LONG_MENU = r"(?i)\G(?:" + _EDGE[1:] + ")(?:" + "|".join(MENU_WORDS) + r")(?![a-z0-9])[:|]?\s?"
+_LONG_PIPES = _EDGE + r"(?=[^|]*\|[^|]*\|)(?!.*\|\|)(?!.*[^|]{61})[^\d]*[^|\d]$"
 _PIPES = _EDGE + r"[^|\d]{1,60}(?:\|[^|\d]{1,60}){2,}$"
 _ARROWS = r"^\s*[»«›‹]|[»›]\s*$"
 
@@ -119,12 +137,15 @@ def _bare(line: Column) -> Column:
 def _points(bare: Column) -> Column:
     linked = F.rlike(bare, F.lit(_ARROWS)) | F.rlike(bare, F.lit(_CUE_LINE)) | F.rlike(bare, F.lit(_MENU)) | F.rlike(bare, F.lit(_PIPES))
     earned = 1 + F.regexp_count(bare, F.lit(",")) + F.least(F.floor(F.length(bare) / 100), F.lit(3))
-    return F.when(F.length(bare) > LONGEST_NOTICE, earned).when(linked, 0).otherwise(earned)
+    menu = F.rlike(F.regexp_replace(bare, _LONG_MENU, ""), F.lit(r"^[\s.]*$"))
+    notice = F.rlike(bare, F.lit(_LONG_LINE)) | F.rlike(bare, F.lit(_LONG_PIPES)) | menu
+    return F.when(F.length(bare) > LONGEST_NOTICE, F.when(notice, 0).otherwise(earned)).when(linked, 0).otherwise(earned)
 
 
 def line_points(line: Column) -> Column:
     """Points of a line: one, one for each comma, one for each hundred characters up to three, all times one
-    less the line's link density, which is one or none. Longer lines than a notice's are prose."""
+    less the line's link density, which is one or none. Longer lines than a notice's are prose unless they are
+    breadcrumbs, menus, lists of links, cookie notices or legal notices (``LONG_CUES``)."""
     return _points(_bare(line))
 
 
@@ -153,6 +174,7 @@ _AGAINST = re.compile(
 )
 _FOR = re.compile(r"(?i)(?:^|[\s_-])(?:main|article|content|body|post|text|entry)(?:[\s_-]|$)")
 _LINE_CUE = re.compile(_CUE)
+_LONG_LINE_CUE = re.compile("(?i)^" + _LONG_CUE)
 
 
 class _Node:
@@ -271,7 +293,7 @@ def lines_outside_main(html: str | None) -> list[int]:
                 continue
             if not (node.tag[0] == "h" and node.tag[1:].isdigit()) and len(node.lines) == 1:
                 line = re.sub(r"^[-–—•*»«›‹\s]+|[\s.]+$", "", re.sub(r"\s+", " ", node.lines[0][1]))
-                if len(line) <= LONGEST_NOTICE and _LINE_CUE.search(line):
+                if (_LINE_CUE if len(line) <= LONGEST_NOTICE else _LONG_LINE_CUE).search(line):
                     continue
         inside.update(no for no, _ in node.lines)
         stack.extend(node.below)

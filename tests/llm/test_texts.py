@@ -187,6 +187,37 @@ def test_lines_of_page_texts(spark):
     assert kept["a"] == "" and kept["b"] == "\n".join(INSIDE) + "\n\n" and kept["c"] is None
 
 
+LONG_OUTSIDE = [
+    "You are here: /occupations/education-and-training/" + "-".join(["claiming-student-loans-near-holashbry-flats"] * 6),
+    "Home > Individuals > Sport and recreation > " + "swimmers and appearance fees " * 9,
+    "We use cookies to improve Site. " + "Some of them are needed, and others count visits, pages and clicks. " * 5,
+    "© 2025 Site. " + "No part of it may be copied, sold, lent or shown without a written licence. " * 5,
+    " | ".join(["Silos and graziers", "Fees of teachers", "Kilns"] * 9),
+    "Home Individuals Business Agents Forms Contact " * 7,
+    "Related pages: " + " | ".join(["Fees of teachers in Dun"] * 12),
+]
+LONG_INSIDE = [
+    "See also the ruling on fees, " + "which deals with dated invoices, notes and receipts, " * 6,
+    "Read more of the invoice than its total, " + "since the date, the payer and the goods all count, " * 6,
+    "You are here to claim a fee, so keep the note. " + "Most teachers keep receipts for about 15 months. " * 6,
+    "Home > Law. The office treats fees as part of teaching. " + "Keep the dated invoice, and the note of its use. " * 6,
+    "Home care workers may claim fees, " + "where the supplier sent a dated invoice, " * 8,
+    "Kel | " + "a sentence that runs on without any pipe in it and so is no menu at all " * 5,
+]
+
+
+def test_long_lines_are_judged_by_kind(spark):
+    """Over 250 characters a breadcrumb, menu or notice is still none of the main body, and prose still is."""
+    assert all(len(" ".join(x.split())) > main_body.LONGEST_NOTICE for x in LONG_OUTSIDE + LONG_INSIDE)
+    many = "Home Forms " * 30_000
+    df = spark.createDataFrame([("a", "\n".join(LONG_OUTSIDE)), ("b", "\n".join(LONG_INSIDE)), ("m", many + "\n" + "Kel|" * 60_000 + "Kel")], "id string, text string")
+    got = sorted((r.id, r.line_no) for r in main_body.text_lines_outside(df).collect())
+    assert got == [("a", k) for k in range(1, len(LONG_OUTSIDE) + 1)] + [("m", 1), ("m", 2)]
+    prose = "The office treats fees as part of teaching, where the supplier sent a dated invoice, and the use can be shown."
+    page = "<body><div><h1>Fees</h1>\n" + "".join(f"<p>{x}</p>\n" for x in [prose, LONG_OUTSIDE[0], prose, LONG_OUTSIDE[2], LONG_INSIDE[0]]) + "</div></body>"
+    assert main_body.lines_outside_main(page) == [3, 5]
+
+
 PAGE = """<!DOCTYPE html>
 <html><head><title>Not visible</title><style>p{x:1}</style></head>
 <body>
