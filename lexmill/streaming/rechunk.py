@@ -12,14 +12,20 @@ from lexmill.operators import docs
 def prepare_stream(spark: SparkSession, source: str, target: str, checkpoint: str, lateness: str = "7 days", files_per_batch: int = 64) -> StreamingQuery:
     """Reads chunk files (parquet) under ``source`` as they come and writes prepared documents to ``target``.
 
-    A chunk that comes again within ``lateness`` of its crawl is dropped by the watermarked state; what is there is
-    worked off in batches and the query ends.
+    What is there is worked off in batches and the query ends. A chunk whose id is in ``target`` is not written again,
+    however late it comes, and no chunk is left out for its age: ``lateness`` bounds nothing and is only still accepted.
+    A batch that is run again after a failure finds what it had written. ``target`` and ``checkpoint`` of the earlier
+    file sink can't be carried on, since readers of such a target see only what that sink has listed.
     """
     schema = spark.read.parquet(source).schema
+    docs.prepared(spark.createDataFrame([], schema)).write.mode("append").parquet(target)
+
+    def write(batch: DataFrame, number: int) -> None:
+        written = batch.sparkSession.read.parquet(target).select("id")
+        docs.prepared(batch).dropDuplicates(["id"]).join(written, "id", "left_anti").write.mode("append").parquet(target)
+
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    once = rows.withWatermark("crawled_at", lateness).dropDuplicatesWithinWatermark(["id"])
-    out = docs.prepared(once)
-    return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def arrivals(rows: DataFrame, every: str = "1 day", lateness: str = "7 days") -> DataFrame:

@@ -14,6 +14,41 @@ def test_stream_prepares_what_a_batch_prepares(spark, data, tmp_path):
     assert got == want
 
 
+def test_stream_keeps_late_chunks_and_drops_repeats(spark, tmp_path):
+    """Files out of time order, one a batch, with the default lateness; a second run takes only what is new."""
+    import os
+
+    from lexmill.operators import docs
+
+    kind = "id string, title string, url string, section_heading string, breadcrumb string, keywords array<string>, heading_prefix string, text string, chunk_index int, chunk_total int, crawled_at timestamp"
+    text = "The office treats fees as part of teaching, where the supplier sent a dated invoice. " * 5
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+
+    def deliver(name, *chunks):
+        from datetime import datetime
+
+        made = [(i, "t", "https://a.example/" + i, "h", "b", ["k"], "p", text, 0, 1, when and datetime.fromisoformat(when)) for i, when in chunks]
+        spark.createDataFrame(made, kind).coalesce(1).write.mode("append").parquet(source)
+        for file in os.listdir(source):
+            # the order of batches is that of the files' times
+            if file.endswith(".parquet") and file not in seen:
+                seen.append(file)
+                os.utime(f"{source}/{file}", (1_700_000_000 + 100 * len(seen),) * 2)
+
+    def run():
+        assert rechunk.prepare_stream(spark, source, out, state, files_per_batch=1).awaitTermination(120)
+        return sorted(r.id for r in spark.read.parquet(out).select("id").collect())
+
+    seen = []
+    deliver("new", ("a", "2025-05-01"), ("b", "2025-05-02"), ("b", "2025-05-02"))
+    deliver("old", ("c", "2024-01-01"), ("a", "2025-05-01"))
+    deliver("older", ("d", "2023-06-01"), ("e", None), ("c", "2025-05-03"))
+    assert docs.prepared(spark.read.parquet(source)).count() == 8
+    assert run() == ["a", "b", "c", "d", "e"]
+    deliver("later", ("f", "2022-01-01"), ("d", "2023-06-01"))
+    assert run() == ["a", "b", "c", "d", "e", "f"]
+
+
 def test_arrivals(spark, data):
     chunks = table(spark, data, "chunks")
     got = rechunk.arrivals(chunks).agg({"chunks": "sum"}).first()[0]
