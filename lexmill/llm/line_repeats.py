@@ -3,7 +3,8 @@
 A document's lines become a sequence of item identifiers; a pattern is a run of items that follow each
 other once the infrequent lines are left out (the projection step of PrefixSpan), and its support is the
 number of distinct addresses of the site on which it stands. Patterns grow by one item at a time, only from
-frequent prefixes. Every stage is keyed by (site, pattern), with partial aggregation before each shuffle;
+frequent prefixes, until a level is empty. They have no gaps: a block of n lines that is repeated has n(n+1)/2
+runs, but 2^n - 1 subsequences, which say no more of the lines. Every stage is keyed by (site, pattern), with partial aggregation before each shuffle;
 no site, line or document is ever gathered in one task beyond the lines of a single row.
 
 Two lines are the same item if they are equal after lower-casing, writing 0 for each run of digits and
@@ -12,6 +13,8 @@ dropping all but a-z and 0-9. Lines empty after that are no items.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,20 +94,27 @@ def _grown(sequences: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _levels(items: DataFrame, min_pages: int, max_length: int) -> list[DataFrame]:
-    """By level, the occurrences (id, site, page, line_nos, pattern) of the frequent patterns."""
+def _levels(items: DataFrame, min_pages: int, max_length: int | None) -> list[DataFrame]:
+    """By level, the occurrences (id, site, page, line_nos, pattern) of the frequent patterns.
+
+    Without ``max_length``, levels follow until one has no pattern, which is looked up for each.
+    """
     singles = _supported(items, "item", min_pages)
     sequences = _projected(items, singles)
-    if max_length > 1:
+    if max_length != 1:
         # small against the items, and read by every level
         sequences = materialize(sequences)
     levels = [_grown(sequences, 1).drop("prefix")]
     prefixes = None
-    for length in range(2, max_length + 1):
+    for length in count(2) if max_length is None else range(2, max_length + 1):
         runs = _grown(sequences, length)
         if prefixes is not None:
             runs = runs.join(prefixes, ["site", "prefix"], "left_semi")
         patterns = _supported(runs, "pattern", min_pages).select("site", "pattern")
+        if max_length is None:
+            patterns = materialize(patterns)
+            if patterns.isEmpty():
+                break
         levels.append(runs.join(patterns, ["site", "pattern"], "left_semi").drop("prefix"))
         prefixes = patterns.withColumnRenamed("pattern", "prefix")
     return levels
@@ -125,9 +135,9 @@ def repeated_lines(chunks: DataFrame, min_pages: int = 5, max_length: int = 2, *
     return found.distinct()
 
 
-def frequent_sequences(chunks: DataFrame, min_pages: int = 5, max_length: int = 3, **columns: str) -> DataFrame:
+def frequent_sequences(chunks: DataFrame, min_pages: int = 5, max_length: int | None = None, **columns: str) -> DataFrame:
     """(site, length, pattern, pages, example_id, example_lines): the frequent patterns of each site, with
-    their number of distinct pages and the first place where each stands."""
+    their number of distinct pages and the first place where each stands; of any length unless one is given."""
     found = None
     for length, occurrences in enumerate(_levels(line_items(chunks, **columns), min_pages, max_length), 1):
         rows = (

@@ -175,6 +175,15 @@ def test_frequent_sequences_grow_from_frequent_prefixes(spark):
     assert sorted((r.length, r.pages) for r in found) == [(1, 6)] * 3 + [(2, 6)] * 2 + [(3, 6)]
 
 
+def test_frequent_sequences_of_any_length(spark):
+    rows = [(f"c{k}", f"https://s.example/{k}", "\n".join(f"Notice {chr(97 + j)}" for j in range(7 if k < 5 else 5)) + f"\nown {chr(97 + k)} line") for k in range(6)]
+    found = line_repeats.frequent_sequences(spark.createDataFrame(rows, "id string, url string, text string"), 5).collect()
+    want = [(n, 6 if s + n <= 5 else 5) for n in range(1, 8) for s in range(8 - n)]
+    assert sorted((r.length, r.pages) for r in found) == sorted(want)
+    longest = next(r for r in found if r.length == 7)
+    assert longest.example_id == "c0" and longest.example_lines == "1,2,3,4,5,6,7"
+
+
 OUTSIDE = ["Back to top", "» Written by Kel Dun.", "Home > Law > Rulings", "You are here: /law/x", "Menu Close Login Register Help", "Privacy | Accessibility | Terms of use | Sitemap", "We use cookies to improve Site. Accept all or manage settings", "Related: Fees in Kel", "Teachers of Dun - exam fees »", "« Silos and graziers", "By Kel Dun, 26 Jan 2022", "Kel Dun | Staff writer | 3 Feb 2021", "Last reviewed 4 Jan 2025", "© 2025 Site", "Information on Site is general and may not suit you", "Call us on 5550 0199 between 8 am and 6 pm", "All guides A-Z | Calculators | Webinars | Site"]
 INSIDE = ["Reviewed by Kel Holdings in Dun for form KE-1.", "cookies baked for sale from Kel Co. in Dun, $4", "Choose Menu > Fees > Kel > Dun", "fertiliser | Kel | $20 | 2016-17 | silos | Dun | $3 | 2017-18", "Overview: teachers and fees in Dun", "See s. 24 of the guide for fishers, which covers hives.", "- kilns ($4), sold by Kel Co. of Dun", "Next steps: nurses and scrubs in Kel", "Page not found.", "Written by hand, a receipt counts if the payer signs it and dates it."]
 
