@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import urls as U
@@ -36,15 +36,20 @@ def first_of_content(pages: DataFrame, text_col: str, *order: str) -> DataFrame:
     return rows.join(first, "content_hash").where(F.struct(*order) == F.col("__first")).drop("__first").dropDuplicates(["content_hash"])
 
 
-def capped_by_branch(pages: DataFrame, cap: int, *order: str) -> DataFrame:
-    """At most ``cap`` pages of each branch of a site, in order; branch_pos numbers them."""
+def capped_by_branch(pages: DataFrame, cap: int, *order: str, counts: Column | None = None) -> DataFrame:
+    """The pages of each branch of a site, in order, that come before ``cap`` pages that count have come; branch_pos
+    numbers them. Every page counts unless ``counts`` says which do, as a crawl counts first leaves with chunks."""
     by = Window.partitionBy("host", "branch").orderBy(*order)
     rows = pages.withColumn("host", U.authority(F.col("url"))).withColumn("branch", U.branch_key(F.col("url")))
-    return rows.withColumn("branch_pos", F.row_number().over(by)).where(F.col("branch_pos") <= cap)
+    numbered = rows.withColumn("branch_pos", F.row_number().over(by))
+    if counts is None:
+        return numbered.where(F.col("branch_pos") <= cap)
+    before = F.count_if(counts).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    return numbered.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < cap).drop("__before")
 
 
-def page_types(inventory: DataFrame, hubs: DataFrame, chunked: DataFrame) -> DataFrame:
-    """(type, n): fetch-error, blocked, hub, leaf-dup, leaf-empty or leaf for every row of the inventory."""
+def typed(inventory: DataFrame, hubs: DataFrame, chunked: DataFrame) -> DataFrame:
+    """``inventory`` with ``type``: fetch-error, blocked, hub, leaf-dup, leaf-empty or leaf."""
     hub = hubs.where("url IS NOT NULL").select("url").distinct().withColumn("__hub", F.lit(True))
     leaf = chunked.where("url IS NOT NULL").select("url").distinct().withColumn("__leaf", F.lit(True))
     first = inventory.where("url IS NOT NULL AND filename <> ''").groupBy("url").agg(F.min("inv_id").alias("__first"))
@@ -56,7 +61,12 @@ def page_types(inventory: DataFrame, hubs: DataFrame, chunked: DataFrame) -> Dat
         .when(F.coalesce("__leaf", F.lit(False)), "leaf")
         .otherwise("leaf-empty")
     )
-    return rows.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("type", kind).drop("__hub", "__leaf", "__first")
+
+
+def page_types(inventory: DataFrame, hubs: DataFrame, chunked: DataFrame) -> DataFrame:
+    """(type, n) of the rows of the inventory, by ``typed``."""
+    return typed(inventory, hubs, chunked).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def added_files(pages: DataFrame, more: DataFrame, key: str = "filename") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,9 @@ def hub_keywords(pages: DataFrame, hubs: DataFrame, enough: int = 3) -> DataFram
     return own.join(levels, "url", "left").select("url", F.array_distinct(F.concat(F.coalesce(gained, F.array()), X.url_keywords(F.col("url")))).alias("keywords"))
 
 
-def inherited_keywords(links: DataFrame, seeds: DataFrame, own_words: DataFrame, max_depth: int = 8) -> DataFrame:
+def inherited_keywords(links: DataFrame, seeds: DataFrame, own_words: DataFrame) -> DataFrame:
     """(url, depth, keywords): keywords passed along links from the seeds, by breadth-first levels; the first arrival
-    counts. ``links`` has parent, pos, child; ``own_words`` has url, words. Each level is one join and an anti-join,
+    counts, and levels follow until one reaches no further page. ``links`` has parent, pos, child; ``own_words`` has url, words. Each level is one join and an anti-join,
     with its lineage cut."""
     from lexmill.session import materialize
 
@@ -36,7 +38,7 @@ def inherited_keywords(links: DataFrame, seeds: DataFrame, own_words: DataFrame,
         seeds.where("url IS NOT NULL").select("url").distinct().join(own_words, "url", "left").select("url", F.lit(0).alias("depth"), F.coalesce("words", F.array().cast("array<string>")).alias("keywords"))
     )
     edge = reached
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         arrived = (
             edge.join(links, edge["url"] == links["parent"])
             .groupBy("child")

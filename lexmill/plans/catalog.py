@@ -88,6 +88,14 @@ def branch_cap(spark, d):
     return inventory.capped_by_branch(rows, Settings().branch_cap, "inv_id").select("inv_id", "host", "branch", F.col("branch_pos").cast("long").alias("branch_pos"))
 
 
+@query()
+def crawl_cap(spark, d):
+    """The pages that a crawl in the order of the inventory takes: of a branch, up to its fiftieth first leaf with chunks."""
+    rows = inventory.typed(table(spark, d, "inventory").where("url IS NOT NULL"), table(spark, d, "hubs"), table(spark, d, "chunks"))
+    kept = inventory.capped_by_branch(rows, Settings().branch_cap, "inv_id", counts=F.col("type") == "leaf")
+    return kept.select("inv_id", "host", "branch", "type", F.col("branch_pos").cast("long").alias("branch_pos"))
+
+
 @query(f"WITH {_SQL_ABOVE} SELECT url, d AS depth, hub AS ancestor, child FROM a")
 def url_ancestors(spark, d):
     rows = table(spark, d, "inventory").where("url IS NOT NULL").select("url").distinct().select("url", F.explode(U.ancestors(F.col("url"))).alias("a"))
@@ -206,6 +214,24 @@ def hub_keywords(spark, d):
     return rows.withColumn("keywords", F.array_join("keywords", " "))
 
 
+@query()
+def inherited_keywords(spark, d):
+    """Keywords handed down the links of saved pages, from the pages that no other saved page links to; the pages of rings
+    that these don't reach begin too. Hubs give the words of their cards and title, other pages those of their path."""
+    pages = table(spark, d, "inventory").where("filename <> '' AND url IS NOT NULL").groupBy("filename").agg(F.min(F.struct("url", "title")).alias("p"))
+    saved = pages.select(F.col("filename").alias("key"), U.to_https(F.col("p.url")).alias("url"), "p.title")
+    saved = materialize(saved.join(html.hubs(table(spark, d, "rawhtml"), by_shape=True), "key"))
+    found = page_links(spark, d).join(saved.select("key", "url"), "key").where("link IS NOT NULL AND link <> url")
+    links = materialize(found.select(F.col("url").alias("parent"), "pos", F.col("link").alias("child")))
+    given = F.concat(F.flatten(F.transform("card_headings", lambda c: X.keywords(c))), F.coalesce(X.keywords(X.page_title(F.col("title"))), F.array()))
+    hubs = saved.where("is_hub").groupBy("url").agg(F.max(F.array_distinct(given)).alias("cards"))
+    own = saved.select("url").union(links.select("child")).distinct().join(hubs, "url", "left").select("url", F.coalesce("cards", X.url_keywords(F.col("url"))).alias("words"))
+    own = materialize(own)
+    reached = keywords.inherited_keywords(links, saved.select("url").join(links.select(F.col("child").alias("url")), "url", "left_anti"), own)
+    rest = keywords.inherited_keywords(links, saved.select("url").join(reached, "url", "left_anti"), own).join(reached, "url", "left_anti")
+    return reached.unionByName(rest).select("url", F.col("depth").cast("long").alias("depth"), F.array_join("keywords", " ").alias("keywords"))
+
+
 _SQL_HEADING_STOP = "[" + ", ".join(f"'{w}'" for w in HEADING_STOP_WORDS) + "]"
 
 # -- documents -----------------------------------------------------------------------------------------------------

@@ -100,6 +100,40 @@ def test_inherited_keywords(spark):
     assert got == {"a": (0, ["wa"]), "b": (1, ["wa", "wb"]), "c": (1, ["wa"]), "d": (2, ["wa", "wb", "wd"])}
 
 
+def test_inherited_keywords_at_any_depth(spark):
+    links = spark.createDataFrame([(f"n{k}", 0, f"n{k + 1}") for k in range(11)], "parent string, pos int, child string")
+    words = spark.createDataFrame([("n0", ["w0"]), ("n11", ["w11"])], "url string, words array<string>")
+    got = {r.url: (r.depth, r.keywords) for r in keywords.inherited_keywords(links, spark.createDataFrame([("n0",)], "url string"), words).collect()}
+    assert len(got) == 12 and got["n11"] == (11, ["w0", "w11"])
+
+
+def test_inherited_keywords_of_saved_pages(spark, tmp_path):
+    from lexmill.plans import catalog
+
+    at = "https://h.example/"
+    page = lambda *to: "<body><main>" + "".join(f'<a href="/{x}">x</a>' for x in to) + "</main></body>"
+    # a chain longer than eight links, and a ring that nothing leads into
+    chain = [f"tax/step{k}" for k in range(11)]
+    tree = {a: [b] for a, b in zip(chain, chain[1:], strict=False)} | {chain[-1]: [], "ring/one": ["ring/two"], "ring/two": ["ring/one", "ring/out"]}
+    rows = [(k, at + u, 200, "T", f"{k}.html") for k, u in enumerate(tree)]
+    spark.createDataFrame(rows, "inv_id long, url string, status int, title string, filename string").write.parquet(str(tmp_path / "inventory.parquet"))
+    spark.createDataFrame([(f"{k}.html", page(*to)) for k, to in enumerate(tree.values())], "filename string, html string").write.parquet(str(tmp_path / "rawhtml.parquet"))
+    got = {r.url: (r.depth, r.keywords) for r in catalog.QUERIES["inherited_keywords"](spark, str(tmp_path)).collect()}
+    assert set(got) == {at + u for u in [*tree, "ring/out"]}
+    assert got[at + chain[10]] == (10, "tax " + " ".join(f"step{k}" for k in range(11)))
+    assert got[at + "ring/one"] == (0, "ring one") and got[at + "ring/out"] == (1, "ring two out")
+
+
+def test_only_first_leaves_count_toward_the_branch_cap(spark):
+    from lexmill.operators import inventory
+
+    kinds = ["hub", "fetch-error", "leaf", "leaf-dup", "leaf", "leaf-empty", "leaf"]
+    rows = spark.createDataFrame([(k, f"https://h.example/a/b/c/{k}", t) for k, t in enumerate(kinds)], "inv_id int, url string, type string")
+    got = sorted(r.inv_id for r in inventory.capped_by_branch(rows, 2, "inv_id", counts=F.col("type") == "leaf").collect())
+    assert got == [0, 1, 2, 3, 4]
+    assert sorted(r.inv_id for r in inventory.capped_by_branch(rows, 2, "inv_id").collect()) == [0, 1]
+
+
 def test_inventory_merge(spark):
     kind = "inv_id long, url string, status int, title string, filename string, size long, fetched_at timestamp"
     stamp = lambda k: __import__("datetime").datetime(2024, 1, k)
