@@ -179,7 +179,9 @@ def text_is_residue(text: Column) -> Column:
     Null, empty and blank texts are not. A text of any length is looked at as a whole.
     """
     folded = fold_text(text)
-    suspect = F.rlike(folded, F.lit(_PLACEHOLDER)) | F.rlike(folded, F.lit(_PHRASE)) | F.rlike(folded, F.lit(_LATIN_RUN))
+    # spaced as the sentences are below, with fewer replacements
+    spaced = F.regexp_replace(folded, r"\s{2,}|[^\S ]", " ")
+    suspect = F.rlike(spaced, F.lit(_PLACEHOLDER)) | F.rlike(spaced, F.lit(_PHRASE)) | F.rlike(spaced, F.lit(_LATIN_RUN))
     plain = F.regexp_replace(F.regexp_replace(folded, _CODE, " "), _QUOTED, " ")
     sentences = F.transform(F.split(plain, _SENTENCES), _spaced)
     filled = F.filter(sentences, lambda s: F.rlike(s, F.lit(_PLACEHOLDER)))

@@ -140,6 +140,14 @@ def test_pieces_stay_under_the_limit_and_rebuild_the_text(spark):
     assert page == [(k, len(page)) for k in range(len(page))]
 
 
+def test_residue_with_doubled_blanks_and_wraps(spark):
+    texts = ["{{ first  name }} may claim the fee.", "It says page  not\nfound. ", "Complete the check below\nto  go on", "Warning:  mysql_query(): failed"]
+    both = [(f"{k}{way}", f(t)) for k, t in enumerate(texts) for way, f in (("wide", str), ("plain", lambda t: " ".join(t.split()) + " "))]
+    df = spark.createDataFrame([*both, ("none", "Keep the  note.\nThe fee  is paid.")], "id string, text string")
+    got = {r.id for r in df.where(residue.text_is_residue(F.col("text"))).collect()}
+    assert got == {i for i, _ in both}
+
+
 def brute_repeats(rows, least):
     form = lambda s: re.sub("[^a-z0-9]+", "", re.sub("[0-9]+", "0", s.lower()))
     pages = {}
