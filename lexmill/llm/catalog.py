@@ -63,7 +63,7 @@ def p6_found(spark, d):
 
 
 def p6_text(spark, d):
-    return main_body.main_text(table(spark, d, "chunks")).select("id", "text_main").distinct()
+    return main_body.main_body(table(spark, d, "chunks"), table(spark, d, "rawhtml"))
 
 
 def p7_pack(spark, d):

@@ -204,6 +204,8 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("html", "", None)
+        #: Texts in the order of the page, blank ones too: (element, line number, text).
+        self.pieces: list[tuple[_Node, int, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _VOID or tag == "html":
@@ -224,6 +226,8 @@ class _Tree(HTMLParser):
             self.at = node.up
 
     def handle_data(self, data: str) -> None:
+        first = self.getpos()[0]
+        self.pieces += [(self.at, first + k, x) for k, x in enumerate(data.split("\n")) if x]
         if not data.strip():
             return
         node, link = self.at, False
@@ -232,7 +236,6 @@ class _Tree(HTMLParser):
                 return
             link = link or node.tag in ("a", "button")
             node = node.up
-        first = self.getpos()[0]
         self.at.lines += [(first + k, x.strip()) for k, x in enumerate(data.split("\n")) if x.strip()]
         size, node = len(data.strip()), self.at
         while node is not None:
@@ -260,13 +263,15 @@ def _standing(node: _Node) -> float:
     return (node.points + weight) * (1 - node.density())
 
 
-def lines_outside_main(html: str | None) -> list[int]:
-    """Numbers of the lines of a page that hold visible text outside its main body."""
-    if not html or not html.strip():
-        return []
+def _read(html: str) -> _Tree:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    return tree
+
+
+def _main_nodes(tree: _Tree) -> list[_Node]:
+    """The elements of a page that are main body, each without those below it."""
     _score(tree.root)
     places = [n for n in tree.root.walk() if n.tag in _BLOCKS and n.tag not in _LEAF and n.points > 0 and n.tag not in ("html", "body")]
     best = max(places, key=_standing, default=None)
@@ -282,7 +287,7 @@ def lines_outside_main(html: str | None) -> list[int]:
             prose = other.tag == "p" and other.size > 80 and other.density() < 0.25
             if other is not best and (prose or other.tag == "h1" or (other.tag in _BLOCKS and _standing(other) >= least)):
                 kept.append(other)
-    inside: set[int] = set()
+    inside: list[_Node] = []
     stack = list(kept)
     while stack:
         node = stack.pop()
@@ -295,11 +300,42 @@ def lines_outside_main(html: str | None) -> list[int]:
                 line = re.sub(r"^[-–—•*»«›‹\s]+|[\s.]+$", "", re.sub(r"\s+", " ", node.lines[0][1]))
                 if (_LINE_CUE if len(line) <= LONGEST_NOTICE else _LONG_LINE_CUE).search(line):
                     continue
-        inside.update(no for no, _ in node.lines)
+        inside.append(node)
         stack.extend(node.below)
+    return inside
+
+
+def lines_outside_main(html: str | None) -> list[int]:
+    """Numbers of the lines of a page that hold visible text outside its main body."""
+    if not html or not html.strip():
+        return []
+    tree = _read(html)
+    inside = {no for node in _main_nodes(tree) for no, _ in node.lines}
     return sorted({no for n in tree.root.walk() for no, _ in n.lines} - inside)
 
 
+def main_text_of(html: str | None) -> str | None:
+    """The visible text of a page's main body, a line for each line of the page and each block on it."""
+    if html is None:
+        return None
+    tree = _read(html)
+    inside = {id(node) for node in _main_nodes(tree) if node.lines or node.below}
+    lines: list[list[str]] = []
+    last = None
+    for node, no, text in tree.pieces:
+        if id(node) not in inside or node.tag in _UNSEEN:
+            continue
+        block = node
+        while block.tag not in _BLOCKS and block.up is not None:
+            block = block.up
+        if last != (no, id(block)):
+            lines.append([])
+            last = (no, id(block))
+        lines[-1].append(text)
+    joined = (re.sub(r"\s+", " ", "".join(x)).strip() for x in lines)
+    return "\n".join(x for x in joined if x)
+
+
 def page_lines_outside(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
     """(key, line_no) of the visible lines outside each page's main body; null keys and pages give nothing."""
 
@@ -317,6 +353,28 @@ def page_lines_outside(pages: DataFrame, key_col: str = "filename", html_col: st
     )
 
 
+def page_main_text(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
+    """(key, text_main): the main body's visible text of each saved page, null for a null page; null keys give nothing."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "text_main": [main_text_of(x) for x in batch["html"]]})
+
+    return (
+        pages.select(F.col(key_col).cast("string").alias("key"), F.col(html_col).alias("html"))
+        .where(F.col("key").isNotNull())
+        .mapInPandas(scan, "key string, text_main string")
+        .distinct()
+    )
+
+
+def main_body(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(src_table, rec_key, text_main): the main body of every chunk and of every saved page."""
+    texts = main_text(chunks).select(F.lit("chunks").alias("src_table"), F.col("id").alias("rec_key"), "text_main").distinct()
+    html = page_main_text(pages).select(F.lit("rawhtml").alias("src_table"), F.col("key").alias("rec_key"), "text_main")
+    return texts.unionByName(html)
+
+
 def outside_main_body(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """(src_table, rec_key, line_no) of every line of chunks and saved pages that is not main body."""
     texts = text_lines_outside(chunks).select(F.lit("chunks").alias("src_table"), F.col("id").alias("rec_key"), "line_no")
@@ -326,6 +384,7 @@ def outside_main_body(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 
 def main_text(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """``chunks`` with ``text_main``: the lines of the text that are main body. All rows and columns stay."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: (_bare(x) == "") | (line_points(x) > 0))
-    return chunks.withColumn("text_main", F.array_join(kept, "\n"))
+    # each line is folded once, before it is judged
+    lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(x.alias("line"), _bare(x).alias("bare")))
+    kept = F.filter(lines, lambda x: (x["bare"] == "") | (_points(x["bare"]) > 0))
+    return chunks.withColumn("text_main", F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))

@@ -271,6 +271,29 @@ def test_lines_of_saved_pages(spark):
     assert got == [("p", k) for k in (5, 7, 8, 15, 21, 22, 23)]
 
 
+def test_main_text_of_saved_pages(spark, data):
+    from lexmill.llm import catalog
+
+    want = [
+        "Fees, and how to claim them",
+        "The office treats fees as part of teaching, where the supplier sent a dated invoice, and the use can be shown.",
+        "Most teachers keep receipts for about 15 months, after that, the deduction is lost if the note is missing.",
+        "Form KE-1 - kept by Kel Trust PDF",
+    ]
+    assert main_body.main_text_of(PAGE).split("\n") == want
+    # blocks on one line are lines of their own, inline marks are not, and wrapped lines stay as they are
+    one = "<body><div><h1>Fees</h1><p>Keep the <b>dat</b>ed <i>invoice</i>, the note and the receipt of it, always.</p><p>Then claim,\nin time, what was paid.</p></div><footer><p>© 2025 Site</p></footer></body>"
+    assert main_body.main_text_of(one) == "Fees\nKeep the dated invoice, the note and the receipt of it, always.\nThen claim,\nin time, what was paid."
+    assert main_body.main_text_of(None) is None and main_body.main_text_of("") == ""
+    df = spark.createDataFrame([("p", PAGE), ("p", PAGE), ("n", None), (None, PAGE)], "filename string, html string")
+    assert sorted((r.key, r.text_main) for r in main_body.page_main_text(df).collect()) == [("n", None), ("p", "\n".join(want))]
+    rows = catalog.p6_text(spark, data)
+    keys = {(r.src_table, r.rec_key) for r in rows.select("src_table", "rec_key").collect()}
+    pages = {r.filename for r in spark.read.parquet(f"{data}/rawhtml.parquet").select("filename").collect()} - {None}
+    assert rows.columns == ["src_table", "rec_key", "text_main"]
+    assert {k for s, k in keys if s == "rawhtml"} == pages and any(s == "chunks" for s, _ in keys)
+
+
 @pytest.mark.parametrize("html", ["<p>", "</p></div>", "<ul><li>a<li>b", "<table><tr><td>x", "<!-- only a comment -->", "<p" * 50])
 def test_broken_markup_does_not_fail(html):
     assert isinstance(main_body.lines_outside_main(html), list)
