@@ -297,3 +297,27 @@ def test_main_text_of_saved_pages(spark, data):
 @pytest.mark.parametrize("html", ["<p>", "</p></div>", "<ul><li>a<li>b", "<table><tr><td>x", "<!-- only a comment -->", "<p" * 50])
 def test_broken_markup_does_not_fail(html):
     assert isinstance(main_body.lines_outside_main(html), list)
+
+
+def test_semicolons_are_no_places(spark):
+    text = "interest starts from the day after; Short absences are ignored; • cookies are sold. The end"
+    assert place_list(spark, text, 10) == [14]
+
+
+def test_narrow_hard_wraps_are_told_by_their_own_width(spark):
+    import textwrap
+
+    prose = " ".join(f"Sentence number {k} speaks of the limit that Kel Holdings uses in the year." for k in range(30))
+    for width in (60, 76, 95):
+        assert place_list(spark, textwrap.fill(prose, width), 100) == place_list(spark, prose, 100)
+
+
+def test_long_words_are_one_word_and_may_be_cut(spark):
+    words = ["One two three four."] * 3 + ["x" * 6000 + " ends here."] + ["Five six seven."] * 4
+    text = " ".join(words)
+    short = " ".join(w.replace("x" * 6000, "x") for w in words)
+    assert place_list(spark, text, 10) == place_list(spark, short, 10) != []
+    df = spark.createDataFrame([("i", "u", text, 0, 1)], "id string, url string, text string, chunk_index int, chunk_total int")
+    rows = sorted(splitting.split_oversized(df, 4, 0, word_chars=1000).collect(), key=lambda r: r.piece)
+    assert "".join(r.text for r in rows).replace(" ", "") == text.replace(" ", "")
+    assert max(len(r.text) for r in rows) <= 3 * 1000 + 2
