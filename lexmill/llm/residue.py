@@ -1,7 +1,8 @@
 """Template residue, filler text and error pages.
 
 Placeholders are found by one small grammar for each delimiter: what stands between the delimiters must be
-a field name, not an expression or prose. Filler and error messages are found by their phrases. Code blocks,
+a field name, or an expression in the delimiters of template languages, not prose. Filler and error messages are found
+by their phrases, filler Latin by its word endings and its want of function words. Code blocks,
 inline code and quoted words are left out before, since guidance quotes messages and shows templates; a
 sentence that explains templates, formulas or labels is discounted, and a text in which such sentences
 outnumber the plain ones is taken for a tutorial.
@@ -18,14 +19,19 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import fold_text
 
 #: A field name: identifier parts joined by dots, hyphens or one space.
-FIELD = r"[A-Za-z0-9_][A-Za-z0-9_.\-]{0,40}(?:\s[A-Za-z0-9_][A-Za-z0-9_.\-]{0,40})?"
+NAME = r"[A-Za-z0-9_][A-Za-z0-9_.\-]*+"
+FIELD = rf"{NAME}(?:\s{NAME})?"
+#: An expression of a template language: names and quoted values, then filters or operators with theirs. Since
+#: quoted words are taken out of a text before its context is looked at, an operator may be left without its value.
+VALUE = rf"(?:{NAME}|'[^'\n]*'|\"[^\"\n]*\")"
+EXPRESSION = rf"{NAME}(?:\[{VALUE}\]|\({VALUE}?\))*(?:\s?(?:[|:,?+*/=!<>-]{{1,3}}\s?)?{VALUE})*(?:\s?[|:,=<>]{{1,3}})?"
 
 #: The grammar of each delimiter pair.
 DELIMITED = [
-    rf"\{{\{{\s?{FIELD}\s?\}}\}}",
-    rf"\{{%\s?{FIELD}\s?%\}}",
-    rf"<%=?\s?{FIELD}\s?%>",
-    rf"\$\{{\s?{FIELD}\s?\}}",
+    rf"\{{\{{[-~#/^>&]?\s?{EXPRESSION}\s?[-~]?\}}\}}",
+    rf"\{{%[-+]?\s?{EXPRESSION}\s?[-+]?%\}}",
+    rf"<%[=-]?\s?{EXPRESSION}\s?-?%>",
+    rf"[$#]\{{\s?{EXPRESSION}\s?\}}",
     rf"\{{{FIELD}\}}",
     rf"\[\[\s?{FIELD}\s?\]\]",
     r"(?i:\[(?:insert|enter|add|your)\s[^\[\]\n]{1,60}\])",
@@ -38,8 +44,8 @@ DELIMITED = [
     r"(?i:<[^<>\n]{1,60}\sgoes\shere>)",
     rf"%%{FIELD}%%",
     rf"@@{FIELD}@@",
-    rf"__{FIELD}?__",
-    r"#[A-Za-z][A-Za-z0-9_.\-]{0,40}(?:\s[A-Za-z0-9_.\-]{1,40})?#",
+    r"__(?:[A-Za-z0-9][A-Za-z0-9_.\-]*?(?:\s[A-Za-z0-9][A-Za-z0-9_.\-]*?)?)?__",
+    rf"#[A-Za-z][A-Za-z0-9_.\-]*+(?:\s{NAME})?#",
     r"(?i:#(?:ref!|n/a|name\?|value!|div/0!))",
     r"(?i:\$x(?:,xxx)+\b)",
     r"(?<![\w%])%[sd]\b",
@@ -53,57 +59,58 @@ UNSET = [
     r"(?i:xx/xx/xxxx\b)",
     r"NN?/NN?/NNNN\b",
 ]
+#: Notes to whoever was to write the text.
 FILLER = [
     r"lorem\sipsum\b",
-    r"add\s(?:\w+\s){1,4}sentences\sabout\b.{1,120}?\shere\b",
-    r"draft\stext\b.{0,12}copy\sto\scome\b",
-    r"copy\sto\scome\sfrom\b",
-    r"todo:?\s(?:confirm|add|check|write|replace|fix|insert)\b",
+    r"(?:add|write|insert)\s(?:\w+\s){1,4}(?:sentences?|paragraphs?|words)\s(?:about|on)\b.{1,120}?\shere\b",
+    r"draft\s(?:text|copy)\b.{0,12}copy\sto\scome\b",
+    r"(?:copy|text|wording|content)\sto\s(?:come|follow)\sfrom\b",
+    r"todo:?\s(?:confirm|add|check|write|replace|fix|insert|update|remove)\b",
     r"your\s(?:heading|title|text|copy|content)\s(?:goes\s)?here\b",
-    r"placeholder\s(?:paragraph|sentence|text|copy|content)\b",
-    r"to\ssupply\swording\b",
-    r"replace\sthis\s(?:paragraph|sentence|text|section)\b",
-    r"(?:text|title|content)\sgoes\shere\b",
+    r"(?:placeholder|dummy|filler)\s(?:paragraph|sentence|text|copy|content)\b",
+    r"to\s(?:supply|provide|send|confirm|write)\s(?:the\s)?(?:wording|copy|text)\b",
+    r"(?:replace|rewrite|delete)\sthis\s(?:paragraph|sentence|text|section|placeholder)\b",
+    r"(?:heading|text|title|content|copy)\sgoes\shere\b",
 ]
 SCRIPTS = [
     r"(?:enable|activate|switch\son|turn\son)\sjavascript\b",
     r"javascript\s(?:is|must\sbe)\s(?:not\savailable|disabled|required|enabled|switched\soff|turned\soff)\b",
-    r"page\s(?:requires|needs)\s(?:java)?scripts?\b",
+    r"(?:page|site)\s(?:requires|needs)\s(?:java)?scripts?\b",
     r"scripts\s(?:must\sbe\s)?(?:switched|turned)\son\b",
     r"(?:veuillez\s)?activer\sjavascript\b",
     r"aktivieren\ssie\sjavascript\b",
-    r"(?:active|activa)\sjavascript\spara\b",
+    r"(?:active|activa|habilite)\sjavascript\spara\b",
 ]
 ERRORS = [
     r"http\serror\s[45]\d\d\b",
     r"[45]\d\d\s[-–]\swe\scould\snot\sfind\b",
-    r"(?:bad\sgateway|page\snot\sfound|access\sdenied)\.(?:\s|$)",
-    r"upstream\shost\sdid\snot\sreply\b",
+    r"(?:bad\sgateway|gateway\stime-?out|page\snot\sfound|access\sdenied|forbidden)\.(?:\s|$)",
+    r"upstream\s(?:host|server)\s(?:did\snot|failed\sto)\s(?:reply|respond|answer)\b",
     r"the\sservice\sis\s(?:temporarily\s)?unavailable\b",
     r"internal\sserver\serror:",
     r"warning:\s\w+\(\):",
-    r"template\s\S+\smissing\b",
-    r"cannot\srender\sbody\b",
+    r"template\s\S+\s(?:is\s)?(?:missing|not\sfound)\b",
+    r"(?:cannot|could\snot|failed\sto|unable\sto)\srender\s(?:the\s)?(?:body|page|template|view|block)\b",
     r"down\sfor\smaintenance\b",
     r"too\smany\srequests\sfrom\b",
     r"are\syou\sa\srobot\?",
     r"complete\sthe\scheck\b.{0,80}?\sto\s(?:go\son|continue)\b",
     r"checking\syour\sbrowser\s",
-    r"your\ssession\b.{0,80}?\shas\sexpired\b",
+    r"your\ssession\b.{0,80}?\shas\s(?:expired|timed\sout)\b",
     r"sign\sin\sagain\sto\scontinue\b",
     r"something\swent\swrong\swhile\s",
-    r"may\shave\sbeen\smoved\sor\swithdrawn\b",
+    r"may\shave\sbeen\s(?:moved|removed|deleted)\sor\s(?:withdrawn|renamed|moved|removed)\b",
     r"you\sdo\snot\shave\spermission\sto\s(?:view|access)\b",
-    r"(?:address|page|document)\s/\S*\s(?:does\snot\sexist|is\sno\slonger\savailable)\b",
+    r"(?:address|page|document)\s/\S*\s(?:does\snot\sexist|is\sno\slonger\savailable|was\snot\sfound)\b",
     r"seite\snicht\sgefunden\s?:",
     r"page\sintrouvable\s?:",
     r"p[áÁ]gina\sno\sencontrada\s?:",
 ]
-#: Words of filler Latin; a sentence made mostly of them is filler.
-LATIN = """alba amet consectetur adipiscing aliqua corpis dolor dolore dolores eiusmod elit ferrum grava incididunt ipsum
-labore ligna lorem luct magna magra morat noctus novem omnis parvum pavo pretum quora ridet sedim selva sint sit tempor
-tempus tinct ultra undis velit vestra""".split()
-
+#: How words of filler Latin end, and words that true text of the corpus' languages can hardly do without.
+LATIN_ENDS = "a ae am at ct em et ia is it nt o or ora um ur us re".split()
+FUNCTION_WORDS = """the a an and or of to in on for is are be by as at it if you your we our that this with from not no was were will can may
+when where how what which who le la les des du un une et pour dans sur est sont que qui au aux par en der die das und für ist sind mit von
+den dem ein eine auf bis el los las del una para por con es son y de sold through menu""".split()
 
 
 def _by_first_letter(patterns: list[str]) -> str:
@@ -119,8 +126,14 @@ _PLACEHOLDER = "(?:(?=[\\[{<%@#_$«])(?:" + "|".join(DELIMITED) + ")|\\b(?:" + "
 #: An exception's name ends where its message begins, so this one may start inside a word.
 _EXCEPTION = r"exception\sat\s\w+\("
 _PHRASE = r"(?i:\b(?:" + _by_first_letter([*FILLER, *SCRIPTS, *ERRORS]) + ")|" + _EXCEPTION + ")"
-_LATIN_RUN = r"(?i:(?:\b(?:" + _by_first_letter(LATIN) + r")\b[\s,.]{1,3}){2})"
-_LATIN_WORD = r"(?i)\b(?:" + "|".join(LATIN) + r")\b"
+_LATIN_WORD = r"(?i)\b[a-z]{2,}(?<=" + "|".join(LATIN_ENDS) + r")\b"
+#: Three words in a row that end like Latin, the first two in a way in which few English words do.
+_LATIN_RUN = (
+    r"(?i)(?:\b(?!(?:for|your|our|this|his|that|into|also|per)\b)[a-z]{3,}(?<=[ao]|am|em|et|is|it|or|um|ur|us),?\s){2}"
+    r"\b[a-z]{3,}(?<=[ao]|am|em|et|is|it|or|um|ur|us|nt|ct|re|at)\b"
+)
+#: What true text holds: a function word, a figure or a mark between cells.
+_TRUE_TEXT = r"(?iu)\b(?:" + "|".join(FUNCTION_WORDS) + r")\b|[|\d$>:/]"
 _CODE = r"(?s)```.*?```|~~~.*?~~~|`[^`\n]{1,120}`|<(code|pre)\b[^>]*>.*?</\1>"
 _QUOTED = r"(?<=[\s(])['‘\"“][^'’\"”\n]{1,80}['’\"”](?=[\s.,;:)!?]|$)"
 _SENTENCES = r"(?<=[.!?])\s+(?=\p{Lu}|[\[{<«#$%@_])|\n(?=\s*\n)|\n(?=\s*[-–•*»«0-9])"
@@ -183,15 +196,17 @@ def text_is_residue(text: Column) -> Column:
     spaced = F.regexp_replace(folded, r"\s{2,}|[^\S ]", " ")
     suspect = F.rlike(spaced, F.lit(_PLACEHOLDER)) | F.rlike(spaced, F.lit(_PHRASE)) | F.rlike(spaced, F.lit(_LATIN_RUN))
     plain = F.regexp_replace(F.regexp_replace(folded, _CODE, " "), _QUOTED, " ")
+    lines = F.transform(F.split(plain, "\n"), _spaced)
     sentences = F.transform(F.split(plain, _SENTENCES), _spaced)
     filled = F.filter(sentences, lambda s: F.rlike(s, F.lit(_PLACEHOLDER)))
     explains = lambda s: F.rlike(F.regexp_replace(s, _PLACEHOLDER, " "), F.lit(_TUTORIAL))
     open_ones = F.size(F.filter(filled, lambda s: ~explains(s)))
     placeholder = (open_ones > 0) & (open_ones * 2 >= F.size(filled))
     words = lambda s: F.size(F.split(F.trim(s), " "))
+    # filler Latin: at least five words, no true text among them, and most of them end like Latin
     latin = F.exists(
-        sentences,
-        lambda s: F.rlike(s, F.lit(_LATIN_RUN)) & (F.regexp_count(s, F.lit(_LATIN_WORD)) * 2 >= words(s)),
+        F.flatten(F.transform(lines, lambda s: F.split(s, r"(?<=[.!?])\s"))),
+        lambda s: F.rlike(s, F.lit(_LATIN_RUN)) & ~F.rlike(s, F.lit(_TRUE_TEXT)) & (words(s) >= 5) & (F.regexp_count(s, F.lit(_LATIN_WORD)) * 5 >= words(s) * 3),
     )
     phrase = F.rlike(_spaced(plain), F.lit(_PHRASE))
     return F.coalesce(F.when(suspect, phrase | placeholder | latin).otherwise(F.lit(False)), F.lit(False))

@@ -167,9 +167,8 @@ def test_line_repeats_match_brute_force(spark):
         rows.append((f"c{k}", f"https://{site}/p{rng.randint(0, 30)}", "\n".join(body)))
     rows += [("c0", *rows[0][1:]), ("n", None, "Back to top"), ("m", "https://a.example/x", None)]
     df = spark.createDataFrame(rows, "id string, url string, text string").withColumn("page", F.lit(1)).withColumn("item", F.lit(1))
-    for length in (1, 2, 3):
-        got = {(r.id, r.line_no) for r in line_repeats.repeated_lines(df, 5, length).collect()}
-        assert got == brute_repeats(rows, 5)
+    got = {(r.id, r.line_no) for r in line_repeats.repeated_lines(df, 5).collect()}
+    assert got == brute_repeats(rows, 5)
     clean = {r.id: r for r in line_repeats.without_repeated_lines(df, 5).collect()}
     gone = brute_repeats(rows, 5)
     for i, _, t in rows[:120]:
@@ -177,19 +176,51 @@ def test_line_repeats_match_brute_force(spark):
     assert clean["m"].text_clean is None
 
 
+SEQ = "id string, url string, text string"
+
+
+def brute_closed(rows, least):
+    """Closed frequent sequences with gaps: {(site, items): (pages, docs)}."""
+    import itertools
+
+    stands = {}
+    docs = {(i, u, t) for i, u, t in rows if i and u and t}
+    for i, u, t in docs:
+        lines = [x for x in t.split("\n") if x]
+        own = {c for n in range(1, len(lines) + 1) for c in itertools.combinations(lines, n)}
+        for c in own:
+            stands.setdefault((u.split("/")[2], c), set()).add((i, u))
+    often = {k: v for k, v in stands.items() if len({u for _, u in v}) >= least}
+    longer = {(s, c[:j] + c[j + 1 :], len(v)) for (s, c), v in often.items() for j in range(len(c))}
+    return {(s, c): (len({u for _, u in v}), len(v)) for (s, c), v in often.items() if (s, c, len(v)) not in longer}
+
+
 def test_frequent_sequences_grow_from_frequent_prefixes(spark):
     rows = [(f"c{k}", f"https://s.example/{k}", f"own {k}x{chr(97 + k)}\nNotice one\nNotice two\nNotice three") for k in range(6)]
-    found = line_repeats.frequent_sequences(spark.createDataFrame(rows, "id string, url string, text string"), 5, 3).collect()
-    assert sorted((r.length, r.pages) for r in found) == [(1, 6)] * 3 + [(2, 6)] * 2 + [(3, 6)]
+    rows += [("d", "https://s.example/d", "Notice three\nNotice one")]
+    found = line_repeats.frequent_sequences(spark.createDataFrame(rows, SEQ), 5).collect()
+    assert sorted((r.length, r.pages) for r in found) == [(1, 7), (1, 7), (3, 6)]
+
+
+def test_frequent_sequences_have_gaps_and_are_closed(spark):
+    rng = random.Random(8)
+    for letters, most, n in (("abcd", 5, 60), ("abcdefgh", 7, 90), ("ab", 6, 40)):
+        rows = [(f"c{k}", f"https://{rng.choice('xy')}.example/{rng.randint(0, 25)}", "\n".join(f"line {rng.choice(letters)}" for _ in range(rng.randint(0, most)))) for k in range(n)]
+        rows += [rows[0], ("n", None, "line a"), (None, "https://x.example/1", "line b"), ("m", "https://x.example/2", None)]
+        want = brute_closed(rows, 5)
+        found = line_repeats.frequent_sequences(spark.createDataFrame(rows, SEQ), 5).collect()
+        text = {(i, n): x for i, _, t in rows if i and t for n, x in enumerate(t.split("\n"), 1)}
+        got = {(r.site, tuple(text[r.example_id, int(n)] for n in r.example_lines.split(","))): (r.pages, r.docs) for r in found}
+        assert len(want) > 10 and len(found) == len(got) and got == want
 
 
 def test_frequent_sequences_of_any_length(spark):
-    rows = [(f"c{k}", f"https://s.example/{k}", "\n".join(f"Notice {chr(97 + j)}" for j in range(7 if k < 5 else 5)) + f"\nown {chr(97 + k)} line") for k in range(6)]
-    found = line_repeats.frequent_sequences(spark.createDataFrame(rows, "id string, url string, text string"), 5).collect()
-    want = [(n, 6 if s + n <= 5 else 5) for n in range(1, 8) for s in range(8 - n)]
-    assert sorted((r.length, r.pages) for r in found) == sorted(want)
-    longest = next(r for r in found if r.length == 7)
-    assert longest.example_id == "c0" and longest.example_lines == "1,2,3,4,5,6,7"
+    rows = [(f"c{k}", f"https://s.example/{k}", "\n".join(f"Notice {chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(90 if k < 5 else 60)) + f"\nown {chr(97 + k)} line") for k in range(6)]
+    found = line_repeats.frequent_sequences(spark.createDataFrame(rows, SEQ), 5).collect()
+    assert sorted((r.length, r.pages) for r in found) == [(60, 6), (90, 5)]
+    longest = next(r for r in found if r.length == 90)
+    assert longest.example_id == "c0" and longest.example_lines == ",".join(map(str, range(1, 91)))
+    assert line_repeats.frequent_sequences(spark.createDataFrame([], SEQ), 5).count() == 0
 
 
 OUTSIDE = ["Back to top", "» Written by Kel Dun.", "Home > Law > Rulings", "You are here: /law/x", "Menu Close Login Register Help", "Privacy | Accessibility | Terms of use | Sitemap", "We use cookies to improve Site. Accept all or manage settings", "Related: Fees in Kel", "Teachers of Dun - exam fees »", "« Silos and graziers", "By Kel Dun, 26 Jan 2022", "Kel Dun | Staff writer | 3 Feb 2021", "Last reviewed 4 Jan 2025", "© 2025 Site", "Information on Site is general and may not suit you", "Call us on 5550 0199 between 8 am and 6 pm", "All guides A-Z | Calculators | Webinars | Site"]
@@ -321,3 +352,23 @@ def test_long_words_are_one_word_and_may_be_cut(spark):
     rows = sorted(splitting.split_oversized(df, 4, 0, word_chars=1000).collect(), key=lambda r: r.piece)
     assert "".join(r.text for r in rows).replace(" ", "") == text.replace(" ", "")
     assert max(len(r.text) for r in rows) <= 3 * 1000 + 2
+
+
+def test_template_expressions_and_unknown_filler(spark):
+    bad = [
+        "Dear {{ customer.name | upper }}, hello",
+        "Dear {{ first name of customer }}, hello",
+        "Dear {{ user['name'] | default: 'friend' }}, hello",
+        "{% if x == 1 %} Pay the fee.",
+        "{%- for item in cart.items -%} Pay the fee.",
+        "Total <%= order.total * 2 %> is due",
+        "Total #{order_total} is due",
+        "Dear {{" + "very_long_field_name_" * 10 + "}}, hello",
+        "Guidance first.\nMorbi pretium egestas lectus viverra fermentum. More guidance for you.",
+        "The server said: unable to render the template for this page.",
+    ]
+    good = ["In the set {B + C, D} the letters are sums.", "Radio, video and piano media data are for sale.", "Agenda: Santa Monica area era", "A gorilla, a panda and a koala sit in a villa."]
+    assert [t for t, f in zip(bad, flags(spark, residue.text_is_residue, bad), strict=True) if not f] == []
+    assert [t for t, f in zip(good, flags(spark, residue.text_is_residue, good), strict=True) if f] == []
+    spaced = ["Page  not  found. Try again.", "Upstream  host did not reply", "The service is  unavailable", "Access\n denied. Go back."]
+    assert flags(spark, residue.text_is_residue, spaced) == [True] * 4
