@@ -135,6 +135,26 @@ c AS (SELECT a.idx AS a, b.idx AS b, list_inner_product(a.v, b.v) / (a.n * b.n)
 r AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS k FROM c)
 SELECT DISTINCT least(a, b) AS idx_a, greatest(a, b) AS idx_b FROM r WHERE k <= 10 AND cosine >= 0.9""",
     "p5_found": f"WITH {_LINES} SELECT id, line_no FROM found",
+    # every subsequence of each chunk's frequent lines, grown from its leftmost place; then those that are closed
+    "p5_sequences": f"""WITH RECURSIVE {_LINES},
+seqs AS (
+  SELECT id, l.url, l.site, l.form, line_no, row_number() OVER (PARTITION BY id, l.url ORDER BY line_no) AS pos
+  FROM (SELECT DISTINCT id, url, site, form, line_no FROM lines) l JOIN often o ON l.site = o.site AND l.form = o.form),
+step AS (
+  SELECT a.id, a.url, a.pos AS start, s.form, min(s.pos) AS pos, arg_min(s.line_no, s.pos) AS line_no
+  FROM (SELECT DISTINCT id, url, pos FROM seqs UNION SELECT DISTINCT id, url, 0 FROM seqs) a JOIN seqs s ON s.id = a.id AND s.url = a.url AND s.pos > a.pos
+  GROUP BY a.id, a.url, a.pos, s.form),
+grown(id, url, forms, nos, pos) AS (
+  SELECT id, url, [form], [line_no], pos FROM step WHERE start = 0
+  UNION ALL
+  SELECT g.id, g.url, list_append(g.forms, s.form), list_append(g.nos, s.line_no), s.pos FROM grown g JOIN step s ON s.id = g.id AND s.url = g.url AND s.start = g.pos),
+sup AS (
+  SELECT s.site, g.forms, count(DISTINCT g.url) AS pages, count(*) AS docs, min({{'id': g.id, 'nos': g.nos}}) AS first
+  FROM grown g JOIN (SELECT DISTINCT id, url, site FROM seqs) s ON s.id = g.id AND s.url = g.url GROUP BY s.site, g.forms HAVING count(DISTINCT g.url) >= 5),
+longer AS (
+  SELECT DISTINCT site, list_concat(forms[1:k - 1], forms[k + 1:]) AS forms, docs FROM (SELECT site, forms, docs, unnest(range(1, len(forms) + 1)) AS k FROM sup))
+SELECT site, CAST(len(forms) AS BIGINT) AS length, pages, docs, first.id AS example_id, array_to_string(first.nos, ',') AS example_lines
+FROM sup ANTI JOIN longer USING (site, forms, docs)""",
     "p5_clean": f"""WITH {_LINES},
 kept AS (
   SELECT c.id, c.text, c.line, c.line_no, f.id IS NULL AS stays
