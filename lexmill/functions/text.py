@@ -41,7 +41,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def squeezed(text: Column) -> Column:
     """Invisible marks dropped, runs of blanks (not line breaks) to one space, ends trimmed."""
-    bare = F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), "[\\u200B-\\u200F\\u202A-\\u202E]", "")
+    bare = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), "[\\u200B-\\u200F\\u202A-\\u202E]", "")
     return spaces(F.regexp_replace(bare, r"[ \t\r\f\x0B]+", " "))
 
 

@@ -1,215 +1,256 @@
-"""Reading saved pages: titles, links, hub cards and sections, one page at a time inside Arrow batches."""
+"""Reading saved pages: outlines, sections, hub cards, links and titles.
+
+A page is parsed once, inside Arrow batches, into its outline: the elements in document order as a flat array, each with
+the place of its last descendant and the range of text pieces inside it, and the text pieces. What lies inside an
+element is then a slice of either array, and the content root, noise, sections, hub tests and links are expressions over
+the outline, without further Python and without a shuffle. ``sections``, ``hubs`` and ``links`` take pages or outlines,
+so that a caller who wants several of them parses once.
+"""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexmill.config import BOILERPLATE, NOISE_HEADINGS
+from lexmill.config import NOISE_HEADINGS
+from lexmill.functions import text as X
+from lexmill.functions import urls as U
 
-_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_HEADINGS = ("h1", "h2", "h3", "h4")
-_PARTS = set("p li td th dt dd blockquote pre figcaption".split())
-_DROPPED = set("script style noscript svg img picture video iframe header footer nav".split())
+# Tags and class names that results depend on.
+EMPTY_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
+HEADING_TAGS = "h1 h2 h3 h4".split()
+PART_TAGS = "p li td th dt dd blockquote pre figcaption".split()
+NOISE_TAGS = "script style noscript svg img picture video iframe header footer nav".split()
 #: Parts of class names whose elements are no content.
 NOISE_CLASSES = ["breadcrumb", "social-share", "share", "toolbar", "sidebar", "side-menu", "cookie", "login", "on-this-page", "print", "copyright", "commitment", "nav-card"]
 #: Part of the class names of a hub's card titles.
 CARD_CLASS = "card__title"
 
+_KINDS = {"tag": "string", "up": "int", "last": "int", "first_text": "int", "end_text": "int", "named": "string", "role": "string", "ident": "string", "href": "string"}
 
-class Element:
-    """An element of a page; children are elements and strings, in document order."""
-
-    __slots__ = ("tag", "attrs", "children", "up")
-
-    def __init__(self, tag: str, attrs: dict[str, str], up: Element | None) -> None:
-        self.tag, self.attrs, self.up = tag, attrs, up
-        self.children: list[Element | str] = []
-
-    def walk(self) -> Iterator[Element]:
-        """Elements below this one in document order; unclosed tags may nest deeply, so without recursion."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Element)]
-        while stack:
-            element = stack.pop()
-            yield element
-            stack.extend(c for c in reversed(element.children) if isinstance(c, Element))
-
-    def text(self, separator: str = "") -> str:
-        parts: list[str] = []
-        stack: list[Element | str] = [self]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                parts.append(x)
-            else:
-                stack.extend(reversed(x.children))
-        return separator.join(parts)
-
-    def first(self, test: Callable[[Element], bool]) -> Element | None:
-        return next((e for e in self.walk() if test(e)), None)
-
-    def classed(self, part: str) -> bool:
-        return part in self.attrs.get("class", "")
 
-
-class _Builder(HTMLParser):
-    """Builds the tree without implied end tags; an end tag closes up to the nearest open one of its name."""
+class _Outline(HTMLParser):
+    """Collects an outline column by column. End tags that are missing are not implied: an element ends with its end tag
+    or with that of an element around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
+        self.columns: dict[str, list] = {k: [] for k in _KINDS}
+        self.texts: list[str] = []
+        self.open: list[int] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
+        self.handle_startendtag(tag, attrs)
+        if tag not in EMPTY_TAGS:
+            self.open.append(len(self.columns["tag"]) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.at.children.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
+        given = {k: v or "" for k, v in attrs}
+        at, texts = len(self.columns["tag"]), len(self.texts)
+        row = (tag, self.open[-1] if self.open else -1, at, texts, texts, given.get("class", ""), given.get("role", ""), given.get("id", ""), given.get("href", ""))
+        for column, value in zip(self.columns.values(), row, strict=True):
+            column.append(value)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.up
-        if node is not None and node.up is not None:
-            self.at = node.up
+        tags = self.columns["tag"]
+        if any(tags[k] == tag for k in self.open):
+            while self.end() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def parse(html: str) -> Element:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
-
-
-def norm(text: str) -> str:
-    text = unicodedata.normalize("NFKC", text).replace(" ", " ")
-    text = re.sub("[​-‏‪-‮]", "", text)
-    return re.sub(r"[ \t\r\f\v]+", " ", text).strip()
-
-
-def clean(text: str) -> str:
-    for marker in BOILERPLATE:
-        text = text.replace(marker, "")
-    text = re.sub(r"\bQC\s*\d+\b", "", text)
-    text = re.sub(r"Last updated\s*\d+\s*\w+\s*\d{4}", "", text)
-    return norm(re.sub(r"\n{3,}", "\n\n", text))
-
-
-def content_root(page: Element) -> Element:
-    """main, else the element of that role, else article, else body, else the page."""
-    tests = (lambda e: e.tag == "main", lambda e: e.attrs.get("role") == "main", lambda e: e.tag == "article", lambda e: e.tag == "body")
-    return next((found for t in tests if (found := page.first(t))), page)
-
-
-def is_noise(e: Element) -> bool:
-    named = e.attrs.get("class", "").lower()
-    return e.tag in _DROPPED or e.attrs.get("role") == "navigation" or e.attrs.get("id") == "cookie" or any(part in named for part in NOISE_CLASSES)
-
-
-def prune(root: Element) -> None:
-    """Takes elements that are no content out of the tree."""
-    stack = [root]
-    while stack:
-        at = stack.pop()
-        at.children = [c for c in at.children if isinstance(c, str) or not is_noise(c)]
-        stack.extend(c for c in at.children if isinstance(c, Element))
-
-
-def sections_of(page: Element, least_part: int = 10, least_section: int = 50) -> list[tuple[str, str]]:
-    """(heading, content) in order. A noise heading is passed over without ending the section before it."""
-    root = content_root(page)
-    prune(root)
-    found: list[tuple[str, str]] = []
-    heading, parts = "", []
-
-    def flush() -> None:
-        text = clean("\n".join(parts)) if parts else ""
-        if len(text) > least_section:
-            found.append((heading, text))
-
-    for e in root.walk():
-        if e.tag in _HEADINGS:
-            title = norm(e.text())
-            if title.lower() in NOISE_HEADINGS:
-                continue
-            flush()
-            heading, parts = title, []
-        elif e.tag in _PARTS:
-            text = norm(e.text())
-            if len(text) > least_part:
-                parts.append(text)
-    flush()
-    if not found:
-        whole = clean(root.text("\n"))
-        if len(whole) > least_section:
-            found.append(("", whole))
-    return found
-
-
-def hub_of(page: Element, card_class: str = CARD_CLASS) -> tuple[bool, list[str]]:
-    """Whether a page is a hub, three card titles or more, and the distinct card headings under 150 characters."""
-    cards = [e for e in page.walk() if e.classed(card_class)]
-    if len(cards) < 3:
-        return False, []
-    texts = (norm(e.text()) for e in cards)
-    return True, list(dict.fromkeys(t for t in texts if t and len(t) < 150))
-
-
-def hub_by_shape(page: Element) -> tuple[bool, list[str]]:
-    """The hub test for pages without card classes: cards with headings, else link-heavy sections, else linked headings."""
-    main = content_root(page)
-    short = lambda es: [t for e in es if (t := norm(e.text())) and len(t) < 100]
-    heads = [h for e in main.walk() if "card" in e.attrs.get("class", "").lower() and (h := e.first(lambda x: x.tag in _HEADINGS))]
-    found = short(heads)
-    if not found:
-        for e in main.walk():
-            inner = list(e.walk()) if e.tag == "section" or e.classed("content") else []
-            links, paras = sum(x.tag == "a" for x in inner), sum(x.tag == "p" for x in inner)
-            if links > 3 and links > 2 * paras:
-                found += short(x for x in inner if x.tag in ("h2", "h3"))
-    if not found:
-        linked = [e for e in main.walk() if e.tag == "a" and e.up is not None and e.up.tag in ("h2", "h3")]
-        found = short(linked) if len(linked) >= 3 else []
-    return len(found) >= 3, found
-
-
-def links_of(page: Element) -> list[str]:
-    return [e.attrs["href"] for e in page.walk() if e.tag == "a" and e.attrs.get("href")]
-
-
-def _scan(pages: DataFrame, read: Callable[[Element], list[dict]], schema: str, key_col: str, html_col: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.strip().split(" ")[0] for c in schema.split(",") if c.strip()]
+        self.texts.append(unicodedata.normalize("NFKC", data))
+
+    def end(self) -> str:
+        """Ends the innermost open element and gives its tag."""
+        at = self.open.pop()
+        self.columns["last"][at] = len(self.columns["tag"]) - 1
+        self.columns["end_text"][at] = len(self.texts)
+        return self.columns["tag"][at]
+
+
+def _parsed(html: str) -> _Outline:
+    page = _Outline()
+    page.feed(html)
+    page.close()
+    while page.open:
+        page.end()
+    return page
+
+
+def outlines(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
+    """(key, elements, texts) of each page; rows without key or page are left out. Texts are in compatibility form."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"key": k, **row} for k, h in zip(batch["key"], batch["html"], strict=True) for row in read(parse(h))]
-            yield pd.DataFrame(rows, columns=["key", *columns])
+            read = [_parsed(x) for x in batch["html"]]
+            yield pd.DataFrame({"key": batch["key"], "texts": [p.texts for p in read], **{k: [p.columns[k] for p in read] for k in _KINDS}})
+
+    schema = "key string, texts array<string>, " + ", ".join(f"{k} array<{t}>" for k, t in _KINDS.items())
+    rows = pages.where(F.col(key_col).isNotNull() & F.col(html_col).isNotNull()).select(F.col(key_col).cast("string").alias("key"), F.col(html_col).alias("html"))
+    numbered = rows.mapInPandas(scan, schema).withColumn("at", F.when(F.size("tag") > 0, F.sequence(F.lit(0), F.size("tag") - 1)).otherwise(F.array().cast("array<int>")))
+    return numbered.select("key", F.arrays_zip("at", *_KINDS).alias("elements"), "texts")
+
+
+def _outlined(rows: DataFrame, key_col: str, html_col: str) -> DataFrame:
+    return rows if "elements" in rows.columns else outlines(rows, key_col, html_col)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; a column used inside a lambda may be worked out for each element."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def _inside(e: Column) -> Column:
+    """The elements inside an element."""
+    return F.slice("elements", e["at"] + 2, e["last"] - e["at"])
+
+
+def _text(e: Column, texts: str | Column = "texts") -> Column:
+    return X.squeezed(F.array_join(F.slice(texts, e["first_text"] + 1, e["end_text"] - e["first_text"]), ""))
+
+
+def _tagged(e: Column, tags: list[str]) -> Column:
+    return e["tag"].isin(tags)
 
-    keyed = pages.where(F.col(key_col).isNotNull() & F.col(html_col).isNotNull())
-    return keyed.select(F.col(key_col).cast("string").alias("key"), F.col(html_col).alias("html")).mapInPandas(run, f"key string, {schema}")
 
+def _content_root() -> Column:
+    """main, else the element of that role, else article, else body, else the whole page."""
+    first = lambda test: F.get(F.filter("elements", test), F.lit(0))
+    tests = (lambda e: e["tag"] == "main", lambda e: e["role"] == "main", lambda e: e["tag"] == "article", lambda e: e["tag"] == "body")
+    found = F.coalesce(*(first(t) for t in tests))
+    part = lambda name, whole: F.coalesce(found[name], whole).cast("int").alias(name)
+    return F.struct(part("at", F.lit(-1)), part("last", F.size("elements") - 1), part("first_text", F.lit(0)), part("end_text", F.size("texts")))
 
-def sections(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
-    """(key, pos, heading, content): the sections of each page."""
-    return _scan(pages, lambda p: [{"pos": k, "heading": h, "content": c} for k, (h, c) in enumerate(sections_of(p))], "pos int, heading string, content string", key_col, html_col)
+
+def _is_noise(e: Column) -> Column:
+    named = F.lower(e["named"])
+    classed = F.rlike(named, F.lit("|".join(NOISE_CLASSES)))
+    return _tagged(e, NOISE_TAGS) | (e["role"] == "navigation") | (e["ident"] == "cookie") | classed
+
+
+def sections(pages: DataFrame, key_col: str = "filename", html_col: str = "html", least_part: int = 10, least_section: int = 50) -> DataFrame:
+    """(key, pos, heading, content): the sections of each page, from a heading to the next one.
+
+    A noise heading begins no section. Without any section of more than ``least_section`` characters, the whole content is
+    one, if it is as long. Empty pages give no row.
+    """
+    within = lambda noise, i: F.exists(noise, lambda n: (n["first_text"] <= i) & (i < n["end_text"]))
+    long_enough = lambda s: F.length(s["content"]) > least_section
+    content = lambda parts: X.squeezed(X.without_boilerplate(F.array_join(parts, "\n"))).alias("content")
+
+    def blocks(root: Column, noise: Column, kept: Column) -> Column:
+        """Headings and parts in order, with their texts; noise headings and short parts are left out."""
+        wanted = lambda e: _tagged(e, HEADING_TAGS + PART_TAGS) & ~F.exists(noise, lambda n: (n["at"] <= e["at"]) & (e["at"] <= n["last"]))
+        read = F.transform(F.filter(_inside(root), wanted), lambda e: F.struct(_tagged(e, HEADING_TAGS).alias("heads"), _text(e, kept).alias("text")))
+        return F.filter(read, lambda b: F.when(b["heads"], ~F.lower(b["text"]).isin(NOISE_HEADINGS)).otherwise(F.length(b["text"]) > least_part))
+
+    def cut(all_blocks: Column) -> Column:
+        """From each heading to the next one; the first section has none."""
+        heads = F.array_compact(F.transform(all_blocks, lambda b, i: F.when(b["heads"], i)))
+
+        def section(start: Column, end: Column) -> Column:
+            heading = F.when(start >= 0, F.get(all_blocks, F.greatest(start, F.lit(0)))["text"]).otherwise("")
+            return F.struct(heading.alias("heading"), content(F.transform(F.slice(all_blocks, start + 2, end - start - 1), lambda b: b["text"])))
+
+        bounded = lambda h: F.zip_with(F.concat(F.array(F.lit(-1)), h), F.concat(h, F.array(F.size(all_blocks))), section)
+        return F.filter(_let(heads, bounded), long_enough)
+
+    def whole(root: Column, noise: Column) -> Column:
+        texts = F.filter("texts", lambda t, i: (root["first_text"] <= i) & (i < root["end_text"]) & ~within(noise, i))
+        return F.filter(F.array(F.struct(F.lit("").alias("heading"), content(texts))), long_enough)
+
+    def of_root(root: Column) -> Column:
+        def of_noise(noise: Column) -> Column:
+            kept = F.transform("texts", lambda t, i: F.when(within(noise, i), "").otherwise(t))
+            formed = _let(kept, lambda k: _let(blocks(root, noise, k), cut))
+            return _let(formed, lambda found: F.when(F.size(found) > 0, found).otherwise(whole(root, noise)))
+
+        return _let(F.filter(_inside(root), _is_noise), of_noise)
+
+    given = _outlined(pages, key_col, html_col).select("key", _let(_content_root(), of_root).alias("sections"))
+    return given.select("key", F.posexplode("sections").alias("pos", "s")).select("key", "pos", "s.heading", "s.content")
+
+
+def _short(elements: Column, limit: int = 100) -> Column:
+    """The texts of elements, those that are empty or too long left out."""
+    return F.filter(F.transform(elements, lambda e: _text(e)), lambda t: (t != "") & (F.length(t) < limit))
+
+
+def _shape_headings(root: Column, inside: Column) -> Column:
+    """Headings by which a page shows to be a hub: those of its cards, else of sections with many links, else linked ones,
+    else those that are links on a page of links with little text."""
+    count_of = lambda elements, test: F.size(F.filter(elements, test))
+    heads = lambda e: _tagged(e, ["h2", "h3", "h4"]) | F.rlike(e["named"], F.lit("heading|title"))
+    cards = F.transform(F.filter(inside, lambda e: F.rlike(e["named"], F.lit("[cC]ard"))), lambda c: F.get(F.filter(_inside(c), heads), F.lit(0)))
+    links = lambda es: count_of(es, lambda e: e["tag"] == "a")
+    paragraphs = lambda es: count_of(es, lambda e: e["tag"] == "p")
+    linked = lambda s: _let(_inside(s), lambda es: (links(es) > 3) & (links(es) > 2 * paragraphs(es)))
+    boxes = F.filter(inside, lambda e: F.when((e["tag"] == "section") | F.contains(e["named"], F.lit("content")), linked(e)).otherwise(F.lit(False)))
+    in_boxes = F.flatten(F.transform(boxes, lambda s: F.filter(_inside(s), lambda e: _tagged(e, ["h2", "h3"]))))
+    parent = lambda e: F.get(F.col("elements"), F.greatest(e["up"], F.lit(0)))["tag"]
+    child_of = lambda tags, test: F.filter(inside, lambda e: (e["tag"] == "a") & test(e) & (e["up"] >= 0) & parent(e).isin(tags))
+    addressed = lambda e: e["href"] != ""
+    bare = (count_of(inside, lambda e: (e["tag"] == "a") & addressed(e)) > 6) & (paragraphs(inside) <= 3) & (F.length(_text(root)) < 2000)
+    none = F.array().cast("array<string>")
+    last = F.when(bare, _short(child_of(["h2", "h3", "h4"], addressed))).otherwise(none)
+    third = _let(child_of(["h2", "h3"], lambda e: F.lit(True)), lambda es: F.when(F.size(es) >= 3, _short(es)).otherwise(none))
+    first_of = lambda ways: ways[0] if len(ways) == 1 else _let(ways[0], lambda w: F.when(F.size(w) > 0, w).otherwise(first_of(ways[1:])))
+    return first_of([_short(F.array_compact(cards)), _short(in_boxes), third, last])
 
 
 def hubs(pages: DataFrame, key_col: str = "filename", html_col: str = "html", card_class: str = CARD_CLASS, by_shape: bool = False) -> DataFrame:
-    """(key, is_hub, card_headings) of each page."""
-    read = hub_by_shape if by_shape else lambda p: hub_of(p, card_class)
-    return _scan(pages, lambda p: [dict(zip(("is_hub", "card_headings"), read(p), strict=True))], "is_hub boolean, card_headings array<string>", key_col, html_col)
+    """(key, is_hub, card_headings) of each page: by its card titles, three or more, whose distinct texts of under 150
+    characters are the headings; or by its shape, for pages without such classes: three headings or more."""
+    rows = _outlined(pages, key_col, html_col)
+    if by_shape:
+        headings = _let(_content_root(), lambda root: _let(_inside(root), lambda inside: _shape_headings(root, inside)))
+        found = rows.select("key", headings.alias("card_headings"))
+        return found.select("key", (F.size("card_headings") >= 3).alias("is_hub"), "card_headings")
+    cards = F.filter("elements", lambda e: F.contains(e["named"], F.lit(card_class)))
+    is_hub = F.size("cards") >= 3
+    headings = F.when(is_hub, F.array_distinct(_short(F.col("cards"), 150))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("cards", cards).select("key", is_hub.alias("is_hub"), headings.alias("card_headings"))
 
 
 def links(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
     """(key, pos, href): the links of each page in order."""
-    return _scan(pages, lambda p: [{"pos": k, "href": h} for k, h in enumerate(links_of(p))], "pos int, href string", key_col, html_col)
+    found = F.filter("elements", lambda e: (e["tag"] == "a") & (e["href"] != ""))
+    return _outlined(pages, key_col, html_col).select("key", F.posexplode(F.transform(found, lambda e: e["href"])).alias("pos", "href"))
+
+
+def child_links(links: DataFrame, bases: DataFrame, prefix: str = "/", host: str | None = None, most: int | None = None) -> DataFrame:
+    """(key, pos, link): the addresses that a crawl follows from each page, in order and each once; pos is that of its
+    first link. Links are made absolute and https; those to another host than ``host`` (or the page's own), outside the
+    path ``prefix``, or to pages to skip are left out, and so are those after the first ``most``.
+
+    ``links``: key, pos, href; ``bases``: key, url. A page without address gives nothing.
+    """
+    from pyspark.sql import Window
+
+    rows = links.join(bases.select("key", F.col("url").alias("base")), "key").withColumn("link", U.to_https(U.url_join(F.col("base"), F.col("href"))))
+    own = F.lit(host) if host is not None else U.authority(F.col("base"))
+    kept = rows.where((U.authority(F.col("link")) == own) & U.under_prefix(F.col("link"), prefix) & ~U.should_skip(F.col("link")))
+    once = kept.groupBy("key", "link").agg(F.min("pos").alias("pos"))
+    if most is not None:
+        order = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
+        once = once.withColumn("__n", order).where(F.col("__n") <= most).drop("__n")
+    return once.select("key", "pos", "link")
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unescape(x))
+
+
+def title(html: Column) -> Column:
+    """A page's title as a browser shows it: character references resolved, white space squeezed; empty without one."""
+    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    plain = F.when(F.contains(raw, F.lit("&")), _unescaped(raw)).otherwise(raw)
+    return F.trim(F.regexp_replace(plain, r"[ \t\n\r\f]+", " "))

@@ -145,14 +145,19 @@ def title_strip(spark, d):
 
 @query(r"""SELECT filename, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM rawhtml""")
 def page_title(spark, d):
-    return table(spark, d, "rawhtml").select("filename", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return table(spark, d, "rawhtml").select("filename", html.title(F.col("html")).alias("title"))
+
+
+def _page_addresses(spark, d):
+    saved = table(spark, d, "inventory").where("filename <> '' AND url IS NOT NULL")
+    return saved.groupBy(F.col("filename").alias("key")).agg(F.min("url").alias("url"))
 
 
 @query()
 def page_links(spark, d):
-    pages = table(spark, d, "inventory").where("filename <> '' AND url IS NOT NULL").groupBy("filename").agg(F.min("url").alias("url"))
-    found = html.links(table(spark, d, "rawhtml")).join(pages, F.col("key") == F.col("filename"))
-    return found.select("key", F.col("pos").cast("long").alias("pos"), U.to_https(U.url_join(F.col("url"), F.col("href"))).alias("link")).where(~U.should_skip(F.col("link")))
+    """The addresses on the same host that each saved page leads to."""
+    found = html.child_links(html.links(table(spark, d, "rawhtml")), _page_addresses(spark, d))
+    return found.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query()
@@ -220,8 +225,9 @@ def inherited_keywords(spark, d):
     that these don't reach begin too. Hubs give the words of their cards and title, other pages those of their path."""
     pages = table(spark, d, "inventory").where("filename <> '' AND url IS NOT NULL").groupBy("filename").agg(F.min(F.struct("url", "title")).alias("p"))
     saved = pages.select(F.col("filename").alias("key"), U.to_https(F.col("p.url")).alias("url"), "p.title")
-    saved = materialize(saved.join(html.hubs(table(spark, d, "rawhtml"), by_shape=True), "key"))
-    found = page_links(spark, d).join(saved.select("key", "url"), "key").where("link IS NOT NULL AND link <> url")
+    read = materialize(html.outlines(table(spark, d, "rawhtml")))
+    saved = materialize(saved.join(html.hubs(read, by_shape=True), "key"))
+    found = html.child_links(html.links(read), saved.select("key", "url")).join(saved.select("key", "url"), "key").where("link <> url")
     links = materialize(found.select(F.col("url").alias("parent"), "pos", F.col("link").alias("child")))
     given = F.concat(F.flatten(F.transform("card_headings", lambda c: X.keywords(c))), F.coalesce(X.keywords(X.page_title(F.col("title"))), F.array()))
     hubs = saved.where("is_hub").groupBy("url").agg(F.max(F.array_distinct(given)).alias("cards"))

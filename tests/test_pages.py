@@ -10,34 +10,79 @@ def page(body):
     return f"<html><head><title>T</title><style>.card__title{{}}</style></head><body>{body}</body></html>"
 
 
-def test_hub_needs_three_cards():
-    three = page("".join(CARD.format(x) for x in ("Income", "Income", "y" * 150)))
-    assert html.hub_of(html.parse(three)) == (True, ["Income"])
-    assert html.hub_of(html.parse(page(CARD.format("a") * 2))) == (False, [])
-    assert html.hub_of(html.parse(page("no cards"))) == (False, [])
+def saved(spark, *bodies):
+    return spark.createDataFrame([(str(k), b) for k, b in enumerate(bodies)], "filename string, html string")
 
 
-def test_hub_by_shape():
-    linked = page("<main>" + "".join(f"<h3><a href='/{k}'>Head {k}</a></h3>" for k in range(3)) + "</main>")
-    assert html.hub_by_shape(html.parse(linked)) == (True, ["Head 0", "Head 1", "Head 2"])
+def hubs_of(spark, *bodies, **how):
+    return [(r.is_hub, r.card_headings) for r in html.hubs(saved(spark, *bodies), **how).orderBy("key").collect()]
+
+
+def sections_of(spark, body):
+    return [(r.heading, r.content) for r in html.sections(saved(spark, body)).orderBy("pos").collect()]
 
 
-def test_sections():
+def test_hub_needs_three_cards(spark):
+    three = page("".join(CARD.format(x) for x in ("Income", "Income", "y" * 150)))
+    assert hubs_of(spark, three, page(CARD.format("a") * 2), page("no cards")) == [(True, ["Income"]), (False, []), (False, [])]
+
+
+def test_hub_by_shape(spark):
+    linked = page("<main>" + "".join(f"<h3><a href='/{k}'>Head {k}</a></h3>" for k in range(3)) + "</main>")
+    card = "<div class='x-Card'><h1>Not this</h1><span class='big-title'>Card {}</span><h2>nor this</h2></div>"
+    cards = page("<main>" + "".join(card.format(k) for k in range(3)) + "</main><div class='card'><h2>outside main</h2></div>")
+    boxes = page("<main><section><h2>One</h2><h3>Two</h3><h3>Three</h3><p>text</p>" + "<a>x</a>" * 4 + "</section></main>")
+    wordy = page("<main><section><h2>One</h2><h3>Two</h3><h3>Three</h3><p>a</p><p>b</p>" + "<a>x</a>" * 4 + "</section></main>")
+    # two headed links are too few for the third test, but the page is hardly more than links
+    bare = page("<main>" + "".join(f"<h4><a href='/{k}'>Link {k}</a></h4>" for k in range(3)) + "<a href='/x'>x</a>" * 4 + "</main>")
+    long = page("<main>" + "".join(f"<h4><a href='/{k}'>Link {k}</a></h4>" for k in range(3)) + "<a href='/x'>x</a>" * 4 + "y" * 2000 + "</main>")
+    got = hubs_of(spark, linked, cards, boxes, wordy, bare, long, by_shape=True)
+    assert got == [(True, ["Head 0", "Head 1", "Head 2"]), (True, ["Card 0", "Card 1", "Card 2"]), (True, ["One", "Two", "Three"]), (False, []), (True, ["Link 0", "Link 1", "Link 2"]), (False, [])]
+
+
+def test_sections(spark):
     body = (
         "<nav><p>not this menu text at all, never</p></nav><main><h1>One</h1><p>" + "first words " * 6 + "</p><h2>On this page</h2>"
         "<p>" + "still first " * 3 + "</p><h2>Two</h2><ul><li><p>" + "nested item " * 6 + "</p></li></ul><p>short</p></main>"
     )
-    found = html.sections_of(html.parse(page(body)))
+    found = sections_of(spark, page(body))
     assert [h for h, _ in found] == ["One", "Two"]
     assert "still first" in found[0][1] and "menu" not in found[0][1]
     assert found[1][1].count("nested item") == 12 and "short" not in found[1][1]
 
 
-def test_sections_fall_back_on_the_whole_text():
-    found = html.sections_of(html.parse(page("<div>" + "plain words here " * 5 + "</div>")))
+def test_noise_inside_the_content(spark):
+    words = "words of the first part " * 4
+    body = f"<main><h2>One <span class='share-box'>Share</span></h2><p>{words}<script>var x;</script></p><div class='Side-Menu'><h2>Menu</h2><p>{words}</p></div><table><tr><td>{words}<th>cell\u200b \u00a0ｗｉｄｅ one</table></main>"
+    assert sections_of(spark, page(body)) == [("One", "\n".join([words.strip(), words + "cell wide one", "cell wide one"]))]
+
+
+def test_sections_fall_back_on_the_whole_text(spark):
+    found = sections_of(spark, page("<div>" + "plain words here " * 5 + "</div>"))
     assert len(found) == 1 and found[0][0] == ""
 
 
+def test_one_outline_serves_all(spark):
+    once = html.outlines(saved(spark, page("<main><h2>Fees</h2><p>" + "words enough " * 9 + "</p><a href='/x'>x</a></main>")))
+    assert html.sections(once).first().heading == "Fees"
+    assert html.links(once).first().href == "/x"
+    assert html.hubs(once, by_shape=True).first().is_hub is False
+
+
+def test_child_links(spark):
+    found = spark.createDataFrame([("p", k, h) for k, h in enumerate(["b?x=1", "/tax/a", "http://h.example/tax/b", "mailto:x@y", "https://other.example/tax/c", "/law/d", "/tax/share/e", "/tax/f"])] + [("q", 0, "/tax/a")], "key string, pos int, href string")
+    bases = spark.createDataFrame([("p", "https://h.example/tax/start"), ("q", None)], "key string, url string")
+    got = [(r.pos, r.link) for r in html.child_links(found, bases, "/tax").orderBy("pos").collect()]
+    assert got == [(0, "https://h.example/tax/b"), (1, "https://h.example/tax/a"), (7, "https://h.example/tax/f")]
+    assert [r.pos for r in html.child_links(found, bases, "/tax", most=2).orderBy("pos").collect()] == [0, 1]
+    assert [r.link for r in html.child_links(found, bases, host="other.example").collect()] == ["https://other.example/tax/c"]
+
+
+def test_titles(spark):
+    given = ["<title lang=en>Fees &amp;\n  costs &#8211; caf&eacute;</title>", "<p>none", "<TITLE>a &lt;b&gt;</TITLE><title>second</title>"]
+    assert [r.t for r in saved(spark, *given).select(html.title(F.col("html")).alias("t")).collect()] == ["Fees & costs – café", "", "a <b>"]
+
+
 def test_pages_with_nulls_give_no_rows(spark):
     df = spark.createDataFrame([("a", None), (None, "<p>x</p>"), ("b", "")], "filename string, html string")
     assert html.sections(df).count() == 0
@@ -151,7 +196,7 @@ def test_added_files_and_content_dedup(spark):
     assert [r.id for r in inventory.first_of_content(t, "text", "id").collect()] == ["a"]
 
 
-def test_deeply_nested_pages_are_read():
-    deep = html.parse("<p>" * 5000 + "words enough to make up one whole section of this page, and some more")
-    assert html.sections_of(deep)[0][1].startswith("words enough")
-    assert html.hub_by_shape(deep) == (False, [])
+def test_deeply_nested_pages_are_read(spark):
+    deep = "<p>" * 2000 + "words enough to make up one whole section of this page, and some more"
+    assert sections_of(spark, deep)[0][1].startswith("words enough")
+    assert hubs_of(spark, deep, by_shape=True) == [(False, [])]
