@@ -24,8 +24,10 @@ from lexmill.session import materialize
 
 #: A row's part in a bucket, added up: it asks here, it is held here, it is a query somewhere.
 ASKS, HELD, QUERY = 1, 2, 4
-#: Queries compared with a bucket at once, which bounds a task's memory.
-BLOCK = 512
+#: Pairs compared at once, which bounds a task's memory.
+PAIRS = 1 << 16
+#: Buckets of more rows are compared by matrix products, smaller ones many at a time by pairs of rows.
+SMALL = 48
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -104,52 +106,103 @@ def _hashed(vectors: DataFrame, is_query: Column, size: int, tables: int, depth:
 
 
 def _best_in_buckets(k: int, min_cosine: float):
-    """Walks sorted rows bucket by bucket; gives each query's k best of the bucket."""
-
-    def best(cosine: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        keep = cosine >= min_cosine
-        if len(b) > k:
-            # what ties with the k-th stays, so that ties are settled over all buckets
-            least = np.partition(cosine, len(b) - k, axis=1)[:, len(b) - k]
-            keep &= cosine >= least[:, None] - 1e-9
-        keep &= cosine > -1.5
-        r, c = np.nonzero(keep)
-        return pd.DataFrame({"a": a[r], "b": b[c], "cosine": np.minimum(cosine[r, c], 1.0)})
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame | None:
-        role = rows["role"].to_numpy()
+    """Walks sorted rows of whole buckets; gives each query's k best of its bucket.
+
+    The small buckets of a batch are compared together: rows are gathered for pairs of an asking and a held row of one
+    bucket, a stretch of pairs at a time. A larger bucket is a matrix product for each block of its asking rows.
+    """
+
+    def pairs_of(asks: np.ndarray, holds: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows that ask with the held rows of their bucket, in stretches of about PAIRS pairs."""
+        askers, held = np.flatnonzero(asks), np.flatnonzero(holds)
+        first, last = np.searchsorted(bucket[held], bucket[askers]), np.searchsorted(bucket[held], bucket[askers], side="right")
+        upto = np.cumsum(last - first)
+        start = 0
+        while start < len(askers):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS)))
+            many = (last - first)[start:stop]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield np.repeat(askers[start:stop], many), held[np.repeat(first[start:stop], many) + at]
+            start = stop
+
+    def best(of: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Which pairs are among the k best of the row ``of``; what ties with the k-th stays, so that ties are settled
+        over all buckets."""
+        order = np.lexsort((-cosine, of))
+        begins = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+        size = np.diff(np.r_[begins, len(of)])
+        kth = cosine[order][begins + np.minimum(size, k) - 1]
+        keep = np.zeros(len(of), bool)
+        keep[order] = cosine[order] >= np.repeat(kth, size) - 1e-9
+        return keep
+
+    def small(role: np.ndarray, idx: np.ndarray, unit: np.ndarray, bucket: np.ndarray) -> Iterator[pd.DataFrame]:
+        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a, b in pairs_of((role & ASKS) > 0, (role & HELD) > 0, bucket):
+            cosine = np.minimum(np.einsum("ij,ij->i", unit[a], unit[b]), 1.0)
+            good = (idx[a] != idx[b]) & (cosine >= min_cosine)
+            a, b, cosine = a[good], b[good], cosine[good]
+            if not len(a):
+                continue
+            keep = best(a, cosine)
+            yield pd.DataFrame({"a": idx[a[keep]], "b": idx[b[keep]], "cosine": cosine[keep]})
+            # a query that is held here gains what probes it as well
+            asked = (role[b] & QUERY) > 0
+            back.append((b[asked], a[asked], cosine[asked]))
+            if sum(len(x[0]) for x in back) > PAIRS:
+                back = [thinned(back)]
+        if back and len((last := thinned(back))[0]):
+            yield pd.DataFrame({"a": idx[last[0]], "b": idx[last[1]], "cosine": last[2]})
+
+    def large(role: np.ndarray, idx: np.ndarray, unit: np.ndarray) -> Iterator[pd.DataFrame]:
+        def kept(cosine: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+            keep = cosine >= max(min_cosine, -1.5)
+            if len(b) > k:
+                keep &= cosine >= np.partition(cosine, len(b) - k, axis=1)[:, len(b) - k][:, None] - 1e-9
+            r, c = np.nonzero(keep)
+            return pd.DataFrame({"a": a[r], "b": b[c], "cosine": np.minimum(cosine[r, c], 1.0)})
+
         asks, holds = (role & ASKS) > 0, (role & HELD) > 0
-        if not asks.any() or not holds.any():
-            return None
-        idx = rows["idx"].to_numpy()
-        unit = np.frombuffer(b"".join(rows["unit"]), np.float32).reshape(len(rows), -1).astype(np.float64)
-        unit /= np.linalg.norm(unit, axis=1)[:, None]
-        held, b = unit[holds], idx[holds]
-        # a query that is held here gains what probes it as well
         back = (role[holds] & QUERY) > 0
-        found = []
-        for start in range(0, int(asks.sum()), BLOCK):
-            a = idx[asks][start : start + BLOCK]
-            cosine = unit[asks][start : start + BLOCK] @ held.T
+        step = max(1, 16 * PAIRS // max(1, int(holds.sum())))
+        for start in range(0, int(asks.sum()), step):
+            a, b = idx[asks][start : start + step], idx[holds]
+            cosine = unit[asks][start : start + step] @ unit[holds].T
             cosine[a[:, None] == b[None, :]] = -2
-            found += [best(cosine, a, b), best(cosine.T[back], b[back], a)]
-        return pd.concat(found, ignore_index=True)
+            yield kept(cosine, a, b)
+            yield kept(cosine.T[back], b[back], a)
+
+    def compare(rows: pd.DataFrame, bucket: np.ndarray) -> Iterator[pd.DataFrame]:
+        role, idx = rows["role"].to_numpy(), rows["idx"].to_numpy()
+        unit = np.frombuffer(b"".join(rows["unit"]), np.float32).reshape(len(rows), -1).astype(np.float64)
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        size = np.diff(np.r_[begins, len(bucket)])
+        few = np.repeat((size > 1) & (size <= SMALL), size)
+        yield from small(role[few], idx[few], unit[few], bucket[few])
+        for s, n in zip(begins[size > SMALL], size[size > SMALL], strict=True):
+            yield from large(role[s : s + n], idx[s : s + n], unit[s : s + n])
+
+    def thinned(back: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of, other, cosine = (np.concatenate(x) for x in zip(*back, strict=True))
+        keep = best(of, cosine) if len(of) else np.zeros(0, bool)
+        return of[keep], other[keep], cosine[keep]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             marks = rows[["key", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            if not len(cuts):
+            cuts = np.r_[False, (marks[1:] != marks[:-1]).any(axis=1)][: len(rows)]
+            if not len(rows) or not cuts.any():
                 rest = rows
                 continue
-            found = [x for s, e in zip([0, *cuts[:-1]], cuts, strict=True) if e - s > 1 and (x := compare(rows.iloc[s:e])) is not None and len(x)]
-            rest = rows.iloc[cuts[-1] :]
-            if found:
-                yield pd.concat(found, ignore_index=True)
-        if rest is not None and (last := compare(rest)) is not None and len(last):
-            yield last
+            # the last bucket may go on in the next batch
+            end = int(np.flatnonzero(cuts)[-1])
+            yield from compare(rows.iloc[:end], np.cumsum(cuts)[:end])
+            rest = rows.iloc[end:]
+        if rest is not None and len(rest):
+            yield from compare(rest, np.zeros(len(rest), np.int64))
 
     return scan
 
