@@ -192,24 +192,25 @@ def similar_pairs(docs: DataFrame, **how) -> DataFrame:
     return between.unionByName(within).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of ``edges`` (a, b), by large and small stars.
 
-    Each round joins and aggregates edges by node with partial aggregation, and cuts its lineage; the number of
-    rounds grows with the logarithm of the longest chain. Nodes without edges are not given.
+    Each round joins and aggregates edges by node with partial aggregation, and cuts its lineage; rounds follow until
+    one changes no edge, and their number grows with the logarithm of the longest chain. Nodes without edges are not given.
     """
     now = materialize(edges.select("a", "b").where("a != b").distinct())
-    for _ in range(rounds):
+    mark = F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))
+    state = now.agg(F.count(F.lit(1)), mark).first()
+    while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         root = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(root, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(root.select("u", "m")).where("a != b").distinct()
-        then = materialize(small)
-        same = now.count() == then.count() and now.select(F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first() == then.select(F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first()
-        now = then
-        if same:
+        now = materialize(small)
+        then, state = state, now.agg(F.count(F.lit(1)), mark).first()
+        if then == state:
             break
     stars = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
     return stars.union(stars.select("label", "label")).distinct()

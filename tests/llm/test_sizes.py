@@ -156,3 +156,14 @@ def test_subjects_without_training(spark):
 def test_sentences():
     assert subjects.sentences_of("One e.g. two. Three Co. four? five\nsix; Seven; eight") == ["One e.g. two.", "Three Co. four?", "five", "six;", "Seven; eight"]
     assert subjects.sentences_of(None) == [] == subjects.sentences_of(" \n ")
+
+
+def test_long_texts_have_the_same_count_in_stretches():
+    from lexmill.llm import tokens
+
+    text = "It's  a\n\n fee, of 1,000  dollars\t(or so).\n" * 40 + "unbroken" * 50 + " end"
+    whole = tokens.encoding(tokens.VOCABULARY).encode_ordinary(text)
+    for length in (1, 7, 100, 5000):
+        parts = list(tokens.stretches(text, length))
+        assert "".join(parts) == text
+        assert [t for p in parts for t in tokens.encoding(tokens.VOCABULARY).encode_ordinary(p)] == whole
