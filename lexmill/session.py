@@ -1,7 +1,7 @@
 """Session set-up and lineage cuts.
 
-A cluster names its shared folder in ``spark.checkpoint.dir``; only where that setting is missing, as in
-tests, a folder of this machine is used.
+A cluster names its shared folder in ``spark.checkpoint.dir``; only in local mode, as in tests, a folder of this machine
+is used where that setting is missing.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
