@@ -5,9 +5,11 @@ a container's points are discounted by the share of its text that stands in link
 The best container and those of its siblings that score like it are the main body, without the navigation
 and promotions inside them. One page is read at a time, inside Arrow batches of a scan; nothing is shuffled.
 
-Page texts (chunks) have lost their tags, so a line is the paragraph and its page the container: a line earns
-points for length and commas, discounted by its link density, which is judged from how links, bylines, notices
-and footers read once their tags are gone. A line without points is not main body. JVM expressions only.
+Page texts (chunks) have lost their tags, so a line is the paragraph and its points are its own: they are earned for
+length and commas and discounted by a link density that is measured. The tree scoring of the saved pages tells for each
+beginning of a line (its first three or four words, or a short line's all) on how many pages such lines stand outside the main body; the share of
+its longest known beginning is a line's density. What the saved pages don't know is judged by how links, bylines,
+notices and footers read (``CUES``, marks of links, menus). A line without points enough is not main body.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import fold_text
+from lexmill.session import materialize
 
 #: How lines outside the main body begin or read, by kind; matched without bullets and the last full stop.
 CUES = {
@@ -130,36 +133,96 @@ _PIPES = _EDGE + r"[^|\d]{1,60}(?:\|[^|\d]{1,60}){2,}$"
 _ARROWS = r"^\s*[»«›‹]|[»›]\s*$"
 
 
+#: First words of a line by which it is known, and pages on which a beginning must stand to be known.
+LEAST_WORDS, BEGINNING, KNOWN_PAGES = 3, 4, 20
+#: Points of main body. A line that earns one point for a density that no page contradicts is out from 50 pages on, one
+#: that earns four from 200 on.
+LEAST_POINTS = 0.02
+#: Characters of main body that a saved page must have for its lines to tell anything; error pages have fewer.
+LEAST_BODY = 500
+#: Bytes up to which the known beginnings are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
 def _bare(line: Column) -> Column:
     return F.trim(F.regexp_replace(fold_text(line), r"\s+", " "))
 
 
-def _points(bare: Column) -> Column:
+def _earned(bare: Column) -> Column:
+    return 1 + F.regexp_count(bare, F.lit(",")) + F.least(F.floor(F.length(bare) / 100), F.lit(3))
+
+
+def _reads_outside(bare: Column) -> Column:
     linked = F.rlike(bare, F.lit(_ARROWS)) | F.rlike(bare, F.lit(_CUE_LINE)) | F.rlike(bare, F.lit(_MENU)) | F.rlike(bare, F.lit(_PIPES))
-    earned = 1 + F.regexp_count(bare, F.lit(",")) + F.least(F.floor(F.length(bare) / 100), F.lit(3))
     menu = F.rlike(F.regexp_replace(bare, _LONG_MENU, ""), F.lit(r"^[\s.]*$"))
     notice = F.rlike(bare, F.lit(_LONG_LINE)) | F.rlike(bare, F.lit(_LONG_PIPES)) | menu
-    return F.when(F.length(bare) > LONGEST_NOTICE, F.when(notice, 0).otherwise(earned)).when(linked, 0).otherwise(earned)
+    return F.when(F.length(bare) > LONGEST_NOTICE, notice).otherwise(linked)
+
+
+def _points(bare: Column, density: Column | None = None) -> Column:
+    """Points of a folded line. A density of null, or none at all, leaves it to how the line reads."""
+    read = F.when(_reads_outside(bare), 0).otherwise(_earned(bare)).cast("double")
+    if density is None:
+        return read
+    measured = _earned(bare) * (1 - density)
+    # what is neither clearly outside nor mostly inside is left to how it reads
+    return F.when((measured < LEAST_POINTS) | ((density < 0.5) & ~F.rlike(bare, F.lit(_ARROWS))), measured).otherwise(read)
 
 
 def line_points(line: Column) -> Column:
-    """Points of a line: one, one for each comma, one for each hundred characters up to three, all times one
-    less the line's link density, which is one or none. Longer lines than a notice's are prose unless they are
-    breadcrumbs, menus, lists of links, cookie notices or legal notices (``LONG_CUES``)."""
+    """Points of a line for which no density is measured: one, one for each comma, one for each hundred characters up to
+    three, all times one less the line's link density, which is then one or none. Longer lines than a notice's are prose
+    unless they are breadcrumbs, menus, lists of links, cookie notices or legal notices (``LONG_CUES``)."""
     return _points(_bare(line))
 
 
-def text_lines_outside(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def _beginnings(bare: Column) -> Column:
+    """Hashes of a folded line's first three and four words, or of the whole line if it has no more, which no longer line
+    shares; the n-th is of n words. One or two words begin too many kinds of lines. Digits are alike."""
+    head = F.regexp_replace(F.lower(F.substring(F.regexp_replace(bare, _EDGE, ""), 1, 120)), "[0-9]+", "0")
+    tokens = F.slice(F.regexp_extract_all(head, F.lit(r"[\p{L}\p{N}]+|[>|:»«©/,]"), 0), 1, BEGINNING + 1)
+    one = lambda t, n: F.when((F.size(t) > n) & (n >= LEAST_WORDS), F.xxhash64(F.array_join(F.slice(t, F.lit(1), n), " "))).when(F.size(t) == n, F.xxhash64(F.array_join(t, " "), F.lit("whole")))
+    return F.get(F.transform(F.array(tokens), lambda t: F.transform(F.sequence(F.lit(1), F.lit(BEGINNING)), lambda n: one(t, n))), F.lit(0))
+
+
+def measured_densities(lines: DataFrame, known_pages: int = KNOWN_PAGES) -> DataFrame:
+    """(beginning, words, density) of the beginnings that stand on ``known_pages`` saved pages or more: the share of those
+    pages that have such a line outside the main body. ``lines``: key, line, beyond (outside by the tree alone, or null)."""
+    each = lines.where("beyond IS NOT NULL").select("key", "beyond", F.posexplode(_beginnings(_bare(F.col("line")))).alias("n", "beginning")).where("beginning IS NOT NULL")
+    by_page = each.groupBy("beginning", "n", "key").agg(F.max(F.col("beyond").cast("int")).alias("out"), F.max((~F.col("beyond")).cast("int")).alias("in"))
+    counted = by_page.groupBy("beginning", "n").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    share = F.col("out") / (F.col("out") + F.col("in") + 1)
+    return counted.where(F.col("out") + F.col("in") >= known_pages).select("beginning", (F.col("n") + 1).alias("words"), share.alias("density"))
+
+
+def _with_density(lines: DataFrame, densities: DataFrame) -> DataFrame:
+    """``lines`` (with ``line``, folded) with ``density``: that of the longest known beginning. A short beginning within
+    which most stands in the main body tells too little and gives none."""
+    many = densities.count()
+    known = densities.withColumnsRenamed({"beginning": "__b", "words": "__w"})
+    rows = lines.withColumn("__heads", _beginnings(F.col("line")))
+    for n in range(1, BEGINNING + 1):
+        side = known.where(F.col("__w") == n).select(F.col("__b").alias(f"__b{n}"), F.col("density").alias(f"__d{n}"))
+        rows = rows.withColumn(f"__h{n}", F.get("__heads", F.lit(n - 1)))
+        rows = rows.join(F.broadcast(side) if many * 64 <= BROADCAST_BYTES else side, F.col(f"__h{n}") == F.col(f"__b{n}"), "left").drop(f"__b{n}")
+    longest = F.coalesce(*(F.col(f"__d{n}") for n in range(BEGINNING, 0, -1)))
+    density = F.when((longest >= 0.5) | F.col(f"__d{BEGINNING}").isNotNull(), longest)
+    return rows.withColumn("density", density).drop("__heads", *(f"__{x}{n}" for x in "hd" for n in range(1, BEGINNING + 1)))
+
+
+def text_lines_outside(chunks: DataFrame, id_col: str = "id", text_col: str = "text", densities: DataFrame | None = None) -> DataFrame:
     """(id, line_no) of the lines of page texts that are not main body; blank lines are never given."""
     bare = F.transform(F.split("text", "\n", -1), _bare)
-    return (
+    lines = (
         chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where(F.col("id").isNotNull() & F.col("text").isNotNull())
         .select("id", F.posexplode(bare).alias("at", "line"))
-        .where((F.col("line") != "") & (_points(F.col("line")) == 0))
-        .select("id", (F.col("at") + 1).alias("line_no"))
-        .distinct()
+        .where(F.col("line") != "")
     )
+    points = _points(F.col("line"))
+    if densities is not None:
+        lines, points = _with_density(lines, densities), _points(F.col("line"), F.col("density"))
+    return lines.where(points < LEAST_POINTS).select("id", (F.col("at") + 1).alias("line_no")).distinct()
 
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -270,8 +333,8 @@ def _read(html: str) -> _Tree:
     return tree
 
 
-def _main_nodes(tree: _Tree) -> list[_Node]:
-    """The elements of a page that are main body, each without those below it."""
+def _main_nodes(tree: _Tree, worded: bool = True) -> list[_Node]:
+    """The elements of a page that are main body, each without those below it. How lines read counts if ``worded``."""
     _score(tree.root)
     places = [n for n in tree.root.walk() if n.tag in _BLOCKS and n.tag not in _LEAF and n.points > 0 and n.tag not in ("html", "body")]
     best = max(places, key=_standing, default=None)
@@ -296,7 +359,7 @@ def _main_nodes(tree: _Tree) -> list[_Node]:
             against = _AGAINST.search(node.names) or node.tag in ("nav", "aside", "footer")
             if box and (against or (node.size and node.density() >= 0.5)):
                 continue
-            if not (node.tag[0] == "h" and node.tag[1:].isdigit()) and len(node.lines) == 1:
+            if worded and not (node.tag[0] == "h" and node.tag[1:].isdigit()) and len(node.lines) == 1:
                 line = re.sub(r"^[-–—•*»«›‹\s]+|[\s.]+$", "", re.sub(r"\s+", " ", node.lines[0][1]))
                 if (_LINE_CUE if len(line) <= LONGEST_NOTICE else _LONG_LINE_CUE).search(line):
                     continue
@@ -305,13 +368,29 @@ def _main_nodes(tree: _Tree) -> list[_Node]:
     return inside
 
 
-def lines_outside_main(html: str | None) -> list[int]:
-    """Numbers of the lines of a page that hold visible text outside its main body."""
+def visible_lines(html: str | None) -> list[tuple[int, str, bool | None, bool]]:
+    """(line number, text, outside by the tree alone, outside) of the lines of a page with visible text. Of a page with
+    hardly any main body the tree tells nothing."""
     if not html or not html.strip():
         return []
     tree = _read(html)
-    inside = {no for node in _main_nodes(tree) for no, _ in node.lines}
-    return sorted({no for n in tree.root.walk() for no, _ in n.lines} - inside)
+    kept = {no for node in _main_nodes(tree) for no, _ in node.lines}
+    for node in tree.root.walk():
+        node.points = 0.0
+    nodes = _main_nodes(tree, worded=False)
+    standing = {no for node in nodes for no, _ in node.lines}
+    tells = sum(len(text) for node in nodes for _, text in node.lines) >= LEAST_BODY
+    texts: dict[int, list[str]] = {}
+    seen = {id(node) for node in tree.root.walk() if node.lines}
+    for node, no, text in tree.pieces:
+        if id(node) in seen and text.strip():
+            texts.setdefault(no, []).append(text.strip())
+    return [(no, " ".join(parts), no not in standing if tells else None, no not in kept) for no, parts in texts.items()]
+
+
+def lines_outside_main(html: str | None) -> list[int]:
+    """Numbers of the lines of a page that hold visible text outside its main body."""
+    return sorted({no for no, _, _, out in visible_lines(html) if out})
 
 
 def main_text_of(html: str | None) -> str | None:
@@ -336,23 +415,26 @@ def main_text_of(html: str | None) -> str | None:
     return "\n".join(x for x in joined if x)
 
 
-def page_lines_outside(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
-    """(key, line_no) of the visible lines outside each page's main body; null keys and pages give nothing."""
+def page_lines(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
+    """(key, line_no, line, beyond, outside) of the visible lines of each page; null keys and pages give nothing."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [lines_outside_main(x) for x in batch["html"]]
-            rows = pd.DataFrame({"key": batch["key"], "line_no": found}).explode("line_no").dropna()
-            yield rows.astype({"line_no": "int32"})
+            rows = [(key, *line) for key, html in zip(batch["key"], batch["html"], strict=True) for line in visible_lines(html)]
+            yield pd.DataFrame(rows, columns=["key", "line_no", "line", "beyond", "outside"]).astype({"beyond": "boolean"})
 
     return (
         pages.select(F.col(key_col).cast("string").alias("key"), F.col(html_col).alias("html"))
         .where(F.col("key").isNotNull() & F.col("html").isNotNull())
-        .mapInPandas(scan, "key string, line_no int")
-        .distinct()
+        .mapInPandas(scan, "key string, line_no int, line string, beyond boolean, outside boolean")
     )
 
 
+def page_lines_outside(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
+    """(key, line_no) of the visible lines outside each page's main body; null keys and pages give nothing."""
+    return page_lines(pages, key_col, html_col).where("outside").select("key", "line_no").distinct()
+
+
 def page_main_text(pages: DataFrame, key_col: str = "filename", html_col: str = "html") -> DataFrame:
     """(key, text_main): the main body's visible text of each saved page, null for a null page; null keys give nothing."""
 
@@ -370,21 +452,32 @@ def page_main_text(pages: DataFrame, key_col: str = "filename", html_col: str =
 
 def main_body(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """(src_table, rec_key, text_main): the main body of every chunk and of every saved page."""
-    texts = main_text(chunks).select(F.lit("chunks").alias("src_table"), F.col("id").alias("rec_key"), "text_main").distinct()
+    densities = materialize(measured_densities(page_lines(pages)))
+    texts = main_text(chunks.select("id", "text"), densities=densities).select(F.lit("chunks").alias("src_table"), F.col("id").alias("rec_key"), "text_main").distinct()
     html = page_main_text(pages).select(F.lit("rawhtml").alias("src_table"), F.col("key").alias("rec_key"), "text_main")
     return texts.unionByName(html)
 
 
 def outside_main_body(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """(src_table, rec_key, line_no) of every line of chunks and saved pages that is not main body."""
-    texts = text_lines_outside(chunks).select(F.lit("chunks").alias("src_table"), F.col("id").alias("rec_key"), "line_no")
-    html = page_lines_outside(pages).select(F.lit("rawhtml").alias("src_table"), F.col("key").alias("rec_key"), "line_no")
+    # the pages are parsed once, for their own lines and for the densities
+    seen = materialize(page_lines(pages))
+    densities = materialize(measured_densities(seen))
+    texts = text_lines_outside(chunks, densities=densities).select(F.lit("chunks").alias("src_table"), F.col("id").alias("rec_key"), "line_no")
+    html = seen.where("outside").select(F.lit("rawhtml").alias("src_table"), F.col("key").alias("rec_key"), "line_no").distinct()
     return texts.unionByName(html)
 
 
-def main_text(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """``chunks`` with ``text_main``: the lines of the text that are main body. All rows and columns stay."""
+def main_text(chunks: DataFrame, text_col: str = "text", id_col: str = "id", densities: DataFrame | None = None) -> DataFrame:
+    """``chunks`` with ``text_main``: the lines of the text that are main body. All rows and columns stay; with densities,
+    rows without id are judged by how their lines read."""
     # each line is folded once, before it is judged
     lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(x.alias("line"), _bare(x).alias("bare")))
-    kept = F.filter(lines, lambda x: (x["bare"] == "") | (_points(x["bare"]) > 0))
-    return chunks.withColumn("text_main", F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    kept = F.filter(lines, lambda x: (x["bare"] == "") | (_points(x["bare"]) >= LEAST_POINTS))
+    read = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    if densities is None:
+        return chunks.withColumn("text_main", read)
+    gone = text_lines_outside(chunks, id_col, text_col, densities).groupBy(F.col("id").alias("__of")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = chunks.drop("text_main").join(gone, F.col(id_col) == F.col("__of"), "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
+    by_number = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i + 1)), "\n")
+    return joined.withColumn("text_main", F.when(F.col(id_col).isNull(), read).otherwise(by_number)).drop("__of", "__gone")

@@ -372,3 +372,19 @@ def test_template_expressions_and_unknown_filler(spark):
     assert [t for t, f in zip(good, flags(spark, residue.text_is_residue, good), strict=True) if f] == []
     spaced = ["Page  not  found. Try again.", "Upstream  host did not reply", "The service is  unavailable", "Access\n denied. Go back."]
     assert flags(spark, residue.text_is_residue, spaced) == [True] * 4
+
+
+def test_densities_measured_on_saved_pages(spark):
+    """Wordings that no cue knows are learnt from where saved pages have them; prose with such a beginning stays."""
+    prose = "The office treats fees as part of teaching, where the supplier sent a dated invoice, and the use can be shown."
+    page = "<body><div><a href='/'>Get our weekly digest by mail</a></div>\n<article><h1>Fees</h1>\n<p>{0} {0}</p>\n<p>{0} {0}</p>\n<p>Written records count, {0}</p></article>\n<footer><p>Grab the app for your phone</p></footer></body>"
+    pages = spark.createDataFrame([(f"p{k}", page.format(prose)) for k in range(120)] + [(f"e{k}", "<body><p>Page not there. Go back home.</p></body>") for k in range(60)] + [("n", None), (None, page)], "filename string, html string")
+    seen = main_body.page_lines(pages)
+    known = main_body.measured_densities(seen)
+    text = "\n".join(["Get our weekly digest by mail", prose, "Grab the app for your phone", "", "Written records count, so keep them.", "Page not there. Go back home.", "Grab the app.", "Grab the app for your phone, where the office lists fees, rates, forms, dates, agents, payers, notes, years, books, sums, claims, places and names, and keep all of it, since each of them counts, even if paid late."])
+    chunks = spark.createDataFrame([("a", text), ("n", None), (None, text)], "id string, text string")
+    assert sorted((r.id, r.line_no) for r in main_body.text_lines_outside(chunks, densities=known).collect()) == [("a", 1), ("a", 3)]
+    kept = {r.id: r.text_main for r in main_body.main_text(chunks, densities=known).collect()}
+    assert kept["a"].split("\n") == [x for k, x in enumerate(text.split("\n"), 1) if k not in (1, 3)] and kept["n"] is None and kept[None] == text
+    assert main_body.text_lines_outside(chunks).count() == 0
+    assert main_body.measured_densities(seen.limit(0)).count() == 0
