@@ -76,10 +76,10 @@ def chunked(sections: Column, limit: int, least: int) -> Column:
 def page_chunks(sections: DataFrame, pages: DataFrame, keywords: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
     """Chunk rows of every page: ``sections`` (key, pos, heading, content), ``pages`` (key, url, title), and the
     keywords of addresses (url, keywords), or those of the path where there are none."""
-    settings = settings or Settings()
+    settings = settings or Settings.from_env()
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "heading", "content"))), lambda s: F.struct(s["heading"], s["content"]))
     by_page = sections.groupBy("key").agg(ordered.alias("sections"))
-    rows = by_page.join(pages.select("key", "url", "title").dropDuplicates(["key"]), "key")
+    rows = by_page.join(pages.groupBy("key").agg(F.min(F.struct("url", "title")).alias("p")).select("key", "p.*"), "key")
     chunks = rows.withColumn("chunks", chunked(F.col("sections"), settings.chunk_max_tokens, settings.chunk_min_tokens))
     flat = chunks.select("url", X.page_title(F.coalesce("title", F.lit(""))).alias("title"), F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("chunk_index", "chunk"))
     if keywords is not None:

@@ -6,21 +6,51 @@ product in numpy, which keeps each query's best of that block; the best of all b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions import vectors as V
 
 
+#: Bytes up to which the queries' vectors are sent to each task whole; beyond, blocks meet blocks by a plain product.
+BROADCAST_BYTES = 32 << 20
+
+
 def normalized(rows: DataFrame, vec_col: str = "vec") -> DataFrame:
     """``rows`` with unit vectors; rows whose vector has no direction are left out."""
     return rows.where(F.col(vec_col).isNotNull()).withColumn(vec_col, V.unit(F.col(vec_col))).where(F.col(vec_col).isNotNull())
 
 
+def encoded(rows: DataFrame, text_col: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], size: int, batch: int = 256, vec_col: str = "vec") -> DataFrame:
+    """``rows`` with ``vec_col``, the unit vector that an encoder gives for the text, null for null and empty texts.
+
+    ``encoder`` is called once in each task and gives a function from texts to a matrix of ``size`` columns, which is
+    asked for ``batch`` texts at a time; so a model is loaded by the tasks and no text leaves them.
+    """
+    base = rows.drop(vec_col)
+    schema = T.StructType([*base.schema.fields, T.StructField(vec_col, T.ArrayType(T.FloatType()))])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder()
+        for part in batches:
+            out: list[np.ndarray | None] = [None] * len(part)
+            at = [k for k, x in enumerate(part[text_col]) if x]
+            texts = part[text_col].tolist()
+            for s in range(0, len(at), batch):
+                found = np.asarray(encode([texts[k] for k in at[s : s + batch]]), np.float64).reshape(-1, size)
+                length = np.linalg.norm(found, axis=1)
+                for k, v, n in zip(at[s : s + batch], found, length, strict=True):
+                    out[k] = (v / n).astype(np.float32) if n > 0 else None
+            yield part.assign(**{vec_col: pd.Series(out, index=part.index, dtype="object")})
+
+    return base.mapInPandas(scan, schema)
+
+
 def _blocks(rows: DataFrame, key: str, size: int, block: int, name: str) -> DataFrame:
     """Rows of (name_keys, name_bytes): up to about ``block`` vectors each, by hash of the key."""
     usable = rows.where(F.col(key).isNotNull() & F.col("vec").isNotNull() & (F.size("vec") == size)).dropDuplicates([key])
@@ -41,6 +71,8 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 30, size: int = 64, b
     ``queries``: qid, vec; ``corpus``: idx, vec. Vectors that are null or of another length are left out.
     """
     asked, held = _blocks(queries, "qid", size, block, "q"), _blocks(corpus, "idx", size, block, "c")
+    if queries.count() * (4 * size + 8) <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

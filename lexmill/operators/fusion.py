@@ -16,7 +16,7 @@ from lexmill.functions import vectors as V
 
 def reciprocal_rank(dense: DataFrame, sparse: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(qid, idx, dense_score, bm25_score, score, pos): weighted reciprocal ranks added up, dense order before sparse."""
-    s = settings or Settings()
+    s = settings or Settings.from_env()
     d = dense.select("qid", "idx", "dense_score", F.col("rank").alias("d"))
     b = sparse.select("qid", "idx", "bm25_score", F.col("rank").alias("s"))
     score = F.coalesce(F.lit(s.dense_weight) / (s.rrf_k + F.col("d")), F.lit(0.0)) + F.coalesce(F.lit(s.sparse_weight) / (s.rrf_k + F.col("s")), F.lit(0.0))
@@ -39,7 +39,7 @@ def _replaced(rows: DataFrame, *order: Column) -> DataFrame:
 def adjusted(candidates: DataFrame, narrow_paths: list[str] = (), narrow_terms: list[str] = (), broad_paths: list[str] = (), settings: Settings | None = None) -> DataFrame:
     """Scores raised for words shared by query and title, lowered for narrow paths unless the query names one of the
     narrow terms, raised for broad paths. ``candidates`` has query, title and url."""
-    s = settings or Settings()
+    s = settings or Settings.from_env()
     asked = F.array_distinct(X.words(F.lower(F.coalesce("query", F.lit("")))))
     shared = F.size(F.array_intersect(asked, F.array_distinct(X.words(F.lower(F.coalesce("title", F.lit("")))))))
     boost = F.when(shared >= 2, s.title_boost).when((shared == 1) & (F.size(asked) <= 4), s.title_boost_one).otherwise(0.0)
@@ -55,7 +55,7 @@ def adjusted(candidates: DataFrame, narrow_paths: list[str] = (), narrow_terms:
 
 def grouped_by_url(candidates: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The best of each address, addresses in order of their best candidate."""
-    s = settings or Settings()
+    s = settings or Settings.from_env()
     by_url = Window.partitionBy("qid", "url")
     score = F.coalesce("score", F.lit(0.0))
     ranked = candidates.withColumn("__n", F.row_number().over(by_url.orderBy(score.desc(), "pos"))).withColumn("__top", F.max(score).over(by_url)).withColumn("__first", F.min("pos").over(by_url))
@@ -69,10 +69,19 @@ def word_overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(asked, there)) / F.nullif(F.size(asked), F.lit(0)), F.lit(0.0))
 
 
+def weighted_overlap(weights: Column, *texts: Column, scale: float = 10.0) -> Column:
+    """Pair scores without a model, on the scale of a cross-encoder's logits: from -scale, where no term of the query
+    stands in the texts, to scale, where all do; terms weigh by their inverse frequency. 0 for a query without terms."""
+    there = X.words(F.lower(F.concat_ws(" ", *texts)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, w: s + w["idf"])
+    share = total(F.filter(weights, lambda w: F.array_contains(there, w["term"]))) / total(weights)
+    return F.coalesce(F.round(scale * (2 * share - 1), 6), F.lit(0.0))
+
+
 def reranked(candidates: DataFrame, pair_score: Column, settings: Settings | None = None, cap: bool = True) -> DataFrame:
     """rerank_score: the pair scorer's value blended with the score scaled to 0..1 over the query's candidates (0.5 if
     all are equal), sorted by it and cut to the cap."""
-    s = settings or Settings()
+    s = settings or Settings.from_env()
     whole = Window.partitionBy("qid")
     low, high = F.min("score").over(whole), F.max("score").over(whole)
     scaled = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(0.5)
@@ -87,7 +96,7 @@ def mmr(candidates: DataFrame, vec_col: str = "vec", settings: Settings | None =
 
     One ordered fold over each query's array of candidates. Relevance is rerank_score, or score where there is none.
     """
-    s = settings or Settings()
+    s = settings or Settings.from_env()
     rel = F.coalesce("rerank_score", "score") if "rerank_score" in candidates.columns else F.col("score")
     keep = [c for c in candidates.columns if c not in ("qid", vec_col)]
     packed = candidates.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("__pos"), rel.cast("double").alias("__rel"), F.col(vec_col).alias("__vec"), F.struct(*keep).alias("__row")))).alias("all"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.config import Settings
@@ -37,18 +37,43 @@ def index(corpus: DataFrame) -> Index:
     return Index(postings, lengths, frequencies, totals)
 
 
+def save(found: Index, folder: str) -> None:
+    """Writes the index tables below ``folder``; postings and frequencies lie sorted by term, so that a search skips the
+    row groups of other terms."""
+    for name in ("postings", "frequencies"):
+        getattr(found, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/{name}")
+    for name in ("lengths", "totals"):
+        getattr(found, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "frequencies", "totals")))
+
+
+def inverse_frequency(docs: Column, n: Column) -> Column:
+    return F.log((docs - n + 0.5) / (n + 0.5) + 1)
+
+
+def query_weights(queries: DataFrame, found: Index) -> DataFrame:
+    """(qid, weights): each query's distinct terms with their inverse frequencies, which are highest for unknown terms."""
+    asked = queries.select("qid", F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term"))
+    known = asked.join(found.frequencies, "term", "left").crossJoin(F.broadcast(found.totals))
+    weighed = known.select("qid", F.struct("term", inverse_frequency(F.col("docs"), F.coalesce("n", F.lit(0))).alias("idf")).alias("w"))
+    return weighed.groupBy("qid").agg(F.array_sort(F.collect_list("w")).alias("weights"))
+
+
 def search(queries: DataFrame, found: Index, k: int = 30, settings: Settings | None = None) -> DataFrame:
     """(qid, idx, bm25_score, rank): the k best documents of each query by score, ties by idx.
 
     ``queries``: qid, text. A term counts as often as it stands in the query. Documents without any are not given.
     """
-    settings = settings or Settings()
+    settings = settings or Settings.from_env()
     asked = queries.select("qid", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
     # one row of totals, and the frequencies of the queries' own terms
     weights = (
         found.frequencies.join(asked.select("term").distinct(), "term", "left_semi")
         .crossJoin(F.broadcast(found.totals))
-        .select("term", "avg_dl", F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1).alias("idf"))
+        .select("term", "avg_dl", inverse_frequency(F.col("docs"), F.col("n")).alias("idf"))
     )
     k1, b = settings.bm25_k1, settings.bm25_b
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avg_dl"))

@@ -85,14 +85,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY host, branch ORDER BY inv_id) AS
 SELECT inv_id, host, branch, branch_pos FROM r WHERE branch_pos <= 50""")
 def branch_cap(spark, d):
     rows = table(spark, d, "inventory").where("url IS NOT NULL")
-    return inventory.capped_by_branch(rows, Settings().branch_cap, "inv_id").select("inv_id", "host", "branch", F.col("branch_pos").cast("long").alias("branch_pos"))
+    return inventory.capped_by_branch(rows, Settings.from_env().branch_cap, "inv_id").select("inv_id", "host", "branch", F.col("branch_pos").cast("long").alias("branch_pos"))
 
 
 @query()
 def crawl_cap(spark, d):
     """The pages that a crawl in the order of the inventory takes: of a branch, up to its fiftieth first leaf with chunks."""
     rows = inventory.typed(table(spark, d, "inventory").where("url IS NOT NULL"), table(spark, d, "hubs"), table(spark, d, "chunks"))
-    kept = inventory.capped_by_branch(rows, Settings().branch_cap, "inv_id", counts=F.col("type") == "leaf")
+    kept = inventory.capped_by_branch(rows, Settings.from_env().branch_cap, "inv_id", counts=F.col("type") == "leaf")
     return kept.select("inv_id", "host", "branch", "type", F.col("branch_pos").cast("long").alias("branch_pos"))
 
 
@@ -188,7 +188,7 @@ p AS (SELECT doc_id, unnest(list_append(r.done, r.t)) AS piece FROM f),
 t AS (SELECT doc_id, regexp_replace(piece, '^@S+|@S+$', '', 'g') AS piece FROM p)
 SELECT doc_id, piece, CAST(""" + _SQL_TOKENS.format("piece") + r""" AS BIGINT) AS tokens FROM t WHERE """ + _SQL_TOKENS.format("piece") + r""" >= 60""")
 def chunk_pack(spark, d):
-    s = Settings()
+    s = Settings.from_env()
     rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(chunking.packed(F.col("text"), s.chunk_max_tokens, s.chunk_min_tokens)).alias("piece"))
     return rows.withColumn("tokens", X.token_count(F.col("piece")).cast("long"))
 
@@ -201,7 +201,7 @@ l AS (SELECT doc_id, CASE WHEN r.t <> '' THEN list_append(r.done, r.t) ELSE r.do
 SELECT doc_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS content FROM l""")
 def chunk_merge(spark, d):
     paragraphs = F.transform(F.filter(F.split("text", r"\n+"), lambda t: t != ""), lambda t: F.struct(F.lit("").alias("heading"), t.alias("content")))
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(chunking.merged(paragraphs, Settings().chunk_max_tokens)).alias("pos", "s"))
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(chunking.merged(paragraphs, Settings.from_env().chunk_max_tokens)).alias("pos", "s"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("s.content").alias("content"))
 
 
@@ -301,25 +301,25 @@ rrf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dr NU
 
 @query(f"WITH {_SQL_BM25} SELECT term, n FROM df")
 def bm25_index_stats(spark, d):
-    return sparse.index(retrieval.index_text(retrieval.corpus(spark, d))).frequencies
+    return retrieval.session_index(spark, d).sparse.frequencies
 
 
 @query(f"WITH {_SQL_BM25} SELECT idx, term, tf FROM post")
 def bm25_postings(spark, d):
-    return sparse.index(retrieval.index_text(retrieval.corpus(spark, d))).postings
+    return retrieval.session_index(spark, d).sparse.postings
 
 
 @query(f"WITH {_SQL_BM25} SELECT qid, idx, bm25_score, rank FROM sparse")
 def bm25_search(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
-    found = sparse.search(asked, sparse.index(retrieval.index_text(corpus)), Settings().retriever_topk)
+    found = sparse.search(asked, corpus.sparse, Settings.from_env().retriever_topk)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_SQL_DOCS}{_SQL_DENSE} SELECT qid, idx, dense_score, rank FROM dense")
 def dense_search(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
-    found = dense.search(asked, dense.normalized(corpus.select("idx", "vec")), Settings().retriever_topk)
+    found = dense.search(asked, corpus.vectors, Settings.from_env().retriever_topk)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -332,14 +332,14 @@ def l2_normalize(spark, d):
 @query(f"WITH {_SQL_BM25}{_SQL_DENSE}{_SQL_RRF} SELECT qid, idx, score, pos FROM rrf")
 def rrf_fusion(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
-    fused = fusion.reciprocal_rank(*retrieval.legs(asked, corpus, Settings().retriever_topk))
+    fused = fusion.reciprocal_rank(*retrieval.legs(asked, corpus, Settings.from_env().retriever_topk))
     return fused.select("qid", "idx", "score", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"WITH {_SQL_BM25}{_SQL_DENSE}{_SQL_RRF} SELECT qid, idx, CASE WHEN count(bm25_score) OVER (PARTITION BY qid) > 0 THEN score ELSE dense_score END AS score FROM rrf")
 def hybrid_search(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
-    return fusion.hybrid(*retrieval.legs(asked, corpus, Settings().retriever_topk)).select("qid", "idx", "score")
+    return fusion.hybrid(*retrieval.legs(asked, corpus, Settings.from_env().retriever_topk)).select("qid", "idx", "score")
 
 
 _SQL_ADJUST = r""",
@@ -352,8 +352,11 @@ _SQL_GROUP = r""",
 byurl AS (SELECT *, row_number() OVER (PARTITION BY qid, url ORDER BY score DESC, pos) AS n, max(score) OVER (PARTITION BY qid, url) AS top, min(pos) OVER (PARTITION BY qid, url) AS first FROM adjusted),
 grouped AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY qid ORDER BY top DESC, first, url, n) AS pos FROM byurl WHERE n <= 2)"""
 _SQL_RERANK = r""",
-pairs AS (SELECT *, coalesce(len(list_distinct(list_intersect(list_filter(regexp_split_to_array(lower(query), '@S+'), lambda x: x <> ''), list_filter(regexp_split_to_array(lower(coalesce(text, '')), '@S+'), lambda x: x <> '')))) / nullif(many, 0), 0) AS ce,
-  min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM grouped),
+qw AS (SELECT DISTINCT qid, query, unnest(list_filter(regexp_split_to_array(lower(query), '@S+'), lambda x: x <> '')) AS w FROM grouped),
+qi AS (SELECT qid, w, ln((docs - coalesce(n, 0) + 0.5::DOUBLE) / (coalesce(n, 0) + 0.5::DOUBLE) + 1) AS idf FROM qw LEFT JOIN df ON df.term = qw.w CROSS JOIN tot),
+there AS (SELECT qid, idx, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, section_heading, text)), '@S+'), lambda x: x <> '') AS ws FROM grouped),
+ce AS (SELECT t.qid, t.idx, round(10 * (2 * sum(CASE WHEN list_contains(t.ws, q.w) THEN q.idf ELSE 0 END) / sum(q.idf) - 1), 6) AS ce FROM there t JOIN qi q ON q.qid = t.qid GROUP BY t.qid, t.idx),
+pairs AS (SELECT g.*, coalesce(c.ce, 0) AS ce, min(score) OVER (PARTITION BY g.qid) AS lo, max(score) OVER (PARTITION BY g.qid) AS hi FROM grouped g LEFT JOIN ce c ON c.qid = g.qid AND c.idx = g.idx),
 rer AS (SELECT * EXCLUDE (pos), round(0.7::DOUBLE * ce + 0.3::DOUBLE * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5::DOUBLE END, 9) AS rerank_score, pos AS was2 FROM pairs),
 reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, was2) AS pos FROM rer) WHERE pos <= 15)"""
 
@@ -414,7 +417,7 @@ def group_by_url(spark, d):
 @query(f"WITH {_SQL_BM25}{_SQL_DENSE}{_SQL_RRF}{_SQL_ADJUST}{_SQL_GROUP}{_SQL_RERANK} SELECT qid, idx, rerank_score, pos FROM reranked")
 def rerank_blend(spark, d):
     rows = fusion.grouped_by_url(fusion.adjusted(_candidates(spark, d)))
-    best = fusion.reranked(rows, fusion.word_overlap(F.col("query"), F.col("text")))
+    best = fusion.reranked(rows, retrieval.pair_score())
     return best.select("qid", "idx", "rerank_score", F.col("pos").cast("long").alias("pos"))
 
 
@@ -524,7 +527,7 @@ def _questions(corpus):
 
 def _ranked(spark, d):
     corpus, _, found = _retrieved(spark, d)
-    return evaluation.ranks(_questions(corpus), found)
+    return evaluation.ranks(_questions(corpus.docs), found)
 
 
 @query(_SQL_RETRIEVED + "SELECT qid, tier, category, coalesce(rank, 0) AS rank, hit, round(mrr, 6) AS mrr FROM ranked")
@@ -560,13 +563,13 @@ lr AS (SELECT s.search, l.qid, min(g.k) FILTER (WHERE contains(lower(g.url), low
 SELECT search, count(*) FILTER (WHERE rank IS NOT NULL) AS hits, count(*) AS total, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 3) AS mrr FROM lr GROUP BY search""")
 def eval_compare_search(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
-    k = Settings().retriever_topk
+    k = Settings.from_env().retriever_topk
     dn, sp = retrieval.legs(asked, corpus, k)
-    fields = corpus.select("idx", "url", "text")
+    fields = corpus.docs.select("idx", "url", "text")
     found = None
     for name, rows in (("dense", dn.withColumn("score", F.col("dense_score")).withColumn("pos", F.col("rank"))), ("bm25", sp.withColumn("score", F.col("bm25_score")).withColumn("pos", F.col("rank"))), ("hybrid", fusion.hybrid(dn, sp))):
         top = fusion.grouped_by_url(rows.select("qid", "idx", "score", "pos").join(fields, "idx")).where("pos <= 5")
-        one = evaluation.ranks(_questions(corpus), top, "pos").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("total"), F.round(F.avg("mrr"), 3).alias("mrr")).select(F.lit(name).alias("search"), "hits", "total", "mrr")
+        one = evaluation.ranks(_questions(corpus.docs), top, "pos").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("total"), F.round(F.avg("mrr"), 3).alias("mrr")).select(F.lit(name).alias("search"), "hits", "total", "mrr")
         found = one if found is None else found.unionByName(one)
     return found
 

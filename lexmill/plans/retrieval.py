@@ -2,21 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.config import Settings
 from lexmill.functions import vectors as V
 from lexmill.operators import dense, fusion, sparse
-from lexmill.session import materialize
+from lexmill.session import ensure_checkpoint_dir, materialize
 from lexmill.sources.tables import table
 
 
+FIELDS = ["idx", "id", "title", "url", "section_heading", "breadcrumb", "keywords", "text", "vec"]
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """What a search reads: the documents' fields, their unit vectors and the sparse index."""
+
+    docs: DataFrame
+    vectors: DataFrame
+    sparse: sparse.Index
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Indexed documents with their number and vector: one row per id of docvecs that docs has."""
-    docs = table(spark, folder, "docs").dropDuplicates(["id"])
-    vecs = table(spark, folder, "docvecs").select("idx", "id", "vec").dropDuplicates(["idx"])
-    return vecs.join(docs, "id")
+    """Indexed documents with their number and vector: one row per id of docvecs that docs has. Of several rows of one id
+    the least in the order of its columns is taken."""
+    docs = table(spark, folder, "docs")
+    others = [c for c in docs.columns if c != "id"]
+    first = docs.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*others)).alias("d")).select("id", "d.*")
+    vecs = table(spark, folder, "docvecs").where("idx IS NOT NULL").groupBy("idx").agg(F.min(F.struct("id", "vec")).alias("v")).select("idx", "v.id", "v.vec")
+    return vecs.join(first, "id").select(FIELDS)
+
+
+def build_index(docs: DataFrame) -> SearchIndex:
+    """The index of documents (``FIELDS``), as plans."""
+    return SearchIndex(docs, dense.normalized(docs.select("idx", "vec")).withColumn("vec", F.col("vec").cast("array<float>")), sparse.index(index_text(docs)))
+
+
+def save_index(found: SearchIndex, folder: str) -> None:
+    """Writes an index below ``folder``, to be read by any number of searches."""
+    found.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+    found.vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
+    sparse.save(found.sparse, folder)
+
+
+def load_index(spark: SparkSession, folder: str) -> SearchIndex:
+    return SearchIndex(spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/vectors"), sparse.load(spark, folder))
+
+
+#: Where the indexes lie that this application has built, by the folder of their tables.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def session_index(spark: SparkSession, folder: str) -> SearchIndex:
+    """The index of a data folder, which the first search of an application builds and saves beside its checkpoints."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _BUILT:
+        place = f"{ensure_checkpoint_dir(spark)}/index-{key[0]}-{len(_BUILT)}"
+        docs = materialize(corpus(spark, folder))
+        save_index(build_index(docs), place)
+        _BUILT[key] = place
+    return load_index(spark, _BUILT[key])
 
 
 def index_text(docs: DataFrame) -> DataFrame:
@@ -35,45 +83,48 @@ def known_items(docs: DataFrame, every: int = 50) -> DataFrame:
     return docs.where(F.col("idx") % every == 0).select(F.col("idx").alias("qid"), asked.alias("text"), _unit().alias("vec"), "url", "keywords")
 
 
-def legs(queries: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def legs(queries: DataFrame, found: SearchIndex, k: int) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse hits of the queries (qid, text, vec)."""
-    vectors = dense.normalized(docs.select("idx", "vec"))
-    d = dense.search(queries.select("qid", "vec"), vectors, k)
-    s = sparse.search(queries.select("qid", "text"), sparse.index(index_text(docs)), k)
-    return d, s
+    return dense.search(queries.select("qid", "vec"), found.vectors, k), sparse.search(queries.select("qid", "text"), found.sparse, k)
+
 
+def candidates(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
+    """Fused candidates of each query with the documents' fields, the query's text and its terms' weights."""
+    s = settings or Settings.from_env()
+    fused = fusion.hybrid(*legs(queries, found, s.retriever_topk), s)
+    fields = found.docs.select("idx", "id", "title", "url", "section_heading", "breadcrumb", "text", _unit().alias("vec"))
+    weights = sparse.query_weights(queries.select("qid", "text"), found.sparse)
+    asked = queries.select("qid", F.col("text").alias("query")).join(weights, "qid", "left")
+    return fused.join(fields, "idx").join(asked, "qid")
 
-def candidates(queries: DataFrame, docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Fused candidates of each query with the documents' fields and the query's text."""
-    s = settings or Settings()
-    fused = fusion.hybrid(*legs(queries, docs, s.retriever_topk), s)
-    fields = docs.select("idx", "id", "title", "url", "section_heading", "breadcrumb", "text", _unit().alias("vec"))
-    return fused.join(fields, "idx").join(queries.select("qid", F.col("text").alias("query")), "qid")
 
+def pair_score():
+    """How well a candidate's title, heading and text answer its query."""
+    return fusion.weighted_overlap(F.col("weights"), F.col("title"), F.col("section_heading"), F.col("text"))
 
-def retrieve(queries: DataFrame, docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+
+def retrieve(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
     """(qid, pick, ...): hybrid search, adjustment, grouping by address, reranking, diversification."""
-    s = settings or Settings()
-    found = fusion.grouped_by_url(fusion.adjusted(candidates(queries, docs, s), settings=s), s)
-    best = fusion.reranked(found, fusion.word_overlap(F.col("query"), F.col("text")), s)
-    return fusion.mmr(best, settings=s)
+    s = settings or Settings.from_env()
+    rows = fusion.grouped_by_url(fusion.adjusted(candidates(queries, found, s), settings=s), s)
+    best = fusion.reranked(rows, pair_score(), s)
+    return fusion.mmr(best.drop("weights"), settings=s)
 
 
-def multi_retrieve(requests: DataFrame, docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+def multi_retrieve(requests: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
     """(request, rank, ...): each request's sub-queries (request, part, text, vec) retrieved and merged; of results of
     the same address and beginning the first part's stays, and the best three more than final_topk are given."""
-    from pyspark.sql import Window
-
-    s = settings or Settings()
-    parts = requests.withColumn("qid", F.col("request") * 10 + F.col("part"))
-    rows = retrieve(parts, docs, s).withColumn("request", F.floor(F.col("qid") / 10)).withColumn("part", F.col("qid") % 10)
+    s = settings or Settings.from_env()
+    # the sub-queries' numbers go by request and part, whatever these are
+    parts = materialize(requests.withColumn("qid", F.xxhash64("request", "part")))
+    rows = retrieve(parts, found, s).join(parts.select("qid", "request", "part"), "qid")
     same = Window.partitionBy("request", "url", F.substring(F.coalesce("text", F.lit("")), 1, 100)).orderBy("part", "pick")
     once = rows.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
     order = Window.partitionBy("request").orderBy(F.desc("rerank_score"), "part", "pick")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.final_topk + 3)
 
 
-def prepared_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The corpus, cut off from its joins, and its known-item queries."""
-    docs = materialize(corpus(spark, folder))
-    return docs, known_items(docs)
+def prepared_corpus(spark: SparkSession, folder: str) -> tuple[SearchIndex, DataFrame]:
+    """The folder's index and its known-item queries."""
+    found = session_index(spark, folder)
+    return found, known_items(found.docs)

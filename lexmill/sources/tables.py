@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.functions import urls as U
+
 INVENTORY_SCHEMA = T.StructType(
     [
         T.StructField("url", T.StringType()),
@@ -32,6 +34,23 @@ CHUNK_SCHEMA = T.StructType(
     ]
 )
 
+DOCUMENT_SCHEMA = T.StructType(
+    [
+        *(T.StructField(name, T.StringType()) for name in ("id", "title", "url", "section_heading", "breadcrumb", "keywords", "embed_text", "text")),
+        T.StructField("chunk_index", T.IntegerType()),
+        T.StructField("chunk_total", T.IntegerType()),
+    ]
+)
+
+QUESTION_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.IntegerType()),
+        *(T.StructField(name, T.StringType()) for name in ("question", "tier", "category")),
+        *(T.StructField(name, T.ArrayType(T.StringType())) for name in ("expected_url_contains", "expected_answer_contains")),
+        T.StructField("ground_truth", T.StringType()),
+    ]
+)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder; ``<name>.parquet`` may be a file or a folder."""
@@ -49,6 +68,25 @@ def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK_SCHEMA).json(path)
 
 
+def read_docs_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Documents to index from JSON lines; those without text are left out, missing fields are empty, and a document
+    without ``embed_text`` is embedded by its text."""
+    rows = spark.read.schema(DOCUMENT_SCHEMA).json(path).where(F.coalesce(F.col("text"), F.lit("")) != "")
+    filled = rows.fillna("", ["title", "url", "section_heading", "breadcrumb", "keywords"])
+    return filled.withColumn("embed_text", F.coalesce(F.nullif("embed_text", F.lit("")), F.col("text")))
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, question, tier, category, fragments, answer_words, ground_truth) of a JSON file with a list of questions."""
+    rows = spark.read.schema(QUESTION_SCHEMA).json(path, multiLine=True).where(F.col("id").isNotNull())
+    return rows.select(F.col("id").cast("long").alias("qid"), "question", "tier", "category", F.col("expected_url_contains").alias("fragments"), F.col("expected_answer_contains").alias("answer_words"), "ground_truth")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Writes a report of one row as one JSON document into the folder ``path``."""
+    report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
     """(filename, html) for every file of a folder; bytes that are not UTF-8 become replacement marks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -65,6 +103,16 @@ def read_sitemap(spark: SparkSession, path: str, host: str) -> DataFrame:
     return rows.select(https.alias("url")).where(F.try_parse_url("url", F.lit("HOST")) == host).distinct().orderBy("url")
 
 
+def seeds(addresses: DataFrame, prefix: str, disallowed: DataFrame | None = None) -> DataFrame:
+    """(url): where a crawl begins: the sitemap's addresses below a path prefix, without those that ``disallowed`` (path;
+    path prefixes of the host's robots rules, a short list) forbids."""
+    rows = addresses.where(U.under_prefix(F.col("url"), prefix)).select("url").distinct()
+    if disallowed is None:
+        return rows
+    rules = disallowed.where(F.coalesce(F.col("path"), F.lit("")) != "").select(F.col("path").alias("__rule"))
+    return rows.join(rules, U.path(F.col("url")).startswith(F.col("__rule")), "left_anti")
+
+
 def site_of(url: Column) -> Column:
     """Host name of an address in lower case; null where there is none."""
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))

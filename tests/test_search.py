@@ -105,3 +105,47 @@ def test_latency_is_the_ranked_value(spark):
     got = {r.g: r for r in evaluation.latency(spark.createDataFrame(rows, "g string, v double, i long"), "g", "v", "i").collect()}
     assert got["a"].p95_value == sorted(x[1] for x in rows[:200])[int(200 * 0.95)]
     assert got["b"].p95_value == 3.0 and got["b"].n == 1
+
+
+def test_latency_of_small_and_wide_values(spark):
+    rng = random.Random(4)
+    rows = [("small", rng.random(), k) for k in range(700)] + [("wide", 10 ** rng.uniform(-6, 9), k) for k in range(900)] + [("same", 2.5, k) for k in range(50)]
+    got = {r.g: r.p95_value for r in evaluation.latency(spark.createDataFrame(rows, "g string, v double, i long"), "g", "v", "i").collect()}
+    assert got == {g: sorted(v for h, v, _ in rows if h == g)[int(0.95 * sum(h == g for h, _, _ in rows))] for g in ("small", "wide", "same")}
+
+
+def test_encoder_seam(spark):
+    def make():
+        return lambda texts: [[len(t), t.count("a")] for t in texts]
+
+    rows = spark.createDataFrame([(1, "aa"), (2, None), (3, ""), (4, "bbb")], "i long, t string").withColumn("vec", F.lit("clash"))
+    got = {r.i: r.vec for r in dense.encoded(rows, "t", make, 2, batch=1).collect()}
+    assert got[2] is None and got[3] is None and got[4] == [1.0, 0.0] and got[1] == pytest.approx([0.7071, 0.7071], abs=1e-3)
+
+
+def test_saved_index_gives_the_same_results(spark, data, tmp_path):
+    from lexmill.plans import retrieval
+
+    built = retrieval.build_index(retrieval.corpus(spark, data))
+    retrieval.save_index(built, str(tmp_path / "index"))
+    found = retrieval.load_index(spark, str(tmp_path / "index"))
+    asked = retrieval.known_items(built.docs)
+    show = lambda rows: sorted((r.qid, r.pick, r.idx, r.rerank_score) for r in rows.collect())
+    first = show(retrieval.retrieve(asked, found))
+    assert first and first == show(retrieval.retrieve(asked, built))
+
+
+def test_retrieval_quality(spark):
+    """The gates of the pipeline on known items: hits, mean reciprocal rank, recall in five, keywords, and hits by tier."""
+    from lexmill.plans import catalog
+
+    rows = catalog._ranked(spark, "/root/testdata/sf0.01")
+    whole, tiers = evaluation.metrics(rows).first(), rows.groupBy("tier").agg(F.avg(F.col("hit").cast("int")).alias("h")).collect()
+    assert whole.hit_rate >= 0.85 and whole.mrr >= 0.65 and whole.r5 >= 0.85 and whole.kw_recall >= 0.80
+    assert all(t.h >= 0.75 for t in tiers)
+
+
+def test_settings_from_the_environment(monkeypatch):
+    monkeypatch.setenv("LEXMILL_FINAL_TOPK", "3")
+    monkeypatch.setenv("LEXMILL_MMR_LAMBDA", "0.5")
+    assert (Settings.from_env().final_topk, Settings.from_env().mmr_lambda, Settings.from_env().rrf_k) == (3, 0.5, 60)

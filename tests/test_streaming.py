@@ -73,3 +73,27 @@ def test_sources(spark, tmp_path):
     S.append_csv(rows, str(tmp_path / "a"))
     S.append_csv(rows, str(tmp_path / "a"))
     assert spark.read.csv(str(tmp_path / "a"), header=True).count() == 2
+
+
+def test_documents_questions_reports_and_seeds(spark, tmp_path):
+    import json
+
+    from lexmill.operators import evaluation
+    from lexmill.sources import tables as S
+
+    (tmp_path / "d.jsonl").write_text('{"id":"1","text":"a","embed_text":""}\n\n{"id":"2","text":""}\n{"id":"3","text":"b","embed_text":"e","title":"T"}\n{"id":"4"}\n')
+    docs = {r.id: r for r in S.read_docs_jsonl(spark, str(tmp_path / "d.jsonl")).collect()}
+    assert set(docs) == {"1", "3"} and docs["1"].embed_text == "a" and docs["1"].title == "" and docs["3"].embed_text == "e"
+    (tmp_path / "q.json").write_text(json.dumps([{"id": 1, "question": "How?", "tier": "T1", "category": "x", "expected_url_contains": ["/b"], "expected_answer_contains": ["fee"]}, {"id": 2, "question": "Who?", "tier": "T2", "expected_url_contains": ["/z"]}]))
+    asked = S.read_questions(spark, str(tmp_path / "q.json"))
+    results = spark.createDataFrame([(1, 1, "https://h/b", "The fee"), (2, 1, "https://h/a", "x")], "qid long, pick int, url string, text string")
+    compared = spark.createDataFrame([("dense", 1, 2, 0.5)], "search string, hits long, total long, mrr double")
+    S.write_report(evaluation.report(evaluation.ranks(asked, results), compared), str(tmp_path / "r"))
+    got = spark.read.json(str(tmp_path / "r")).first().asDict(recursive=True)
+    assert (got["n"], got["retrieval"]["hit_rate"], got["retrieval"]["mrr"], got["retrieval"]["kw"]) == (2, 0.5, 0.5, 0.5)
+    assert got["tiers"] == {"T1": {"hit": 1.0, "mrr": 1.0}, "T2": {"hit": 0.0, "mrr": 0.0}}
+    assert got["search_comparison"]["dense"]["hits"] == 1 and [r["rank"] for r in got["results"]] == [1, None]
+    pages = spark.createDataFrame([("https://h/tax/a",), ("https://h/tax/private/b",), ("https://h/law",), ("https://h/tax/a",)], "url string")
+    rules = spark.createDataFrame([("/tax/private",), ("",), (None,)], "path string")
+    assert [r.url for r in S.seeds(pages, "/tax", rules).collect()] == ["https://h/tax/a"]
+    assert S.seeds(pages, "/tax").count() == 2
