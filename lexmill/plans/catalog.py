@@ -56,7 +56,9 @@ def url_skip_filter(spark, d):
     return table(spark, d, "inventory").where("url IS NOT NULL").select("inv_id", U.should_skip(F.col("url")).alias("skipped"), U.under_prefix(F.col("url"), "/individuals").alias("below"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT DISTINCT url, trim({_SQL_PATH}, '/') AS path FROM chunks WHERE url IS NOT NULL),
+s AS (SELECT url, CASE WHEN path = '' THEN [] ELSE list_transform(string_split(path, '/'), lambda x: replace(x, '-', ' ')) END AS parts FROM p)
+SELECT url, array_to_string(list_transform(parts, lambda x: array_to_string(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(x[i - 1], '\p{{L}}') THEN upper(x[i]) ELSE lower(x[i]) END), '')), ' > ') AS breadcrumb FROM s""")
 def url_breadcrumb(spark, d):
     return table(spark, d, "chunks").where("url IS NOT NULL").select("url").distinct().select("url", U.breadcrumb(F.col("url")).alias("breadcrumb"))
 
@@ -105,7 +107,15 @@ def url_ancestors(spark, d):
 # -- texts ---------------------------------------------------------------------------------------------------------
 
 
-@query()
+#: The compatibility forms that stand in the texts: full-width characters, dots in one, ideographic and no-break spaces.
+_WIDE, _NARROW = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c != 0xFF07), "".join(chr(c) for c in range(0x21, 0x7F) if c != 0x27)
+
+
+@query(rf"""WITH bare AS (SELECT DISTINCT id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(text, 'BEGIN NOINDEX', ''), 'END NOINDEX', ''), 'Skip to main content', ''), 'Skip To search', ''), 'Report webpage issue', ''), 'Print or Download', ''),
+  '\bQC\s*\d+\b', '', 'g'), 'Last updated\s*\d+\s*\w+\s*\d{{4}}', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM chunks WHERE text IS NOT NULL),
+folded AS (SELECT id, replace(translate(t, '{_WIDE}', '{_NARROW}'), '…', '...') AS t FROM bare),
+spaced AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(t, '[\x{{a0}}\x{{2007}}\x{{202f}}\x{{3000}}]', ' ', 'g'), '[\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}]', '', 'g'), '[ \t\r\f\v]+', ' ', 'g') AS t FROM folded)
+SELECT DISTINCT id, regexp_replace(t, '^@S+|@S+$', '', 'g') AS cleaned FROM spaced""")
 def text_clean(spark, d):
     return table(spark, d, "chunks").where("text IS NOT NULL").select("id", X.clean_text(F.col("text")).alias("cleaned")).distinct()
 
@@ -153,7 +163,12 @@ def _page_addresses(spark, d):
     return saved.groupBy(F.col("filename").alias("key")).agg(F.min("url").alias("url"))
 
 
-@query()
+@query(rf"""WITH page AS (SELECT filename AS key, min(url) AS base FROM inventory WHERE filename <> '' AND url IS NOT NULL GROUP BY filename),
+h AS (SELECT filename AS key, generate_subscripts(hs, 1) - 1 AS pos, unnest(hs) AS href FROM (SELECT filename, list_filter(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda x: x <> '') AS hs FROM rawhtml)),
+j AS (SELECT h.key, pos, base, replace(href, '&amp;', '&') AS href FROM h JOIN page ON page.key = h.key),
+u AS (SELECT key, pos, base, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN href WHEN href LIKE '/%' THEN regexp_extract(base, '^[^/]*//[^/]*') || href ELSE base END AS url FROM j),
+l AS (SELECT key, pos, {_SQL_HOST} AS host, regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) AS own, 'https://' || {_SQL_HOST} || {_SQL_PATH} AS link FROM u)
+SELECT key, link, min(pos) AS pos FROM l WHERE host = own AND NOT regexp_matches(lower(link), '/share/|/print/|/download/') GROUP BY key, link""")
 def page_links(spark, d):
     """The addresses on the same host that each saved page leads to."""
     found = html.child_links(html.links(table(spark, d, "rawhtml")), _page_addresses(spark, d))
@@ -487,23 +502,43 @@ def answer_prompt(spark, d):
     return answers.prompts(rows)
 
 
-@query(_SQL_RETRIEVED + rf"""SELECT DISTINCT n.qid, n.ref_number, coalesce(f.url, '') AS url FROM (SELECT qid, CAST(unnest(regexp_extract_all(evidence, '\[(\d{{1,9}})\]', 1)) AS BIGINT) AS ref_number FROM (SELECT qid, {_SQL_EVIDENCE} AS evidence FROM found GROUP BY qid)) n JOIN found f ON f.qid = n.qid AND f.pick = n.ref_number""")
+@query(_SQL_RETRIEVED + ", last AS (SELECT qid, max(pick) AS n FROM found GROUP BY qid) SELECT f.qid, f.pick AS ref_number, coalesce(f.url, '') AS url FROM found f JOIN last l ON l.qid = f.qid WHERE f.pick = 1 OR f.pick = l.n")
 def citations(spark, d):
+    """Answers that cite each request's first and last result, the first twice, and numbers that are none of its results."""
     found = _retrieved(spark, d)[2]
-    return answers.cited(answers.evidence(found).withColumnRenamed("evidence", "answer"), answers.references(found))
+    last = F.max("pick").cast("int")
+    made = found.groupBy("qid").agg(F.format_string("The fee counts [1], and the note [%d] as well [1]; see neither [%d] nor [0] nor [x].", last, last + 4).alias("answer"))
+    return answers.cited(made, answers.references(found))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^Assistant:\s*', '', 'i'), '\n{3,}', chr(10) || chr(10), 'g'), '^@S+|@S+$', '', 'g') || CASE WHEN contains(lower(text), 'general information') OR contains(lower(text), 'professional') THEN '' ELSE chr(10) || chr(10) || 'This is general information only.' END AS answer FROM documents WHERE text IS NOT NULL""")
+@query(r"""WITH a AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'Assistant: ' ELSE 'ASSISTANT:  ' END ELSE '' END || text || CASE WHEN doc_id % 4 = 0 THEN repeat(chr(10), 4) || 'Keep the records. ' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' Ask a Professional.' ELSE '' END AS said FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(substr(said, 11), '^\s+', '') ELSE regexp_replace(said, '^Assistant:\s*', '', 'i') END, '\n{3,}', chr(10) || chr(10), 'g'), '^@S+|@S+$', '', 'g')
+ || CASE WHEN contains(lower(said), 'general information') OR contains(lower(said), 'professional') THEN '' ELSE chr(10) || chr(10) || 'This is general information only.' END AS answer FROM a""")
 def clean_answer(spark, d):
+    """Answers made of the documents, some with the speaker's name before, surplus line breaks, or a word of advice."""
+    n = F.col("doc_id")
+    name = F.when((n % 3 == 0) & (n % 2 == 0), "Assistant: ").when(n % 3 == 0, "ASSISTANT:  ").otherwise("")
+    said = F.concat(name, F.col("text"), F.when(n % 4 == 0, "\n\n\n\nKeep the records. ").otherwise(""), F.when(n % 5 == 0, " Ask a Professional.").otherwise(""))
     rows = table(spark, d, "documents").where("text IS NOT NULL")
-    return rows.select("doc_id", X.with_disclaimer(X.clean_answer(F.col("text")), DISCLAIMER).alias("answer"))
+    return rows.select("doc_id", X.with_disclaimer(X.clean_answer(said), DISCLAIMER).alias("answer"))
 
 
-@query(r"""SELECT event_id, 'question' AS intent, event_type AS need, event_type AS first_query FROM events""")
+@query(r"""SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN 'ask_' || event_type ELSE 'question' END AS intent,
+ CASE WHEN event_id % 5 IN (0, 3) THEN 'need of ' || user_id ELSE event_type END AS need,
+ CASE WHEN event_id % 5 = 0 THEN event_type || ' first' ELSE event_type END AS first_query, CASE WHEN event_id % 5 = 0 THEN 3 ELSE 1 END AS queries FROM events""")
 def parse_understanding(spark, d):
-    """Replies without the wanted fields fall back on the query, field by field."""
-    rows = table(spark, d, "events").select("event_id", answers.understood(F.col("props"), F.col("event_type")).alias("u"))
-    return rows.select("event_id", F.col("u.intent").alias("intent"), F.col("u.understood_need").alias("need"), F.get("u.search_queries", F.lit(0)).alias("first_query"))
+    """Replies made of the event log: whole ones in a fence, ones without queries or with none, plain words, and nulls.
+    What is missing falls back on the query, field by field."""
+    rows = table(spark, d, "events")
+    kind, asked = F.col("event_id") % 5, F.col("event_type")
+    named = F.concat(F.lit("ask_"), asked).alias("intent")
+    need = F.concat(F.lit("need of "), F.col("user_id").cast("string")).alias("understood_need")
+    four = F.array(*(F.concat(asked, F.lit(f" {k}")) for k in ("first", "second", "third", "fourth"))).alias("search_queries")
+    whole = F.concat(F.lit("```json\n"), F.to_json(F.struct(named, need, four)), F.lit("\n```"))
+    empty = F.to_json(F.struct(need, F.array().cast("array<string>").alias("search_queries")))
+    reply = F.when(kind == 0, whole).when(kind == 1, F.to_json(F.struct(named))).when(kind == 2, F.concat(F.lit("I cannot say. "), asked)).when(kind == 3, empty)
+    u = rows.select("event_id", answers.understood(reply, asked).alias("u"))
+    return u.select("event_id", F.col("u.intent").alias("intent"), F.col("u.understood_need").alias("need"), F.get("u.search_queries", F.lit(0)).alias("first_query"), F.size("u.search_queries").alias("queries"))
 
 
 @query(r"""SELECT inv_id, coalesce(length(title) BETWEEN 1 AND 500, false) AS valid FROM inventory""")
