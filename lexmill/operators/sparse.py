@@ -1,6 +1,7 @@
 """BM25: index tables and batch search.
 
-The index is four tables: postings (idx, term, tf), document lengths, document frequencies and one row of totals.
+The index is four tables: postings (idx, term, tf, dl: the document's length), document lengths, document frequencies and
+one row of totals.
 A batch of queries meets the postings of its own terms only.
 """
 
@@ -30,8 +31,9 @@ def terms(text: Column) -> Column:
 def index(corpus: DataFrame) -> Index:
     """``corpus``: idx, text. A null text counts as empty; every row counts in the totals."""
     words = corpus.select("idx", terms(F.coalesce("text", F.lit(""))).alias("words"))
-    postings = words.select("idx", F.explode("words").alias("term")).groupBy("idx", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = words.select("idx", F.size("words").cast("long").alias("dl"))
+    dl = F.size("words").cast("long").alias("dl")
+    postings = words.select("idx", dl, F.explode("words").alias("term")).groupBy("idx", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    lengths = words.select("idx", dl)
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     totals = lengths.agg(F.count(F.lit(1)).alias("docs"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_dl"))
     return Index(postings, lengths, frequencies, totals)
@@ -77,7 +79,7 @@ def search(queries: DataFrame, found: Index, k: int = 30, settings: Settings | N
     )
     k1, b = settings.bm25_k1, settings.bm25_b
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avg_dl"))
-    part = found.postings.join(weights, "term").join(found.lengths, "idx").select("term", "idx", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("gain"))
-    scored = asked.join(part, "term").groupBy("qid", "idx").agg(F.round(F.sum(F.col("times") * F.col("gain")), 6).alias("bm25_score"))
+    gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    scored = asked.join(weights, "term").join(found.postings, "term").groupBy("qid", "idx").agg(F.round(F.sum(gain), 6).alias("bm25_score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25_score"), "idx"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -321,7 +321,7 @@ def bm25_index_stats(spark, d):
 
 @query(f"WITH {_SQL_BM25} SELECT idx, term, tf FROM post")
 def bm25_postings(spark, d):
-    return retrieval.session_index(spark, d).sparse.postings
+    return retrieval.session_index(spark, d).sparse.postings.select("idx", "term", "tf")
 
 
 @query(f"WITH {_SQL_BM25} SELECT qid, idx, bm25_score, rank FROM sparse")

@@ -106,7 +106,9 @@ def pair_score():
 def retrieve(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
     """(qid, pick, ...): hybrid search, adjustment, grouping by address, reranking, diversification."""
     s = settings or Settings.from_env()
-    rows = fusion.grouped_by_url(fusion.adjusted(candidates(queries, found, s), settings=s), s)
+    # a few dozen candidates for each query, written once: the steps below have several windows over them
+    fused = materialize(candidates(queries, found, s))
+    rows = fusion.grouped_by_url(fusion.adjusted(fused, settings=s), s)
     best = fusion.reranked(rows, pair_score(), s)
     return fusion.mmr(best.drop("weights"), settings=s)
 
