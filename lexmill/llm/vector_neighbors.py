@@ -258,12 +258,26 @@ def nearest(
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def close_pairs(vectors: DataFrame, k: int = 10, min_cosine: float = 0.9, **how) -> DataFrame:
+#: Tables and probes by depth that miss fewer than one in two hundred pairs of cosine 0.9, measured on 3,000 such pairs.
+CLOSE_PAIRS = {2: (8, 3), 3: (12, 8)}
+#: Rows of a bucket of unrelated vectors from which on a deeper hash is taken.
+DEEPER_FROM = 512
+
+
+def close_parameters(rows: int, size: int = 64) -> dict[str, int]:
+    """Depth, tables and probes for pairs of a cosine of at least 0.9 among so many vectors: the depth goes with the
+    logarithm of their number, so that a bucket stays bounded, and tables and probes with it, so that recall stays."""
+    axes = 2 * (1 << max(0, size - 1).bit_length())
+    depth = next((d for d in CLOSE_PAIRS if rows <= DEEPER_FROM * axes**d), max(CLOSE_PAIRS))
+    return dict(zip(("depth", "tables", "probes"), (depth, *CLOSE_PAIRS[depth]), strict=True))
+
+
+def close_pairs(vectors: DataFrame, k: int = 10, min_cosine: float = 0.9, size: int = 64, **how) -> DataFrame:
     """(idx_a, idx_b), idx_a < idx_b: pairs of at least ``min_cosine`` of which one is among the other's k nearest.
 
     From a cosine of 0.9 on, vectors share buckets of two hashes often enough; below, ``nearest`` has its defaults.
     """
     if min_cosine >= 0.9:
-        how = {"depth": 2, "probes": 3} | how
-    found = nearest(vectors, k=k, min_cosine=min_cosine, **how)
+        how = close_parameters(vectors.count(), size) | how
+    found = nearest(vectors, k=k, min_cosine=min_cosine, size=size, **how)
     return found.select(F.least("a", "b").alias("idx_a"), F.greatest("a", "b").alias("idx_b")).distinct()

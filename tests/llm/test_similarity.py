@@ -130,6 +130,16 @@ def test_close_pairs(spark):
     assert {(3, 1003), (3, 1004), (1003, 1004)} <= got
 
 
+def test_the_depth_for_many_vectors_finds_as_many(spark):
+    assert V.close_parameters(10_000) == {"depth": 2, "tables": 8, "probes": 3}
+    deep = V.close_parameters(10**8)
+    assert deep["depth"] == 3
+    rows = vectors(5)
+    want = {(min(p), max(p)) for p, c in exact(rows, 10).items() if c >= 0.9}
+    got = {(r.idx_a, r.idx_b) for r in V.close_pairs(spark.createDataFrame(rows, "idx long, vec array<float>"), **deep).collect()}
+    assert len(want) > 300 and len(got & want) >= 0.995 * len(want)
+
+
 def test_recall_of_all_neighbours(spark):
     rows = vectors(2, 800)
     df = spark.createDataFrame(rows, "idx long, vec array<float>")
