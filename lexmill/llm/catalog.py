@@ -128,6 +128,20 @@ sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
 both_of AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM runs a JOIN runs b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id)
 SELECT id_a, id_b FROM both_of JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b
 WHERE both_of.n >= 0.7 * (x.n + y.n - both_of.n)""",
+    "p2_groups": r"""WITH RECURSIVE texts AS (
+  SELECT DISTINCT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || text), '[a-z0-9]+') AS w FROM chunks
+  WHERE id IS NOT NULL AND len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 30),
+classes AS (SELECT id, min(id) OVER (PARTITION BY w) AS class_id, w FROM texts),
+runs AS (
+  SELECT DISTINCT id, s FROM (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS s FROM classes WHERE id = class_id)),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+both_of AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM runs a JOIN runs b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+linked AS (SELECT a, b FROM both_of JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE both_of.n >= 0.7 * (x.n + y.n - both_of.n)),
+reach(a, b) AS (SELECT class_id, class_id FROM classes UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b),
+groups AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS links FROM linked GROUP BY a)
+SELECT e.id, c.class_id, g.group_id, coalesce(d.links, 0) AS links
+FROM (SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL) e LEFT JOIN classes c ON c.id = e.id LEFT JOIN groups g ON g.a = c.class_id LEFT JOIN degree d ON d.a = c.class_id""",
     "p4_found": r"""WITH v AS (
   SELECT DISTINCT idx, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM docvecs WHERE vec IS NOT NULL AND len(vec) = 64),
 u AS (SELECT idx, v, sqrt(list_inner_product(v, v)) AS n FROM v WHERE list_inner_product(v, v) > 0),

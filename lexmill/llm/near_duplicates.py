@@ -218,16 +218,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, **how) -> DataFrame:
     """(id, class_id, group_id, links): one row per id, with its class of equal texts, its group of texts that
-    are linked directly or through others, and its class's number of links to other classes. Ids whose text is
-    null or too short to compare have neither class nor group, and no links."""
+    are linked directly or through others, and its class's number of links to other classes. Classes and groups are
+    named by their least ids. Ids whose text is null or too short to compare have neither class nor group, and no links."""
     every = docs.select(F.col(how.get("id_col", "id")).cast("string").alias("id")).where("id IS NOT NULL").distinct()
     members, links = similar_classes(docs, **how)
     links = materialize(links)
-    labels = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    return (
-        every.join(members, "id", "left")
-        .join(labels, "node", "left")
-        .join(degree.withColumnRenamed("a", "node"), "node", "left")
-        .select("id", F.col("node").alias("class_id"), F.coalesce("label", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    classes = members.groupBy("node").agg(F.min("id").alias("class_id")).join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = materialize(classes.join(degree, "node", "left"))
+    groups = classes.groupBy("label").agg(F.min("class_id").alias("group_id"))
+    named = members.join(classes.join(groups, "label").select("node", "class_id", "group_id", "links"), "node")
+    return every.join(named.drop("node"), "id", "left").select("id", "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
