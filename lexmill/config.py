@@ -27,6 +27,8 @@ NOISE_HEADINGS = [
     "business",
     "agents",
 ]
+QUICK_CODE = r"\bQC\s*\d+\b"
+LAST_UPDATED = r"Last updated\s*\d+\s*\w+\s*\d{4}"
 PREP_BOILERPLATE = ["Skip to main content", "BEGIN NOINDEX", "Report webpage issue"]
 
 

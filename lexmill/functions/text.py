@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.config import BOILERPLATE, HEADING_STOP_WORDS, PREP_BOILERPLATE, STOP_WORDS
+from lexmill.config import BOILERPLATE, HEADING_STOP_WORDS, LAST_UPDATED, PREP_BOILERPLATE, QUICK_CODE, STOP_WORDS
 
 #: Full-width forms U+FF01 to U+FF5E stand 0xFEE0 above their ASCII characters.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -54,8 +54,8 @@ def without_boilerplate(text: Column, markers: list[str] | None = None) -> Colum
     """Page markers, quick codes and update notices deleted, three or more line breaks made two."""
     for marker in BOILERPLATE if markers is None else markers:
         text = F.replace(text, F.lit(marker), F.lit(""))
-    text = F.regexp_replace(text, r"\bQC\s*\d+\b", "")
-    text = F.regexp_replace(text, r"Last updated\s*\d+\s*\w+\s*\d{4}", "")
+    for pattern in (QUICK_CODE, LAST_UPDATED):
+        text = F.regexp_replace(text, pattern, "")
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
 
