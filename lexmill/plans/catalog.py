@@ -90,7 +90,15 @@ def branch_cap(spark, d):
     return inventory.capped_by_branch(rows, Settings.from_env().branch_cap, "inv_id").select("inv_id", "host", "branch", F.col("branch_pos").cast("long").alias("branch_pos"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT inv_id, url, filename, title, {_SQL_HOST} AS host, string_split(regexp_replace({_SQL_PATH}, '/+$', ''), '/') AS s FROM inventory WHERE url IS NOT NULL),
+t AS (SELECT p.inv_id, p.host, CASE WHEN len(s) >= 4 THEN array_to_string(s[1:4], '/') ELSE array_to_string(s, '/') END AS branch,
+  CASE WHEN coalesce(p.filename, '') = '' THEN CASE WHEN lower(trim(coalesce(p.title, ''))) = 'access denied' THEN 'blocked' ELSE 'fetch-error' END
+  WHEN h.url IS NOT NULL THEN 'hub' WHEN p.inv_id > f.first THEN 'leaf-dup' WHEN c.url IS NOT NULL THEN 'leaf' ELSE 'leaf-empty' END AS type
+  FROM p LEFT JOIN (SELECT DISTINCT url FROM hubs) h ON h.url = p.url LEFT JOIN (SELECT DISTINCT url FROM chunks) c ON c.url = p.url
+  LEFT JOIN (SELECT url, min(inv_id) AS first FROM inventory WHERE filename <> '' GROUP BY url) f ON f.url = p.url),
+r AS (SELECT *, row_number() OVER w AS branch_pos, count(*) FILTER (WHERE type = 'leaf') OVER (PARTITION BY host, branch ORDER BY inv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM t WINDOW w AS (PARTITION BY host, branch ORDER BY inv_id))
+SELECT inv_id, host, branch, type, branch_pos FROM r WHERE before < 50""")
 def crawl_cap(spark, d):
     """The pages that a crawl in the order of the inventory takes: of a branch, up to its fiftieth first leaf with chunks."""
     rows = inventory.typed(table(spark, d, "inventory").where("url IS NOT NULL"), table(spark, d, "hubs"), table(spark, d, "chunks"))
