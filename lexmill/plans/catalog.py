@@ -417,6 +417,23 @@ seen AS (SELECT l.qid, l.tier, l.category, any_value(l.words) AS words, min(f.pi
 ranked AS (SELECT qid, tier, category, rank, rank IS NOT NULL AS hit, coalesce(1.0::DOUBLE / rank, 0) AS mrr, CAST(len(list_filter(words, lambda w: contains(texts, w))) AS DOUBLE) / greatest(len(words), 1) AS kw_recall FROM seen)
 """
 )
+#: The same pipeline for each request's two sub-queries: its own text, and its keywords with the same vector.
+_SQL_SUBQUERIES = """,
+asks AS (SELECT 2 * c.idx AS idx, c.asked, c.idx AS vid FROM corpus c WHERE c.idx % 50 = 0 UNION ALL SELECT 2 * c.idx + 1, coalesce(d.keywords, ''), c.idx FROM corpus c JOIN docs1 d ON d.id = c.id WHERE c.idx % 50 = 0)"""
+_SQL_MULTI = (
+    (
+        f"WITH {_SQL_DOCS}{_SQL_SUBQUERIES}{_SQL_BM25.removeprefix(_SQL_DOCS)}{_SQL_DENSE}{_SQL_RRF}{_SQL_ADJUST}{_SQL_GROUP}{_SQL_RERANK}{_SQL_WIDE}"
+        + _sql_mmr("reranked", "s.rerank_score", "picks")
+    )
+    .replace("AS term FROM corpus WHERE idx % 50 = 0", "AS term FROM asks")
+    .replace("SELECT q.idx AS qid, c.idx, round", "SELECT a.idx AS qid, c.idx, round")
+    .replace("FROM unit q, unit c WHERE q.idx % 50 = 0", "FROM asks a JOIN unit q ON q.idx = a.vid, unit c")
+    .replace("JOIN corpus q ON q.idx = r.qid", "JOIN asks q ON q.idx = r.qid")
+    + """,
+parts AS (SELECT p.qid // 2 AS request, p.qid % 2 AS part, p.pick, p.idx, r.url, r.text, r.rerank_score FROM picks p JOIN reranked r ON r.qid = p.qid AND r.idx = p.idx),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request, url, left(coalesce(text, ''), 100) ORDER BY part, pick) AS n FROM parts) WHERE n = 1)
+SELECT request, rank, idx, url, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY rerank_score DESC, part, pick) AS rank FROM once) WHERE rank <= 8"""
+)
 _SQL_EVIDENCE = """string_agg('[' || pick || '] ' || coalesce(title, '') || CASE WHEN coalesce(section_heading, '') <> '' AND section_heading <> coalesce(title, '') THEN ' — ' || section_heading ELSE '' END || chr(10) || '    URL: ' || coalesce(url, '') || chr(10) || '    ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY pick)"""
 _SQL_MEASURES = """count(*) AS n, count(*) FILTER (WHERE hit) AS hits, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate, round(avg(mrr), 6) AS mrr,
  round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS r1, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS r3, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS r5, round(avg(kw_recall), 6) AS kw_recall"""
@@ -459,7 +476,7 @@ def retrieve_pipeline(spark, d):
     return _retrieved(spark, d)[2].select("qid", F.col("pick").cast("long").alias("pick"), "idx", "url", "title", "rerank_score")
 
 
-@query()
+@query(_SQL_MULTI)
 def multi_retrieve(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
     parts = asked.select(F.col("qid").alias("request"), F.posexplode(F.array(F.col("text"), F.coalesce("keywords", F.lit("")))).alias("part", "text"), "vec")
