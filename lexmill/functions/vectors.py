@@ -15,6 +15,6 @@ def length(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length one; null where it has none."""
-    n = length(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    """The vector at length one; null where it has none. The length is bound by a lambda, which computes it once a vector
+    and not once an element."""
+    return F.get(F.transform(F.array(length(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), F.lit(0))

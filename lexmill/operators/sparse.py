@@ -2,13 +2,15 @@
 
 The index is four tables: postings (idx, term, tf, dl: the document's length), document lengths, document frequencies and
 one row of totals.
-A batch of queries meets the postings of its own terms only.
+A batch of queries meets the postings of its own terms only, in slices of documents.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,18 +36,26 @@ def index(corpus: DataFrame) -> Index:
     dl = F.size("words").cast("long").alias("dl")
     postings = words.select("idx", dl, F.explode("words").alias("term")).groupBy("idx", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     lengths = words.select("idx", dl)
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("docs"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_dl"))
-    return Index(postings, lengths, frequencies, totals)
+    return Index(postings, lengths, _frequencies(postings), _totals(lengths))
+
+
+def _frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _totals(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("docs"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_dl"))
 
 
 def save(found: Index, folder: str) -> None:
     """Writes the index tables below ``folder``; postings and frequencies lie sorted by term, so that a search skips the
-    row groups of other terms."""
-    for name in ("postings", "frequencies"):
-        getattr(found, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/{name}")
-    for name in ("lengths", "totals"):
-        getattr(found, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    row groups of other terms. Frequencies and totals are counted on what is written, so that texts are split no more."""
+    read = found.postings.sparkSession.read
+    by_term = lambda rows: rows.repartitionByRange("term").sortWithinPartitions("term")
+    found.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    _totals(read.parquet(f"{folder}/lengths")).write.mode("overwrite").parquet(f"{folder}/totals")
+    by_term(found.postings).write.mode("overwrite").parquet(f"{folder}/postings")
+    by_term(_frequencies(read.parquet(f"{folder}/postings"))).write.mode("overwrite").parquet(f"{folder}/frequencies")
 
 
 def load(spark: SparkSession, folder: str) -> Index:
@@ -64,12 +74,50 @@ def query_weights(queries: DataFrame, found: Index) -> DataFrame:
     return weighed.groupBy("qid").agg(F.array_sort(F.collect_list("w")).alias("weights"))
 
 
-def search(queries: DataFrame, found: Index, k: int = 30, settings: Settings | None = None) -> DataFrame:
+def _scorer(k: int, qid: str, idx: str):
+    """Best k documents of each query within one slice of documents: a query's terms add their gains to one array of the
+    slice's documents, always in the order of the terms, so that equal documents have equal scores."""
+
+    def best(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        keys, doc = np.unique(held["idx"].to_numpy(), return_inverse=True)
+        code, names = pd.factorize(held["term"])
+        order = np.argsort(code, kind="stable")
+        doc, gain = doc[order], held["gain"].to_numpy()[order]
+        ends = np.cumsum(np.bincount(code, minlength=len(names)))
+        asked = asked.assign(code=pd.Index(names).get_indexer(asked["term"]))
+        asked = asked[asked["code"] >= 0].sort_values(["qid", "term"])
+        out: list[tuple] = []
+        score = np.zeros(len(keys))
+        for q, rows in asked.groupby("qid", sort=False).indices.items():
+            score[:] = 0
+            for c, n in zip(asked["code"].to_numpy()[rows], asked["times"].to_numpy()[rows], strict=True):
+                at = slice(ends[c - 1] if c else 0, ends[c])
+                score[doc[at]] += n * gain[at]
+            hit = np.flatnonzero(score)
+            if len(hit) > k:
+                # rounding moves a score by half of 0.000001 at most
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k] - 2e-6]
+            value = np.round(score[hit], 6)
+            top = np.lexsort((hit, -value))[:k]
+            out.append((q, keys[hit[top]], value[top]))
+        return pd.DataFrame({
+            "qid": np.repeat(np.array([q for q, _, _ in out], asked["qid"].dtype), [len(i) for _, i, _ in out]),
+            "idx": np.concatenate([i for _, i, _ in out] or [keys[:0]]),
+            "bm25_score": np.concatenate([v for _, _, v in out] or [np.zeros(0)]),
+        })
+
+    return best, f"qid {qid}, idx {idx}, bm25_score double"
+
+
+def search(queries: DataFrame, found: Index, k: int = 30, settings: Settings | None = None, slice_docs: int = 16384, slice_queries: int = 8192) -> DataFrame:
     """(qid, idx, bm25_score, rank): the k best documents of each query by score, ties by idx.
 
     ``queries``: qid, text. A term counts as often as it stands in the query. Documents without any are not given.
+    Slices of about ``slice_docs`` documents meet slices of about ``slice_queries`` queries; each pair of slices is one
+    group, which gives the best k of its documents, so that no row stands for a document that only shares a common word.
     """
     settings = settings or Settings.from_env()
+    queries = queries.where("qid IS NOT NULL")
     asked = queries.select("qid", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
     # one row of totals, and the frequencies of the queries' own terms
     weights = (
@@ -79,7 +127,15 @@ def search(queries: DataFrame, found: Index, k: int = 30, settings: Settings | N
     )
     k1, b = settings.bm25_k1, settings.bm25_b
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avg_dl"))
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = asked.join(weights, "term").join(found.postings, "term").groupBy("qid", "idx").agg(F.round(F.sum(gain), 6).alias("bm25_score"))
+    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    gains = found.postings.where("idx IS NOT NULL").join(weights, "term").select("idx", "term", gain.alias("gain"))
+    parts = lambda n, size: max(1, -(-n // size))
+    held_parts, asked_parts = parts(found.totals.first().docs, slice_docs), parts(queries.count(), slice_queries)
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = gains.select("*", number("idx", held_parts).alias("held"), every(asked_parts).alias("asked"))
+    wanted = asked.select("*", number("qid", asked_parts).alias("asked"), every(held_parts).alias("held"))
+    kinds = dict(queries.dtypes)["qid"], dict(found.postings.dtypes)["idx"]
+    scored = held.groupBy("held", "asked").cogroup(wanted.groupBy("held", "asked")).applyInPandas(*_scorer(k, *kinds))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25_score"), "idx"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

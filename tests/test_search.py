@@ -49,6 +49,54 @@ def test_dense_search_is_exact(spark):
         assert [r.idx for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == [i for _, i in best]
 
 
+def test_bm25_in_slices_is_the_same(spark):
+    rng = random.Random(2)
+    docs = [(k, " ".join(rng.choice("tax fee return file super the of to".split()) for _ in range(rng.randint(0, 9)))) for k in range(90)]
+    queries = [(q, " ".join(rng.choice("tax fee the the zz return".split()) for _ in range(5))) for q in range(12)]
+    index = sparse.index(spark.createDataFrame(docs, "idx long, text string"))
+    got = sparse.search(spark.createDataFrame(queries, "qid long, text string"), index, 7, slice_docs=20, slice_queries=5).collect()
+    true = bm25(queries, docs)
+    for q, _ in queries:
+        best = sorted((-s, i) for (p, i), s in true.items() if p == q)[:7]
+        assert [r.idx for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == [i for _, i in best]
+
+
+def test_bm25_gathers_no_row_for_each_document_of_a_common_word(spark):
+    """Every document has the word; the rows that the ranking gets are k for each query and slice of documents."""
+    index = sparse.index(spark.range(3000).selectExpr("id AS idx", "'tax' AS text"))
+    found = sparse.search(spark.range(20).selectExpr("id AS qid", "'tax' AS text"), index, 5)
+    assert [r.idx for r in found.where("qid = 3").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "sum(" not in plan.split("FlatMapCoGroupsInPandas")[0]
+
+
+def test_dense_search_keeps_the_least_keys_of_ties(spark):
+    """All rows are equal and none is better: only k rows of a query leave a task, and the least idx win."""
+    corpus = spark.range(500).selectExpr("id AS idx", "array(1.0f, 0.0f) AS vec").repartition(3)
+    got = dense.search(corpus.where("idx < 4").withColumnRenamed("idx", "qid"), corpus, 6, size=2, block=16).collect()
+    assert sorted((r.qid, r.rank, r.idx) for r in got) == [(q, k + 1, k) for q in range(4) for k in range(6)]
+
+
+def _seconds(rows):
+    import time
+
+    rows.write.format("noop").mode("overwrite").save()
+    start = time.perf_counter()
+    rows.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+def test_lengths_and_words_are_computed_once_a_row(spark):
+    """A hundred times as many elements may not cost their square; each would be minutes if computed once an element."""
+    from lexmill.functions import vectors as V
+
+    long = spark.range(4, numPartitions=4).select(F.sequence(F.lit(1), F.lit(8000)).cast("array<float>").alias("v"))
+    assert _seconds(long.select(V.unit(F.col("v")))) < 10
+    weights = F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda k: F.struct(F.concat(F.lit("w"), k).alias("term"), F.lit(1.0).alias("idf")))
+    texts = spark.range(4, numPartitions=4).select(weights.alias("w"), F.repeat(F.concat(F.lit("x y "), F.col("id")), 20_000).alias("t"))
+    assert _seconds(texts.select(fusion.weighted_overlap(F.col("w"), F.col("t")))) < 20
+
+
 def candidates(spark, rows):
     return spark.createDataFrame(rows, "qid long, idx long, score double, pos long, url string, title string, query string, text string, vec array<double>")
 
