@@ -1,7 +1,7 @@
 """Exact dense search of a stated query set against all rows, in blocks.
 
 Queries and rows are gathered into blocks of vectors; every pair of a query block and a row block is one matrix
-product in numpy, which keeps each query's best of that block; the best of all blocks are merged by query.
+product in numpy, of which a task keeps each query's best of all its blocks; the best of all tasks are merged by query.
 """
 
 from __future__ import annotations
@@ -74,16 +74,39 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 30, size: int = 64, b
     if queries.count() * (4 * size + 8) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
 
+    def best_of(count: int, hits: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Each query's k-th best score (-inf where it has fewer), and its k best hits (query's place, idx, score)."""
+        i, c, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.lexsort((c, -score, i))
+        i, c, score = i[order], c[order], score[order]
+        start = np.searchsorted(i, np.arange(count + 1))
+        place = np.arange(len(i)) - start[i]
+        least = np.full(count, -np.inf)
+        least[i[place == k - 1]] = score[place == k - 1]
+        return least, i[place < k], c[place < k], score[place < k]
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # by query block: its keys, each query's least score that can still count, its hits
+        held: dict[int, list] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
                 q, c = np.asarray(row.q_keys), np.asarray(row.c_keys)
                 a = np.frombuffer(row.q_data, np.float32).reshape(len(q), size).astype(np.float64)
                 b = np.frombuffer(row.c_data, np.float32).reshape(len(c), size).astype(np.float64)
-                score = np.round(a @ b.T, 9)
-                keep = score >= (np.partition(score, len(c) - k, axis=1)[:, len(c) - k][:, None] if len(c) > k else -np.inf)
-                i, j = np.nonzero(keep)
-                yield pd.DataFrame({"qid": q[i], "idx": c[j], "dense_score": score[i, j]})
+                mine = held.setdefault(int(q[0]), [q, np.full(len(q), -np.inf), []])
+                score = a @ b.T
+                least = mine[1]
+                if len(c) > k and np.isneginf(least).any():
+                    least = np.maximum(least, np.partition(score, len(c) - k, axis=1)[:, len(c) - k])
+                # rounding moves a score by half of 0.000000001 at most
+                i, j = np.nonzero(score >= least[:, None] - 2e-9)
+                mine[2].append((i, c[j], np.round(score[i, j], 9)))
+                if sum(len(h[0]) for h in mine[2]) > 2 * k * len(q):
+                    mine[1], *rest = best_of(len(q), mine[2])
+                    mine[2] = [tuple(rest)]
+        for q, _, hits in held.values():
+            _, i, c, score = best_of(len(q), hits)
+            yield pd.DataFrame({"qid": q[i], "idx": c, "dense_score": score})
 
     local = held.crossJoin(asked).mapInPandas(compare, "qid long, idx long, dense_score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense_score"), "idx"))
