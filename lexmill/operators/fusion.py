@@ -74,7 +74,9 @@ def weighted_overlap(weights: Column, *texts: Column, scale: float = 10.0) -> Co
     stands in the texts, to scale, where all do; terms weigh by their inverse frequency. 0 for a query without terms."""
     there = X.words(F.lower(F.concat_ws(" ", *texts)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, w: s + w["idf"])
-    share = total(F.filter(weights, lambda w: F.array_contains(there, w["term"]))) / total(weights)
+    # bound by a lambda, so that the texts are split once and not once a term
+    met = F.get(F.transform(F.array(there), lambda t: total(F.filter(weights, lambda w: F.array_contains(t, w["term"])))), F.lit(0))
+    share = met / total(weights)
     return F.coalesce(F.round(scale * (2 * share - 1), 6), F.lit(0.0))
 
 
@@ -106,10 +108,10 @@ def mmr(candidates: DataFrame, vec_col: str = "vec", settings: Settings | None =
         return F.round(F.when(F.size(chosen) == 0, x["__rel"]).otherwise(s.mmr_lambda * x["__rel"] - (1 - s.mmr_lambda) * like), 9)
 
     def step(chosen: Column, _: Column) -> Column:
-        taken = F.transform(chosen, lambda c: c["__pos"])
-        rest = F.filter("all", lambda x: ~F.array_contains(taken, x["__pos"]))
+        rest = F.filter("all", lambda x: ~F.exists(chosen, lambda c: c["__pos"] == x["__pos"]))
         best = F.array_max(F.transform(rest, lambda x: F.struct(gain(x, chosen).alias("g"), (-x["__pos"]).alias("p"))))
-        return F.when(F.size(rest) == 0, chosen).otherwise(F.concat(chosen, F.filter(rest, lambda x: x["__pos"] == -best["p"])))
+        # bound by a lambda, so that the best is found once a step and not once a candidate; none is left where it is null
+        return F.concat(chosen, F.flatten(F.transform(F.array(best), lambda b: F.filter("all", lambda x: x["__pos"] == -b["p"]))))
 
     none = F.filter("all", lambda x: F.lit(False))
     picks = packed.withColumn("chosen", F.aggregate(F.sequence(F.lit(1), F.lit(s.final_topk)), none, step))

@@ -457,7 +457,7 @@ def group_by_url(spark, d):
 @query(f"WITH {_SQL_BM25}{_SQL_DENSE}{_SQL_RRF}{_SQL_ADJUST}{_SQL_GROUP}{_SQL_RERANK} SELECT qid, idx, rerank_score, pos FROM reranked")
 def rerank_blend(spark, d):
     rows = fusion.grouped_by_url(fusion.adjusted(_candidates(spark, d)))
-    best = fusion.reranked(rows, retrieval.pair_score())
+    best = fusion.reranked(rows, F.col("pair"))
     return best.select("qid", "idx", "rerank_score", F.col("pos").cast("long").alias("pos"))
 
 

@@ -42,10 +42,12 @@ def build_index(docs: DataFrame) -> SearchIndex:
 
 
 def save_index(found: SearchIndex, folder: str) -> None:
-    """Writes an index below ``folder``, to be read by any number of searches."""
+    """Writes an index below ``folder``, to be read by any number of searches. Vectors and sparse index are made of the
+    documents as written, of which they read only the columns they need."""
     found.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-    found.vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
-    sparse.save(found.sparse, folder)
+    written = build_index(found.docs.sparkSession.read.parquet(f"{folder}/docs"))
+    written.vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
+    sparse.save(written.sparse, folder)
 
 
 def load_index(spark: SparkSession, folder: str) -> SearchIndex:
@@ -61,8 +63,7 @@ def session_index(spark: SparkSession, folder: str) -> SearchIndex:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _BUILT:
         place = f"{ensure_checkpoint_dir(spark)}/index-{key[0]}-{len(_BUILT)}"
-        docs = materialize(corpus(spark, folder))
-        save_index(build_index(docs), place)
+        save_index(build_index(corpus(spark, folder)), place)
         _BUILT[key] = place
     return load_index(spark, _BUILT[key])
 
@@ -89,13 +90,13 @@ def legs(queries: DataFrame, found: SearchIndex, k: int) -> tuple[DataFrame, Dat
 
 
 def candidates(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
-    """Fused candidates of each query with the documents' fields, the query's text and its terms' weights."""
+    """Fused candidates of each query with the documents' fields, the query's text and the pair score."""
     s = settings or Settings.from_env()
     fused = fusion.hybrid(*legs(queries, found, s.retriever_topk), s)
     fields = found.docs.select("idx", "id", "title", "url", "section_heading", "breadcrumb", "text", _unit().alias("vec"))
     weights = sparse.query_weights(queries.select("qid", "text"), found.sparse)
     asked = queries.select("qid", F.col("text").alias("query")).join(weights, "qid", "left")
-    return fused.join(fields, "idx").join(asked, "qid")
+    return fused.join(fields, "idx").join(asked, "qid").withColumn("pair", pair_score()).drop("weights")
 
 
 def pair_score():
@@ -106,11 +107,13 @@ def pair_score():
 def retrieve(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
     """(qid, pick, ...): hybrid search, adjustment, grouping by address, reranking, diversification."""
     s = settings or Settings.from_env()
-    # a few dozen candidates for each query, written once: the steps below have several windows over them
-    fused = materialize(candidates(queries, found, s))
+    # a few dozen candidates for each query, written once: the steps below have several windows over them. Texts have
+    # given their pair scores and stay behind, and so do vectors; both are joined to what is left
+    fused = materialize(candidates(queries, found, s).drop("id", "section_heading", "breadcrumb", "text", "vec"))
     rows = fusion.grouped_by_url(fusion.adjusted(fused, settings=s), s)
-    best = fusion.reranked(rows, pair_score(), s)
-    return fusion.mmr(best.drop("weights"), settings=s)
+    best = fusion.reranked(rows, F.col("pair"), s).drop("pair").join(found.docs.select("idx", _unit().alias("vec")), "idx")
+    picks = fusion.mmr(best, settings=s)
+    return picks.join(found.docs.select("idx", "id", "section_heading", "breadcrumb", "text"), "idx")
 
 
 def multi_retrieve(requests: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
