@@ -147,6 +147,24 @@ def test_subjects_of_held_out_documents(spark):
     assert not {d for d, _ in got} & {500, 501}
 
 
+def test_level_counts_every_labelled_document(spark, monkeypatch):
+    """The level comes from all 5,000 labelled documents; the even ones have a second subject up to 60 only, which is
+    first wrong and then right."""
+    asked = []
+
+    def scored(documents, models, bits):
+        asked.append(documents.count())
+        one = documents.select("doc_id", F.lit("a").alias("subject"), F.lit(95).alias("odds"), F.lit(95).alias("most"), F.lit(1).cast("long").alias("sentences"))
+        return one.unionByName(one.where("doc_id % 2 = 0").withColumns({"subject": F.lit("b"), "odds": F.lit(60)}))
+
+    monkeypatch.setattr(subjects, "_sentence_subjects", scored)
+    docs = spark.range(6000).selectExpr("id AS doc_id", "'x' AS text")
+    labels = spark.range(5000).selectExpr("id AS doc_id", "'a' AS subject")
+    assert subjects.best_level(docs, labels.unionByName(labels.limit(9)), {"a": None}, 14, 0.25) == 75
+    assert subjects.best_level(docs, labels.unionByName(labels.where("doc_id % 2 = 0").selectExpr("doc_id", "'b' AS subject")), {"a": None}, 14, 0.25) == 60
+    assert asked == [5000, 5000]
+
+
 def test_subjects_without_training(spark):
     chunks = spark.createDataFrame([], "url string, breadcrumb string, text string")
     docs = spark.createDataFrame([(1, "hives")], "doc_id long, text string")
