@@ -444,6 +444,12 @@ def _candidates(spark, d):
     return retrieval.candidates(asked, corpus)
 
 
+def _top(spark, d):
+    """The first 15 fused candidates with their vectors."""
+    corpus, asked = retrieval.prepared_corpus(spark, d)
+    return retrieval.with_vectors(retrieval.candidates(asked, corpus).where("pos <= 15").select("qid", "idx", "score", "pos"), corpus)
+
+
 @query(f"WITH {_SQL_BM25}{_SQL_DENSE}{_SQL_RRF}{_SQL_ADJUST} SELECT qid, idx, score, pos FROM adjusted")
 def score_adjust(spark, d):
     return fusion.adjusted(_candidates(spark, d)).select("qid", "idx", "score", F.col("pos").cast("long").alias("pos"))
@@ -463,12 +469,12 @@ def rerank_blend(spark, d):
 
 @query(f"WITH {_SQL_BM25}{_SQL_DENSE}{_SQL_RRF}{_SQL_WIDE}, top AS (SELECT * FROM rrf WHERE pos <= 15)" + _sql_mmr("top", "s.score", "picks") + " SELECT p.qid, p.pick, p.idx, t.score FROM picks p JOIN top t ON t.qid = p.qid AND t.idx = p.idx")
 def mmr_select(spark, d):
-    return fusion.mmr(_candidates(spark, d).where("pos <= 15")).select("qid", F.col("pick").cast("long").alias("pick"), "idx", "score")
+    return fusion.mmr(_top(spark, d)).select("qid", F.col("pick").cast("long").alias("pick"), "idx", "score")
 
 
 def _retrieved(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
-    return corpus, asked, materialize(retrieval.retrieve(asked, corpus))
+    return corpus, asked, retrieval.retrieve(asked, corpus)
 
 
 @query(_SQL_RETRIEVED + "SELECT qid, pick, idx, url, title, rerank_score FROM found")

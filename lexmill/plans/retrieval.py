@@ -90,13 +90,32 @@ def legs(queries: DataFrame, found: SearchIndex, k: int) -> tuple[DataFrame, Dat
 
 
 def candidates(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
-    """Fused candidates of each query with the documents' fields, the query's text and the pair score."""
+    """Fused candidates of each query with title and address, the query's text and the pair score.
+
+    A query's text and weights go to its candidates while these still lie by query, and the pair scores are made where the
+    documents' texts are, so that texts are moved once and not once more for each candidate.
+    """
     s = settings or Settings.from_env()
     fused = fusion.hybrid(*legs(queries, found, s.retriever_topk), s)
-    fields = found.docs.select("idx", "id", "title", "url", "section_heading", "breadcrumb", "text", _unit().alias("vec"))
     weights = sparse.query_weights(queries.select("qid", "text"), found.sparse)
     asked = queries.select("qid", F.col("text").alias("query")).join(weights, "qid", "left")
-    return fused.join(fields, "idx").join(asked, "qid").withColumn("pair", pair_score()).drop("weights")
+    fields = found.docs.select("idx", "title", "url", "section_heading", "text")
+    return fused.join(asked, "qid").join(fields, "idx").withColumn("pair", pair_score()).drop("weights", "section_heading", "text")
+
+
+def with_vectors(rows: DataFrame, found: SearchIndex) -> DataFrame:
+    """``rows`` with their documents' unit vectors; only their own are brought to length one."""
+    return rows.join(found.docs.select("idx", "vec"), "idx").withColumn("vec", _unit())
+
+
+def with_fields(picks: DataFrame, found: SearchIndex) -> DataFrame:
+    """``picks`` with id, heading, breadcrumb and text. They are written once; while their keys are few by count, only the
+    documents that are picked are moved."""
+    picks = materialize(picks)
+    fields = found.docs.select("idx", "id", "section_heading", "breadcrumb", "text")
+    if picks.count() * 8 <= dense.BROADCAST_BYTES:
+        fields = fields.join(F.broadcast(picks.select("idx").distinct()), "idx", "left_semi")
+    return picks.join(fields, "idx")
 
 
 def pair_score():
@@ -107,13 +126,9 @@ def pair_score():
 def retrieve(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:
     """(qid, pick, ...): hybrid search, adjustment, grouping by address, reranking, diversification."""
     s = settings or Settings.from_env()
-    # a few dozen candidates for each query, written once: the steps below have several windows over them. Texts have
-    # given their pair scores and stay behind, and so do vectors; both are joined to what is left
-    fused = materialize(candidates(queries, found, s).drop("id", "section_heading", "breadcrumb", "text", "vec"))
-    rows = fusion.grouped_by_url(fusion.adjusted(fused, settings=s), s)
-    best = fusion.reranked(rows, F.col("pair"), s).drop("pair").join(found.docs.select("idx", _unit().alias("vec")), "idx")
-    picks = fusion.mmr(best, settings=s)
-    return picks.join(found.docs.select("idx", "id", "section_heading", "breadcrumb", "text"), "idx")
+    rows = fusion.grouped_by_url(fusion.adjusted(candidates(queries, found, s), settings=s), s)
+    best = fusion.reranked(rows, F.col("pair"), s).drop("pair", "query")
+    return with_fields(fusion.mmr(with_vectors(best, found), settings=s), found)
 
 
 def multi_retrieve(requests: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:

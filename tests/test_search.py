@@ -183,6 +183,40 @@ def test_saved_index_gives_the_same_results(spark, data, tmp_path):
     assert first and first == show(retrieval.retrieve(asked, built))
 
 
+def _moved(rows, column):
+    """How many shuffles of a plan carry a column."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    todo, n = [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan], 0
+    while todo:
+        node = todo.pop()
+        out, below = node.output(), node.children()
+        n += node.nodeName() == "Exchange" and any(out.apply(k).name() == column for k in range(out.size()))
+        todo += [below.apply(k) for k in range(below.size())]
+    return n
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_moved_once_and_only_picked_ones_again(spark, data, no_broadcasts):
+    """Candidates outnumber documents, so their texts may not be shuffled with them."""
+    from lexmill.plans import retrieval
+
+    found, asked = retrieval.prepared_corpus(spark, data)
+    rows = retrieval.candidates(asked, found)
+    assert _moved(rows, "text") == 1 and rows.where("pair IS NULL").count() == 0
+    picked = retrieval.retrieve(asked, found)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+    texts = {r.idx: r.text for r in found.docs.select("idx", "text").collect()}
+    assert all(r.text == texts[r.idx] for r in picked.select("idx", "text").collect())
+
+
 def test_retrieval_quality(spark):
     """The gates of the pipeline on known items: hits, mean reciprocal rank, recall in five, and hits by tier."""
     from lexmill.plans import catalog
