@@ -15,7 +15,8 @@ from lexmill.config import BOILERPLATE, HEADING_STOP_WORDS, LAST_UPDATED, PREP_B
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 _INVISIBLE = "[\\u200B-\\u200F\\u202A-\\u202E\\u2060\\uFEFF\\u00AD]"
-_ODD = "[\\uFF01-\\uFF5E\\u3000\\u200B-\\u200F\\u202A-\\u202E\\u2060\\uFEFF\\u00AD\\u00A0\\u2007\\u202F]"
+#: Beyond ASCII first, which one comparison tells.
+_ODD = "[^\\x00-\\x7F](?<=[\\uFF01-\\uFF5E\\u3000\\u200B-\\u200F\\u202A-\\u202E\\u2060\\uFEFF\\u00AD\\u00A0\\u2007\\u202F])"
 
 
 def fold_text(text: Column) -> Column:

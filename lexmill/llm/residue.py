@@ -13,6 +13,8 @@ texts on which context is looked at. Nothing is shuffled but the keys of the hit
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,24 +115,38 @@ when where how what which who le la les des du un une et pour dans sur est sont
 den dem ein eine auf bis el los las del una para por con es son y de sold through menu""".split()
 
 
-def _by_first_letter(patterns: list[str]) -> str:
-    """The alternatives of patterns, grouped by their first letter, so that a word is tried against few of them."""
+def _by_first_letter(patterns: list[str], letters: int = 2) -> str:
+    """The alternatives of patterns, grouped by their first letters, so that a word is tried against few of them. Those of
+    a group of plain wordings that begins a pattern are set apart first."""
     groups: dict[str, list[str]] = {}
     for p in patterns:
-        groups.setdefault(p[0] if p[0].isalpha() else "", []).append(p)
+        for q in _set_apart(p):
+            groups.setdefault(q[0] if q[:1].isalpha() else "", []).append(q)
     alone = groups.pop("", [])
-    return "|".join([*(f"{c}(?:" + "|".join(p[1:] for p in own) + ")" for c, own in sorted(groups.items())), *alone])
+    inner = lambda own: _by_first_letter(own, letters - 1) if letters > 1 else "|".join(own)
+    return "|".join([*(f"{c}(?:" + inner([q[1:] for q in own]) + ")" for c, own in sorted(groups.items())), *alone])
+
+
+def _set_apart(pattern: str) -> list[str]:
+    led = re.match(r"\(\?:([^()\[\]]*)\)(\?)?(?![?*+{])", pattern)
+    if led is None:
+        return [pattern]
+    rest = pattern[led.end() :]
+    return [w + rest for w in [*led[1].split("|"), *([""] if led[2] else [])]]
 
 
-_PLACEHOLDER = "(?:(?=[\\[{<%@#_$«])(?:" + "|".join(DELIMITED) + ")|\\b(?:" + "|".join(UNSET) + "))"
+_PLACEHOLDER = "(?:(?=[\\[{<%@#_$«])(?:" + "|".join(DELIMITED) + ")|(?=[UuNnTtXx])\\b(?:" + "|".join(UNSET) + "))"
 #: An exception's name ends where its message begins, so this one may start inside a word.
-_EXCEPTION = r"exception\sat\s\w+\("
-_PHRASE = r"(?i:\b(?:" + _by_first_letter([*FILLER, *SCRIPTS, *ERRORS]) + ")|" + _EXCEPTION + ")"
+_EXCEPTION = r"[Ee](?i:xception\sat\s\w+\()"
+#: For texts with a blank before them (``_led``): the character before a word comes first, so that places inside a word
+#: are passed over by one comparison.
+_PHRASE = r"(?:[^A-Za-z](?i:\b(?:" + _by_first_letter([*FILLER, *SCRIPTS, *ERRORS]) + "))|" + _EXCEPTION + ")"
 _LATIN_WORD = r"(?i)\b[a-z]{2,}(?<=" + "|".join(LATIN_ENDS) + r")\b"
-#: Three words in a row that end like Latin, the first two in a way in which few English words do.
+#: Three words in a row that end like Latin, the first two in a way in which few English words do; for texts with a
+#: blank before them, as above.
 _LATIN_RUN = (
-    r"(?i)(?:\b(?!(?:for|your|our|this|his|that|into|also|per)\b)[a-z]{3,}(?<=[ao]|am|em|et|is|it|or|um|ur|us),?\s){2}"
-    r"\b[a-z]{3,}(?<=[ao]|am|em|et|is|it|or|um|ur|us|nt|ct|re|at)\b"
+    r"(?i)[^a-z](?:\b(?!(?:for|your|our|this|his|that|into|also|per)\b)[a-z]{3,}+(?<=[ao]|am|em|et|is|it|or|um|ur|us),?\s){2}"
+    r"\b[a-z]{3,}+(?<=[ao]|am|em|et|is|it|or|um|ur|us|nt|ct|re|at)\b"
 )
 #: What true text holds: a function word, a figure or a mark between cells.
 _TRUE_TEXT = r"(?iu)\b(?:" + "|".join(FUNCTION_WORDS) + r")\b|[|\d$>:/]"
@@ -173,6 +189,10 @@ def _spaced(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 
 
+def _led(text: Column) -> Column:
+    return F.concat(F.lit(" "), text)
+
+
 def title_is_residue(title: Column) -> Column:
     """Whether a title is itself residue, filler, an error message or a notice; false if null or empty.
 
@@ -193,8 +213,9 @@ def text_is_residue(text: Column) -> Column:
     """
     folded = fold_text(text)
     # spaced as the sentences are below, with fewer replacements
-    spaced = F.regexp_replace(folded, r"\s{2,}|[^\S ]", " ")
-    suspect = F.rlike(spaced, F.lit(_PLACEHOLDER)) | F.rlike(spaced, F.lit(_PHRASE)) | F.rlike(spaced, F.lit(_LATIN_RUN))
+    spaced = F.regexp_replace(folded, r"\s(?:\s+|(?<! ))", " ")
+    # bound by a lambda, so that a text is spaced once and not once a test
+    suspect = F.exists(F.array(_led(spaced)), lambda t: F.rlike(t, F.lit(_PLACEHOLDER)) | F.rlike(t, F.lit(_PHRASE)) | F.rlike(t, F.lit(_LATIN_RUN)))
     plain = F.regexp_replace(F.regexp_replace(folded, _CODE, " "), _QUOTED, " ")
     lines = F.transform(F.split(plain, "\n"), _spaced)
     sentences = F.transform(F.split(plain, _SENTENCES), _spaced)
@@ -206,9 +227,9 @@ def text_is_residue(text: Column) -> Column:
     # filler Latin: at least five words, no true text among them, and most of them end like Latin
     latin = F.exists(
         F.flatten(F.transform(lines, lambda s: F.split(s, r"(?<=[.!?])\s"))),
-        lambda s: F.rlike(s, F.lit(_LATIN_RUN)) & ~F.rlike(s, F.lit(_TRUE_TEXT)) & (words(s) >= 5) & (F.regexp_count(s, F.lit(_LATIN_WORD)) * 5 >= words(s) * 3),
+        lambda s: F.rlike(_led(s), F.lit(_LATIN_RUN)) & ~F.rlike(s, F.lit(_TRUE_TEXT)) & (words(s) >= 5) & (F.regexp_count(s, F.lit(_LATIN_WORD)) * 5 >= words(s) * 3),
     )
-    phrase = F.rlike(_spaced(plain), F.lit(_PHRASE))
+    phrase = F.rlike(_led(_spaced(plain)), F.lit(_PHRASE))
     return F.coalesce(F.when(suspect, phrase | placeholder | latin).otherwise(F.lit(False)), F.lit(False))
 
 

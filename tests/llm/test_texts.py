@@ -148,6 +148,17 @@ def test_residue_with_doubled_blanks_and_wraps(spark):
     assert got == {i for i, _ in both}
 
 
+def test_residue_is_looked_for_once_and_from_the_start_of_words(spark):
+    bad = ["Lorem ipsum", "lorem ipsum dolor", "-page not found. ", "\nwarning:  f(): x", "ErrorException at run(", "null null", "Activer JavaScript"]
+    good = ["florem ipsum", "homepage not found. x", "prewarning: f(): x", "annull null", "reactiver JavaScript"]
+    assert [t for t, f in zip(bad, flags(spark, residue.text_is_residue, bad), strict=True) if not f] == []
+    assert [t for t, f in zip(good, flags(spark, residue.text_is_residue, good), strict=True) if f] == []
+    rows = spark.createDataFrame([("a",)], "text string").where(residue.text_is_residue(F.col("text")))
+    condition = rows._jdf.queryExecution().analyzed().toString()
+    # the blanks before the suspects are told, then one replacement for lines, sentences and the whole
+    assert condition.count(r"\s(?:\s+|(?<! ))") == 1
+
+
 def brute_repeats(rows, least):
     form = lambda s: re.sub("[^a-z0-9]+", "", re.sub("[0-9]+", "0", s.lower()))
     pages = {}
