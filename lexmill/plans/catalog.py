@@ -630,7 +630,8 @@ SELECT search, count(*) FILTER (WHERE rank IS NOT NULL) AS hits, count(*) AS tot
 def eval_compare_search(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
     k = Settings.from_env().retriever_topk
-    dn, sp = retrieval.legs(asked, corpus, k)
+    # each leg is read by two of the three searches
+    dn, sp = map(materialize, retrieval.legs(asked, corpus, k))
     fields = corpus.docs.select("idx", "url", "text")
     found = None
     for name, rows in (("dense", dn.withColumn("score", F.col("dense_score")).withColumn("pos", F.col("rank"))), ("bm25", sp.withColumn("score", F.col("bm25_score")).withColumn("pos", F.col("rank"))), ("hybrid", fusion.hybrid(dn, sp))):

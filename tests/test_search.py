@@ -217,6 +217,16 @@ def test_texts_are_moved_once_and_only_picked_ones_again(spark, data, no_broadca
     assert all(r.text == texts[r.idx] for r in picked.select("idx", "text").collect())
 
 
+def test_compared_searches_run_each_leg_once(spark, data):
+    """The hybrid search reads the hits of the other two, which are not searched for again."""
+    from lexmill.plans import catalog
+
+    rows = catalog.eval_compare_search(spark, data)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "FlatMapCoGroupsInPandas" not in plan
+    assert {r.search for r in rows.collect()} == {"dense", "bm25", "hybrid"}
+
+
 def test_retrieval_quality(spark):
     """The gates of the pipeline on known items: hits, mean reciprocal rank, recall in five, and hits by tier."""
     from lexmill.plans import catalog
