@@ -536,10 +536,11 @@ def answer_prompt(spark, d):
 @query(_SQL_RETRIEVED + ", last AS (SELECT qid, max(pick) AS n FROM found GROUP BY qid) SELECT f.qid, f.pick AS ref_number, coalesce(f.url, '') AS url FROM found f JOIN last l ON l.qid = f.qid WHERE f.pick = 1 OR f.pick = l.n")
 def citations(spark, d):
     """Answers that cite each request's first and last result, the first twice, and numbers that are none of its results."""
-    found = _retrieved(spark, d)[2]
-    last = F.max("pick").cast("int")
+    # read for the answers and for their references
+    found = materialize(answers.references(_retrieved(spark, d)[2]).select("qid", "ref_number", "url"))
+    last = F.max("ref_number").cast("int")
     made = found.groupBy("qid").agg(F.format_string("The fee counts [1], and the note [%d] as well [1]; see neither [%d] nor [0] nor [x].", last, last + 4).alias("answer"))
-    return answers.cited(made, answers.references(found))
+    return answers.cited(made, found)
 
 
 @query(r"""WITH a AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'Assistant: ' ELSE 'ASSISTANT:  ' END ELSE '' END || text || CASE WHEN doc_id % 4 = 0 THEN repeat(chr(10), 4) || 'Keep the records. ' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' Ask a Professional.' ELSE '' END AS said FROM documents WHERE text IS NOT NULL)

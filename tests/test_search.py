@@ -227,6 +227,13 @@ def test_compared_searches_run_each_leg_once(spark, data):
     assert {r.search for r in rows.collect()} == {"dense", "bm25", "hybrid"}
 
 
+def test_citations_retrieve_once(spark, data):
+    """Answers and references read the same results, which are not fetched for each."""
+    from lexmill.plans import catalog
+
+    assert "parquet" not in catalog.citations(spark, data)._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_retrieval_quality(spark):
     """The gates of the pipeline on known items: hits, mean reciprocal rank, recall in five, and hits by tier."""
     from lexmill.plans import catalog
