@@ -74,9 +74,18 @@ def query_weights(queries: DataFrame, found: Index) -> DataFrame:
     return weighed.groupBy("qid").agg(F.array_sort(F.collect_list("w")).alias("weights"))
 
 
+#: Documents of which only the highest score is looked at first.
+_STRETCH = 64
+
+
 def _scorer(k: int, qid: str, idx: str):
     """Best k documents of each query within one slice of documents: a query's terms add their gains to one array of the
-    slice's documents, always in the order of the terms, so that equal documents have equal scores."""
+    slice's documents, always in the order of the terms, so that equal documents have equal scores.
+
+    Gains of a term that more than an eighth of the documents have lie in an array of all of them. The k-th highest of the
+    stretches' highest scores is a bound that k documents reach, so only documents that reach it are ranked. Queries of the
+    same terms are answered once.
+    """
 
     def best(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         keys, doc = np.unique(held["idx"].to_numpy(), return_inverse=True)
@@ -86,20 +95,38 @@ def _scorer(k: int, qid: str, idx: str):
         ends = np.cumsum(np.bincount(code, minlength=len(names)))
         asked = asked.assign(code=pd.Index(names).get_indexer(asked["term"]))
         asked = asked[asked["code"] >= 0].sort_values(["qid", "term"])
+        codes, times = asked["code"].to_numpy(), asked["times"].to_numpy()
         out: list[tuple] = []
-        score = np.zeros(len(keys))
+        score = np.zeros(-(-len(keys) // _STRETCH) * _STRETCH)
+        whole: dict[int, np.ndarray] = {}
+        known: dict[bytes, tuple] = {}
         for q, rows in asked.groupby("qid", sort=False).indices.items():
+            name = codes[rows].tobytes() + times[rows].tobytes()
+            if name in known:
+                out.append((q, *known[name]))
+                continue
             score[:] = 0
-            for c, n in zip(asked["code"].to_numpy()[rows], asked["times"].to_numpy()[rows], strict=True):
+            for c, n in zip(codes[rows].tolist(), times[rows].tolist(), strict=True):
                 at = slice(ends[c - 1] if c else 0, ends[c])
-                score[doc[at]] += n * gain[at]
-            hit = np.flatnonzero(score)
+                if 8 * (at.stop - at.start) <= len(keys):
+                    score[doc[at]] += n * gain[at]
+                    continue
+                if c not in whole:
+                    whole[c] = np.zeros(len(score))
+                    whole[c][doc[at]] = gain[at]
+                score += whole[c] if n == 1 else n * whole[c]
+            tops = score.reshape(-1, _STRETCH).max(axis=1)
+            least = np.partition(tops, len(tops) - k)[len(tops) - k] - 2e-6 if len(tops) > k else 0
+            hit = np.flatnonzero(score >= least) if least > 0 else np.flatnonzero(score)
+            value = score[hit]
             if len(hit) > k:
                 # rounding moves a score by half of 0.000001 at most
-                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k] - 2e-6]
-            value = np.round(score[hit], 6)
+                near = value >= np.partition(value, len(hit) - k)[len(hit) - k] - 2e-6
+                hit, value = hit[near], value[near]
+            value = np.round(value, 6)
             top = np.lexsort((hit, -value))[:k]
-            out.append((q, keys[hit[top]], value[top]))
+            known[name] = keys[hit[top]], value[top]
+            out.append((q, *known[name]))
         return pd.DataFrame({
             "qid": np.repeat(np.array([q for q, _, _ in out], asked["qid"].dtype), [len(i) for _, i, _ in out]),
             "idx": np.concatenate([i for _, i, _ in out] or [keys[:0]]),

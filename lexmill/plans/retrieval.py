@@ -37,7 +37,7 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame) -> SearchIndex:
-    """The index of documents (``FIELDS``), as plans."""
+    """The index of documents (``FIELDS``, one row for each idx), as plans."""
     return SearchIndex(docs, dense.normalized(docs.select("idx", "vec")).withColumn("vec", F.col("vec").cast("array<float>")), sparse.index(index_text(docs)))
 
 
@@ -86,7 +86,7 @@ def known_items(docs: DataFrame, every: int = 50) -> DataFrame:
 
 def legs(queries: DataFrame, found: SearchIndex, k: int) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse hits of the queries (qid, text, vec)."""
-    return dense.search(queries.select("qid", "vec"), found.vectors, k), sparse.search(queries.select("qid", "text"), found.sparse, k)
+    return dense.search(queries.select("qid", "vec"), found.vectors, k, unique=True), sparse.search(queries.select("qid", "text"), found.sparse, k)
 
 
 def candidates(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:

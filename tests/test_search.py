@@ -77,6 +77,50 @@ def test_dense_search_keeps_the_least_keys_of_ties(spark):
     assert sorted((r.qid, r.rank, r.idx) for r in got) == [(q, k + 1, k) for q in range(4) for k in range(6)]
 
 
+def test_dense_queries_are_gathered_and_equal_ones_compared_once(spark):
+    """Queries of many partitions make one block, in which a vector that several of them share stands once."""
+    rng = random.Random(4)
+    vecs = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(10)]
+    queries = spark.createDataFrame([(k, vecs[k % 10]) for k in range(40)], "qid long, vec array<float>").repartition(8)
+    corpus = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(200)], "idx long, vec array<float>").repartition(3)
+    blocks = dense._blocks(queries, "qid", 8, 64, "q", parts=1).collect()
+    assert len(blocks) == 1 and len(blocks[0].q_keys) == 40 and len(blocks[0].q_data) == 10 * 8 * 4
+    got = {(r.qid, r["rank"]): (r.idx, r.dense_score) for r in dense.search(queries, corpus, 5, size=8, block=64, unique=True).collect()}
+    assert len(got) == 200 and all(got[q, n] == got[q % 10, n] for q, n in got)
+
+
+def test_dense_scores_closer_than_single_precision(spark):
+    """Single precision only tells which pairs can count; lengths out of its range are compared in double precision."""
+    corpus = spark.range(400).selectExpr("id AS idx", "array(1.0f, cast(id * 1e-8 AS float)) AS vec").repartition(2)
+    queries = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e25, 0.0])], "qid long, vec array<float>")
+    got = dense.search(queries, corpus, 3, size=2, block=128).orderBy("qid", "rank").collect()
+    assert [r.idx for r in got] == [399, 398, 397, 0, 1, 2]
+    assert [r.dense_score for r in got[:3]] == pytest.approx([1 + n * 1e-8 for n in (399, 398, 397)], abs=2e-9)
+
+
+def test_bm25_answers_queries_of_the_same_terms_once(monkeypatch):
+    """Ranked once for each set of terms; common words and rare ones give what plain sums give."""
+    import numpy as np
+    import pandas as pd
+
+    rng, ranked = random.Random(5), []
+    rows = [(i, t, rng.random()) for t, n in (("all", 1000), ("half", 500), ("few", 90), ("one", 3)) for i in sorted(rng.sample(range(1000), n))]
+    asked = [(q, t, 1 + (t == "half")) for q in range(40) for t in (("all", "half", "few"), ("all", "one"), ("few", "none"), ("half",))[q % 4]]
+    lexsort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: ranked.append(1) or lexsort(keys))
+    got = sparse._scorer(7, "long", "long")[0](pd.DataFrame(rows, columns=["idx", "term", "gain"]), pd.DataFrame(asked, columns=["qid", "term", "times"]))
+    # the queries' own order may be made by it as well
+    assert len(ranked) <= 5
+    for q in range(40):
+        sums = {}
+        for _, term, times in sorted(a for a in asked if a[0] == q):
+            for i, t, gain in rows:
+                if t == term:
+                    sums[i] = sums.get(i, 0.0) + times * gain
+        best = sorted((-round(v, 6), i) for i, v in sums.items())[:7]
+        assert [(-r.bm25_score, r.idx) for r in got[got.qid == q].itertuples()] == best
+
+
 def _seconds(rows):
     import time
 
