@@ -72,10 +72,12 @@ def word_overlap(query: Column, text: Column) -> Column:
 def weighted_overlap(weights: Column, *texts: Column, scale: float = 10.0) -> Column:
     """Pair scores without a model, on the scale of a cross-encoder's logits: from -scale, where no term of the query
     stands in the texts, to scale, where all do; terms weigh by their inverse frequency. 0 for a query without terms."""
-    there = X.words(F.lower(F.concat_ws(" ", *texts)))
+    there = F.split(F.lower(F.concat_ws(" ", *texts)), r"(?U)\s+")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, w: s + w["idf"])
-    # bound by a lambda, so that the texts are split once and not once a term
-    met = F.get(F.transform(F.array(there), lambda t: total(F.filter(weights, lambda w: F.array_contains(t, w["term"])))), F.lit(0))
+    # by hash, so that each word of the texts is looked at once and not once a term; bound by a lambda, so that this is done
+    # once and not once a term
+    common = F.array_intersect(F.transform(weights, lambda w: w["term"]), there)
+    met = F.get(F.transform(F.array(common), lambda t: total(F.filter(weights, lambda w: F.array_contains(t, w["term"])))), F.lit(0))
     share = met / total(weights)
     return F.coalesce(F.round(scale * (2 * share - 1), 6), F.lit(0.0))
 

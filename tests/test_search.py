@@ -141,6 +141,15 @@ def test_lengths_and_words_are_computed_once_a_row(spark):
     assert _seconds(texts.select(fusion.weighted_overlap(F.col("w"), F.col("t")))) < 20
 
 
+def test_pair_scores_look_at_each_word_of_a_text_once(spark):
+    """Terms times words would be 200 million comparisons a row."""
+    weights = F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda k: F.struct(F.concat(F.lit("w"), k).alias("term"), F.lit(1.0).alias("idf")))
+    texts = spark.range(4, numPartitions=4).select(weights.alias("w"), F.repeat(F.concat(F.lit("x y "), F.col("id")), 20_000).alias("t"))
+    assert _seconds(texts.select(fusion.weighted_overlap(F.col("w"), F.col("t")))) < 3
+    some = spark.sql("SELECT array(named_struct('term', 'a', 'idf', 1D), named_struct('term', 'b', 'idf', 3D)) AS w, '\u00a0B\u2003c ' AS t")
+    assert some.select(fusion.weighted_overlap(F.col("w"), F.lit(None), F.col("t"))).first()[0] == 5.0
+
+
 def candidates(spark, rows):
     return spark.createDataFrame(rows, "qid long, idx long, score double, pos long, url string, title string, query string, text string, vec array<double>")
 
