@@ -51,13 +51,25 @@ def encoded(rows: DataFrame, text_col: str, encoder: Callable[[], Callable[[list
     return base.mapInPandas(scan, schema)
 
 
-def _blocks(rows: DataFrame, key: str, size: int, block: int, name: str, unique: bool = False, parts: int = 0) -> DataFrame:
+def _units(data: np.ndarray) -> np.ndarray:
+    """Rows at length one, as ``normalized`` gives them: squares are summed in the order of the elements."""
+    square = np.zeros(len(data))
+    for column in data.T:
+        square += column.astype(np.float64) ** 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (data.astype(np.float64) / np.sqrt(square)[:, None]).astype(np.float32)
+
+
+def _blocks(rows: DataFrame, key: str, size: int, block: int, name: str, unique: bool = False, parts: int = 0, scale: bool = False) -> DataFrame:
     """Rows of (name_keys, name_of, name_data): up to about ``block`` vectors each.
 
     Where ``parts`` is given, rows are first gathered into so many parts by their vectors, and a vector that several keys
-    of a block share is held once; name_of then has the place of each key's vector, and is null otherwise.
+    of a block share is held once; name_of then has the place of each key's vector, and is null otherwise. ``scale`` brings
+    vectors to length one and leaves out those that have no direction.
     """
-    usable = rows.where(F.col(key).isNotNull() & F.col("vec").isNotNull() & (F.size("vec") == size)).select(F.col(key).cast("long").alias("key"), F.col("vec").cast("array<float>").alias("vec"))
+    kind = np.float64 if scale and dict(rows.dtypes)["vec"] != "array<float>" else np.float32
+    given = F.col("vec").cast("array<double>" if kind is np.float64 else "array<float>").alias("vec")
+    usable = rows.where(F.col(key).isNotNull() & F.col("vec").isNotNull() & (F.size("vec") == size)).select(F.col(key).cast("long").alias("key"), given)
     if not unique:
         usable = usable.dropDuplicates(["key"])
     if parts:
@@ -67,11 +79,15 @@ def _blocks(rows: DataFrame, key: str, size: int, block: int, name: str, unique:
         for batch in batches:
             for s in range(0, len(batch), block):
                 part = batch.iloc[s : s + block]
-                data, of = np.array([np.asarray(v, np.float32) for v in part["vec"]], np.float32), None
+                data, keys, of = np.array([np.asarray(v, kind) for v in part["vec"]], kind), part["key"].to_numpy(), None
+                if scale:
+                    data = _units(data)
+                    there = np.isfinite(data).all(axis=1)
+                    data, keys = data[there], keys[there]
                 if parts:
                     data, of = np.unique(data, axis=0, return_inverse=True)
                     of = of.reshape(-1)
-                yield pd.DataFrame({f"{name}_keys": [part["key"].to_numpy()], f"{name}_of": [of], f"{name}_data": [data.tobytes()]})
+                yield pd.DataFrame({f"{name}_keys": [keys], f"{name}_of": [of], f"{name}_data": [data.tobytes()]})
 
     return usable.mapInPandas(gather, f"{name}_keys array<long>, {name}_of array<long>, {name}_data binary")
 
@@ -91,17 +107,18 @@ def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: int
     return np.round(np.concatenate([of(s) for s in range(0, len(i), step)] or [np.zeros(0)]), 9)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int = 30, size: int = 64, block: int = 1024, unique: bool = False, query_block: int = 4096) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, k: int = 30, size: int = 64, block: int = 1024, unique: bool = False, query_block: int = 4096, scale: bool = False) -> DataFrame:
     """(qid, idx, dense_score, rank): the k rows of greatest inner product with each query, ties by idx.
 
     ``queries``: qid, vec; ``corpus``: idx, vec. Vectors that are null or of another length are left out. ``unique`` says
-    that no idx of the corpus repeats, so that its vectors are compared where they lie. Queries of the same vector are
+    that no idx of the corpus repeats, so that its vectors are compared where they lie; ``scale``, that these are of any
+    length and count at length one. Queries of the same vector are
     compared once in a block. Products in single precision, with their bound of error, tell which pairs can count; only
     these get their score, in double precision.
     """
     asked_count = queries.count()
     asked = _blocks(queries, "qid", size, query_block, "q", parts=max(1, -(-asked_count // query_block)))
-    held = _blocks(corpus, "idx", size, block, "c", unique)
+    held = _blocks(corpus, "idx", size, block, "c", unique, scale=scale)
     if asked_count * (4 * size + 16) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
 

@@ -34,7 +34,8 @@ def index(corpus: DataFrame) -> Index:
     """``corpus``: idx, text. A null text counts as empty; every row counts in the totals."""
     words = corpus.select("idx", terms(F.coalesce("text", F.lit(""))).alias("words"))
     dl = F.size("words").cast("long").alias("dl")
-    postings = words.select("idx", dl, F.explode("words").alias("term")).groupBy("idx", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # by term, which brings the equal words of a document together too, and is how they are saved and counted
+    postings = words.select("idx", dl, F.explode("words").alias("term")).repartition("term").groupBy("idx", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     lengths = words.select("idx", dl)
     return Index(postings, lengths, _frequencies(postings), _totals(lengths))
 
@@ -48,10 +49,10 @@ def _totals(lengths: DataFrame) -> DataFrame:
 
 
 def save(found: Index, folder: str) -> None:
-    """Writes the index tables below ``folder``; postings and frequencies lie sorted by term, so that a search skips the
-    row groups of other terms. Frequencies and totals are counted on what is written, so that texts are split no more."""
+    """Writes the index tables below ``folder``; postings and frequencies lie together by term and sorted by it, as they
+    are once counted. Frequencies and totals are counted on what is written, so that texts are split no more."""
     read = found.postings.sparkSession.read
-    by_term = lambda rows: rows.repartitionByRange("term").sortWithinPartitions("term")
+    by_term = lambda rows: rows.sortWithinPartitions("term")
     found.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
     _totals(read.parquet(f"{folder}/lengths")).write.mode("overwrite").parquet(f"{folder}/totals")
     by_term(found.postings).write.mode("overwrite").parquet(f"{folder}/postings")

@@ -342,7 +342,7 @@ def bm25_search(spark, d):
 @query(f"WITH {_SQL_DOCS}{_SQL_DENSE} SELECT qid, idx, dense_score, rank FROM dense")
 def dense_search(spark, d):
     corpus, asked = retrieval.prepared_corpus(spark, d)
-    found = dense.search(asked, corpus.vectors, Settings.from_env().retriever_topk, unique=True)
+    found = dense.search(asked, corpus.vectors, Settings.from_env().retriever_topk, unique=True, scale=True)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -19,7 +19,7 @@ FIELDS = ["idx", "id", "title", "url", "section_heading", "breadcrumb", "keyword
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """What a search reads: the documents' fields, their unit vectors and the sparse index."""
+    """What a search reads: the documents' fields, their vectors as given and the sparse index."""
 
     docs: DataFrame
     vectors: DataFrame
@@ -28,30 +28,29 @@ class SearchIndex:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Indexed documents with their number and vector: one row per id of docvecs that docs has. Of several rows of one id
-    the least in the order of its columns is taken."""
+    the least in the order of its columns is taken. Few keys repeat, so rows are moved first and sorted once, where they meet."""
     docs = table(spark, folder, "docs")
     others = [c for c in docs.columns if c != "id"]
-    first = docs.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*others)).alias("d")).select("id", "d.*")
-    vecs = table(spark, folder, "docvecs").where("idx IS NOT NULL").groupBy("idx").agg(F.min(F.struct("id", "vec")).alias("v")).select("idx", "v.id", "v.vec")
+    first = docs.where("id IS NOT NULL").repartition("id").groupBy("id").agg(F.min(F.struct(*others)).alias("d")).select("id", "d.*")
+    vecs = table(spark, folder, "docvecs").where("idx IS NOT NULL").repartition("idx").groupBy("idx").agg(F.min(F.struct("id", "vec")).alias("v")).select("idx", "v.id", "v.vec")
     return vecs.join(first, "id").select(FIELDS)
 
 
 def build_index(docs: DataFrame) -> SearchIndex:
     """The index of documents (``FIELDS``, one row for each idx), as plans."""
-    return SearchIndex(docs, dense.normalized(docs.select("idx", "vec")).withColumn("vec", F.col("vec").cast("array<float>")), sparse.index(index_text(docs)))
+    return SearchIndex(docs, docs.select("idx", "vec"), sparse.index(index_text(docs)))
 
 
 def save_index(found: SearchIndex, folder: str) -> None:
-    """Writes an index below ``folder``, to be read by any number of searches. Vectors and sparse index are made of the
-    documents as written, of which they read only the columns they need."""
+    """Writes an index below ``folder``, to be read by any number of searches. Vectors lie with the documents, and the
+    sparse index is made of these as written; both read only the columns they need."""
     found.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-    written = build_index(found.docs.sparkSession.read.parquet(f"{folder}/docs"))
-    written.vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
-    sparse.save(written.sparse, folder)
+    sparse.save(build_index(found.docs.sparkSession.read.parquet(f"{folder}/docs")).sparse, folder)
 
 
 def load_index(spark: SparkSession, folder: str) -> SearchIndex:
-    return SearchIndex(spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/vectors"), sparse.load(spark, folder))
+    docs = spark.read.parquet(f"{folder}/docs")
+    return SearchIndex(docs, docs.select("idx", "vec"), sparse.load(spark, folder))
 
 
 #: Where the indexes lie that this application has built, by the folder of their tables.
@@ -86,7 +85,7 @@ def known_items(docs: DataFrame, every: int = 50) -> DataFrame:
 
 def legs(queries: DataFrame, found: SearchIndex, k: int) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse hits of the queries (qid, text, vec)."""
-    return dense.search(queries.select("qid", "vec"), found.vectors, k, unique=True), sparse.search(queries.select("qid", "text"), found.sparse, k)
+    return dense.search(queries.select("qid", "vec"), found.vectors, k, unique=True, scale=True), sparse.search(queries.select("qid", "text"), found.sparse, k)
 
 
 def candidates(queries: DataFrame, found: SearchIndex, settings: Settings | None = None) -> DataFrame:

@@ -301,3 +301,40 @@ def test_settings_from_the_environment(monkeypatch):
     monkeypatch.setenv("LEXMILL_FINAL_TOPK", "3")
     monkeypatch.setenv("LEXMILL_MMR_LAMBDA", "0.5")
     assert (Settings.from_env().final_topk, Settings.from_env().mmr_lambda, Settings.from_env().rrf_k) == (3, 0.5, 60)
+
+
+def test_vectors_are_scaled_where_they_are_compared(spark):
+    """Given vectors count at length one, as normalized ones do; those without direction are none, nor do they displace others."""
+    rng = random.Random(9)
+    rows = [(k, [rng.gauss(0, 10 ** rng.uniform(-3, 3)) for _ in range(4)]) for k in range(60)] + [(60, [0.0] * 4), (61, [1.0, None, 2.0, 0.0]), (62, None), (63, [1.0])]
+    for kind in ("float", "double"):
+        corpus = spark.createDataFrame(rows, f"idx long, vec array<{kind}>")
+        whole = dense.normalized(corpus.where("idx < 61"))
+        asked = whole.where("idx % 20 = 0").select(F.col("idx").alias("qid"), "vec")
+        show = lambda found: sorted(map(tuple, found.collect()))
+        first = show(dense.search(asked, corpus, 5, size=4, scale=True))
+        assert len(first) == 15 and first == show(dense.search(asked, whole, 5, size=4))
+
+
+def test_index_moves_each_table_once(spark, data):
+    """Few keys repeat, so rows are not sorted before they are moved; postings are counted where their terms are saved."""
+    from lexmill.plans import retrieval
+
+    docs = retrieval.corpus(spark, data)
+    assert _moved(docs, "text") == 1 and "Sort" not in _before_exchange(docs)
+    postings = sparse.index(retrieval.index_text(docs)).postings.sortWithinPartitions("term")
+    assert _moved(postings, "term") == 1
+
+
+def _before_exchange(rows):
+    """The operators below the shuffles that read files."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    todo, found = [(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan, ())], ""
+    while todo:
+        node, above = todo.pop()
+        name, below = node.nodeName(), node.children()
+        above = () if name == "Exchange" else (*above, name)
+        if below.size() == 0:
+            found += " ".join(above)
+        todo += [(below.apply(k), above) for k in range(below.size())]
+    return found
