@@ -29,6 +29,20 @@ NOISE_HEADINGS = [
 ]
 QUICK_CODE = r"\bQC\s*\d+\b"
 LAST_UPDATED = r"Last updated\s*\d+\s*\w+\s*\d{4}"
+#: Guides for single occupations, words that ask for them, and general pages, as scores are adjusted by them.
+NARROW_PATHS = ["/guides-for-occupations-and-industries/"]
+NARROW_TERMS = """nurse doctor teacher driver pilot engineer mechanic builder electrician plumber police army adf military lawyer
+accountant mining farm chef hospitality retail security guard firefighter paramedic dentist surgeon tradesperson carpenter
+painter""".split()
+BROAD_PATHS = [
+    "/deductions-you-can-claim/",
+    "/work-related-deductions/",
+    "/working-from-home",
+    "/clothing",
+    "/self-education",
+    "/cars-transport",
+    "/phone-internet",
+]
 PREP_BOILERPLATE = ["Skip to main content", "BEGIN NOINDEX", "Report webpage issue"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmill.config import HEADING_STOP_WORDS, STOP_WORDS, Settings
+from lexmill.config import BROAD_PATHS, HEADING_STOP_WORDS, NARROW_PATHS, NARROW_TERMS, STOP_WORDS, Settings
 from lexmill.functions import text as X
 from lexmill.functions import urls as U
 from lexmill.functions import vectors as V
@@ -452,7 +452,8 @@ def _top(spark, d):
 
 @query(f"WITH {_SQL_BM25}{_SQL_DENSE}{_SQL_RRF}{_SQL_ADJUST} SELECT qid, idx, score, pos FROM adjusted")
 def score_adjust(spark, d):
-    return fusion.adjusted(_candidates(spark, d)).select("qid", "idx", "score", F.col("pos").cast("long").alias("pos"))
+    """By title and by both lists of addresses; the SQL knows only the title, and no address of the given tables is on a list."""
+    return fusion.adjusted(_candidates(spark, d), NARROW_PATHS, NARROW_TERMS, BROAD_PATHS).select("qid", "idx", "score", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"WITH {_SQL_BM25}{_SQL_DENSE}{_SQL_RRF}{_SQL_ADJUST}{_SQL_GROUP} SELECT qid, idx, score, pos FROM grouped")

@@ -184,6 +184,27 @@ def test_adjust_group_rerank_mmr(spark):
     assert [r.idx for r in picks] == [0, 2, 3]
 
 
+def test_score_adjust_lowers_narrow_and_raises_broad_addresses(spark, tmp_path):
+    """The query's own lists: a guide for one occupation loses 0.004 unless an occupation is asked for, a general page gains
+    0.001 once, and places follow the new scores."""
+    from lexmill.plans import catalog
+
+    narrow, both = "https://a/Guides-for-Occupations-and-Industries/x", "https://a/guides-for-occupations-and-industries/clothing"
+    urls = {0: "https://a/p", 1: narrow, 2: "https://a/Clothing/working-from-home", 3: both, 50: "https://a/q", 4: "https://a/not-guides-for-occupations-and-industries"}
+    titles = {0: "alpha beta", 50: "Nurse"}
+    docs = [(str(k), titles.get(k, f"t{k}"), u, None, None, None, "x") for k, u in urls.items()]
+    spark.createDataFrame(docs, "id string, title string, url string, section_heading string, breadcrumb string, keywords string, text string").write.parquet(str(tmp_path / "docs.parquet"))
+    vecs = [(k, str(k), [1.0, k / 100] + [0.0] * 62) for k in urls]
+    spark.createDataFrame(vecs, "idx long, id string, vec array<float>").write.parquet(str(tmp_path / "docvecs.parquet"))
+    before = {(r.qid, r.idx): r.score for r in catalog.hybrid_search(spark, str(tmp_path)).collect()}
+    rows = catalog.score_adjust(spark, str(tmp_path)).collect()
+    gain = {(r.qid, r.idx): round(r.score - before[r.qid, r.idx], 6) for r in rows}
+    assert gain == {(0, 0): 0.003, (0, 1): -0.004, (0, 2): 0.001, (0, 3): -0.003, (0, 50): 0, (0, 4): 0} | {(50, 0): 0, (50, 1): 0, (50, 2): 0.001, (50, 3): 0.001, (50, 50): 0.001, (50, 4): 0}
+    for q in (0, 50):
+        mine = sorted((r for r in rows if r.qid == q), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(1, 7)) and [r.score for r in mine] == sorted((r.score for r in mine), reverse=True)
+
+
 def test_mmr_with_few_candidates_and_missing_vectors(spark):
     c = candidates(spark, [(1, 0, 1.0, 1, "u", "t", "q", "x", None), (1, 1, 1.0, 2, "u", "t", "q", "x", None)])
     assert [r.idx for r in fusion.mmr(c).orderBy("pick").collect()] == [0, 1]
